@@ -17,7 +17,7 @@ BLOCK = 512
 MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 
-_ITEM = "struct<rnd: double, k: string, size: bigint, p: double, doc: struct<doc_id: bigint, k1: bigint, k2: bigint>>"
+_ITEM = "struct<order: bigint, rnd: double, k: string, size: bigint, p: double, doc: struct<doc_id: bigint, k1: bigint, k2: bigint>>"
 
 
 def word_count(text: Column) -> Column:
@@ -49,11 +49,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
 
 
 def _fold(items: str) -> Column:
-    """Sequential pivotal rounding of an array of items: {carry, out}; all of ``out`` is whole, ``carry`` may be fractional."""
+    """Sequential pivotal rounding of an array of items: {carry, out}; all of ``out`` is whole, ``carry`` may be fractional.
+
+    Items come from the largest to the smallest: a large one is settled against those near its size, and what stays open is small.
+    """
     room, back = "(1 - s.carry.p)", "(x.p * x.size / s.carry.size)"
     give, take = "s.carry.p", "((1 - x.p) * x.size / s.carry.size)"
     up = f"(x.rnd * (least({room}, {back}) + least({give}, {take})) < least({give}, {take}))"
-    item = lambda of, p: f"named_struct('rnd', {of}.rnd, 'k', {of}.k, 'size', {of}.size, 'p', cast({p} AS double), 'doc', {of}.doc)"
+    item = lambda of, p: f"named_struct('order', {of}.order, 'rnd', {of}.rnd, 'k', {of}.k, 'size', {of}.size, 'p', cast({p} AS double), 'doc', {of}.doc)"
     step = lambda carry, done: f"named_struct('carry', {carry}, 'out', concat(s.out, array({done})))"
     moved = "s.carry.size / x.size"
     return F.expr(f"""
@@ -74,7 +77,7 @@ def _rounded(items: DataFrame, groups: Column, level: int, seed: int) -> DataFra
     """items(source, k, size, p, doc) to one row a block: (source, block, carry, out)."""
     rnd = _uniform(F.lit(seed + 2 * level), "source", "k")
     block = F.pmod(F.xxhash64(F.lit(seed + 2 * level + 1), "k"), groups).cast("bigint")
-    packed = items.select("source", block.alias("block"), F.struct(rnd.alias("rnd"), "k", "size", "p", "doc").alias("item"))
+    packed = items.select("source", block.alias("block"), F.struct((-F.col("size")).alias("order"), rnd.alias("rnd"), "k", "size", "p", "doc").alias("item"))
     return packed.groupBy("source", "block").agg(F.sort_array(F.collect_list("item")).alias("items")).select("source", "block", _fold("items").alias("f")).select("source", "block", "f.carry", "f.out")
 
 
