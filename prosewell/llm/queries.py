@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import importlib
 
-#: Query name to the module that has it.
+#: Query name to the module that has it; a module is loaded when its query runs or its SQL is asked for.
 MODULES = {
     "op2_url_filters": "url_filters",
+    "op5_decontamination": "decontamination",
+    "op6_token_output": "token_output",
+    "op7_quality": "quality",
     "op10_mixing": "mixing",
 }
 
@@ -16,7 +19,7 @@ def _module(name: str):
 
 
 def queries() -> dict:
-    return {name: _module(name).query for name in MODULES}
+    return {name: lambda spark, sf_dir, name=name: _module(name).query(spark, sf_dir) for name in MODULES}
 
 
 def oracle_sql() -> dict[str, str]:

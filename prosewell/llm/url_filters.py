@@ -43,9 +43,11 @@ def url_tokens(host: Column, path: Column) -> Column:
 def rarest_tokens(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> list[str]:
     """For each rule the token that the fewest URLs of the whole table have; ties go to the smaller token."""
     wanted = sorted({t for _, host, path in rules for t in rule_tokens(host, path)})
-    spark = pages.sparkSession
-    names = spark.createDataFrame([(t,) for t in wanted], "token string")
-    seen = pages.select(F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token")).join(names, "token", "left_semi").groupBy("token").count()
+    tokens = pages.select(F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token"))
+    if len(wanted) <= 4 * PLAN_RULES:
+        seen = tokens.filter(F.col("token").isin(wanted)).groupBy("token").count()
+    else:  # counted first: a token that most URLs have must not meet the names row by row
+        seen = tokens.groupBy("token").count().join(pages.sparkSession.createDataFrame([(t,) for t in wanted], "token string"), "token", "left_semi")
     count = {r["token"]: r["count"] for r in seen.collect()}  # one row for each token of the rules at most
     return [min(rule_tokens(host, path), key=lambda t: (count.get(t, 0), t)) for _, host, path in rules]
 
