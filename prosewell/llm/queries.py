@@ -6,10 +6,14 @@ import importlib
 
 #: Query name to the module that has it; a module is loaded when its query runs or its SQL is asked for.
 MODULES = {
+    "op1_minhash": "minhash",
     "op2_url_filters": "url_filters",
+    "op3_suffix_tree_lm": "suffix_tree_lm",
+    "op4_suffix_dedup": "suffix_dedup",
     "op5_decontamination": "decontamination",
     "op6_token_output": "token_output",
     "op7_quality": "quality",
+    "op9_media": "media",
     "op10_mixing": "mixing",
 }
 

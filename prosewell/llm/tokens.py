@@ -81,7 +81,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray = BLANKS) -> Words:
+def words(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray = BLANKS, cut: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
+    """Words of joined texts.  cut: two sets of bytes (256 flags each); a word also ends between one of the first and one of the second."""
     n = len(raw)
     if not n:
         none = np.zeros(0, np.int64)
@@ -91,6 +92,10 @@ def words(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray = BLANKS) -> W
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
+    if cut is not None:
+        between = cut[0][low[:-1]] & cut[1][low[1:]]
+        first[1:] |= between
+        last[:-1] |= between
     inner = offsets[(offsets > 0) & (offsets < n)]
     first[inner] = solid[inner]
     last[inner - 1] = solid[inner - 1]
@@ -134,3 +139,24 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
         out = np.minimum(out[: len(out) - step], out[step:])
         have += step
     return out
+
+
+class Lookup:
+    """Positions of 64-bit values in a sorted array by their top bits; -1 for absent ones.  Values should be hashes."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys, U64(0))
+        self.n, self.shift = len(keys), U64(64 - max(1, len(keys).bit_length() + 1))
+        edges = np.arange(1 << int(U64(64) - self.shift), dtype=U64) << self.shift
+        self.first = np.searchsorted(keys, edges).astype(np.int64)
+        self.most = int(np.diff(np.append(self.first, self.n)).max(initial=0))
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        at = self.first[values >> self.shift]
+        out = np.full(len(values), -1, np.int64)
+        for _ in range(self.most):
+            inside = np.minimum(at, self.n)
+            hit = (self.keys[inside] == values) & (inside < self.n)
+            out[hit] = inside[hit]
+            at = at + 1
+        return out
