@@ -1,0 +1,69 @@
+"""Lexical densities and notation: every pattern of a lexicon is counted in one pass over the lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from prosewell.functions import text as T
+from prosewell.functions.profile import LATIN, Profile
+from prosewell.operators import decompose as D
+from prosewell.operators import rules as R
+
+
+def densities(docs: DataFrame, profile: Profile = LATIN, base: str = "narr_chars", min_count: int = 3) -> DataFrame:
+    """doc_id, entry, hits, density: hits per 1000 characters, for documents of 600 or more and entries of ``min_count`` hits or more.
+
+    One column for each entry, counted in one scan and only then turned into rows.
+    """
+    narration = F.regexp_replace("body", profile.utterance, "") if base == "narr_chars" else F.col("body")
+    scope = D.body_lines(docs).select("doc_id", T.searched(narration, profile).alias("s"), T.visible(narration).alias("n"))
+    counted = scope.groupBy("doc_id").agg(F.sum("n").alias("base"), *(F.sum(F.regexp_count("s", F.lit(p))).cast("bigint").alias(k) for k, p in profile.lexicon.items()))
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("entry"), F.col(k).alias("hits")) for k in profile.lexicon)))
+    kept = counted.filter(F.col("base") >= R.GUARDS["density_min_chars"]).select("doc_id", "base", rows.alias("r")).select("doc_id", "base", "r.*").filter(F.col("hits") >= min_count)
+    return kept.select("doc_id", "entry", "hits", F.round(F.col("hits") * 1000 / F.col("base"), 2).alias("density"))
+
+
+def guarded_counts(docs: DataFrame, profile: Profile = LATIN) -> DataFrame:
+    """doc_id, entry, hits of documents too short for densities."""
+    scope = D.body_lines(docs).select("doc_id", T.searched(F.col("body"), profile).alias("s"), "chars")
+    counted = scope.groupBy("doc_id").agg(F.sum("chars").alias("base"), *(F.sum(F.regexp_count("s", F.lit(p))).cast("bigint").alias(k) for k, p in profile.lexicon.items()))
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("entry"), F.col(k).alias("hits")) for k in profile.lexicon)))
+    return counted.filter(F.col("base") < R.GUARDS["density_min_chars"]).select("doc_id", rows.alias("r")).select("doc_id", "r.*").filter("hits > 0")
+
+
+def share(rows: DataFrame, hit: Column, least: int) -> DataFrame:
+    """doc_id, share of rows that are hits, for documents of ``least`` rows or more."""
+    return rows.groupBy("doc_id").agg(F.round(F.avg(F.when(hit, 1.0).otherwise(0.0)), 3).alias("share"), F.count("*").alias("n")).filter(F.col("n") >= least).select("doc_id", "share")
+
+
+#: Notation rules as patterns over one line.  Odd runs are told by their length.
+NOTATION = {
+    "N01_dots": r"(?:\.{3,}|・{3,}|。。|、、)",
+    "N02_bar": r"(?:ーー|--)",
+    "N03_space": r"[！？](?:[^！？!?\s\x{3000}」』）)…―—]|$)",
+    "N06_half": r"[ぁ-んァ-ヶ一-龥][,.!?]",
+    "N07_markdown": r"(?:\*\*|^#{1,6} |^[-*] |`)",
+    "N11_space": r"[ぁ-んァ-ヶ一-龥] [A-Za-z0-9]|[A-Za-z0-9] [ぁ-んァ-ヶ一-龥]",
+    "N12_emoji": r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]",
+}
+
+
+def notation(docs: DataFrame) -> DataFrame:
+    """doc_id, line, rule, hits."""
+    lines = D.lines(docs)
+    odd = lambda mark: F.size(F.filter(F.regexp_extract_all("raw", F.lit(f"{mark}+"), F.lit(0)), lambda h: F.length(h) % 2 == 1))
+    counts = {k: F.regexp_count("raw", F.lit(p)) for k, p in NOTATION.items() if k != "N03_space"}
+    # the mark at the end of a line is fine: only a following letter is a fault
+    counts["N03_space"] = F.regexp_count("raw", F.lit(r"[！？][^！？!?\s\x{3000}」』）)…―—]"))
+    counts["N01_odd"], counts["N02_odd"] = odd("…"), odd("―")
+    counts["N04_stop"] = F.regexp_count("raw", F.lit("。」"))
+    counts["N08_balance"] = F.when(T.quotes_balanced(F.col("raw")), 0).otherwise(1)
+    rows = F.explode(F.array(*(F.struct(F.lit(k.split("_")[0] if k != "N01_odd" and k != "N02_odd" else k[:3]).alias("rule"), c.cast("bigint").alias("hits")) for k, c in sorted(counts.items()))))
+    return lines.select("doc_id", "line", rows.alias("r")).select("doc_id", "line", "r.*").filter("hits > 0").groupBy("doc_id", "line", "rule").agg(F.sum("hits").alias("hits"))
+
+
+def indent_minority(docs: DataFrame) -> DataFrame:
+    """doc_id, line of narration lines whose indentation is that of the smaller part of their document; on a tie the indented ones."""
+    rows = D.kinds(docs).filter("kind = 'narration'").withColumn("indented", F.col("raw").rlike(r"^[ \t\x{3000}]"))
+    part = rows.withColumn("share", F.avg(F.when(F.col("indented"), 1.0).otherwise(0.0)).over(Window.partitionBy("doc_id"))).filter("share > 0 AND share < 1")
+    return part.filter((F.col("indented") & (F.col("share") <= 0.5)) | (~F.col("indented") & (F.col("share") > 0.5))).select("doc_id", "line", "indented")

@@ -1,11 +1,16 @@
-"""Every query by name, with its SQL."""
+"""Every query of the library by name, with its SQL."""
 
 from __future__ import annotations
 
+from prosewell.plans import base, lexical, manuscripts, projects, prose
+
+#: Loading a module registers its queries.
+_MODULES = (prose, lexical, manuscripts, projects)
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLES)
