@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from prosewell.llm.scratch import ship
 from prosewell.llm.tokens import ALNUM, grams, sliding_min, slices, text_bytes, words
 
 WINDOW = 10
@@ -105,6 +106,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     spans = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_words", T.LongType()), T.StructField("spans", spans), T.StructField("items", T.ArrayType(T.StringType()))])
     spark = docs.sparkSession
+    ship(spark)
     out = docs.select(*keep).withColumns({"n_words": F.lit(0).cast("bigint"), "spans": F.array().cast(spans), "items": F.array().cast("array<string>")})
     for ids, texts in [*_blocks(benchmark, block_bytes)] or [([], [])]:
         out = _pass(out, spark.sparkContext.broadcast(Index(ids, texts, window)), keep, schema)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from prosewell.llm import avi
+from prosewell.llm.scratch import ship
 from prosewell.llm.tokens import slices, text_bytes
 
 UNIT = 64
@@ -47,6 +48,8 @@ def probe(media: bytes) -> tuple[bytes, list[dict], dict]:
 def to_media(docs: DataFrame) -> DataFrame:
     """(doc_id, media): each text as an AVI file; null and empty texts are 64 zero bytes."""
 
+    ship(docs.sparkSession)
+
     def run(batches):
         for part in slices(batches):
             raw, at = text_bytes(part.column("text"))
@@ -62,6 +65,8 @@ def clips(media: DataFrame) -> DataFrame:
     Null media have no clips; a file that isn't readable gives one row with its doc_id and nulls, so it isn't lost silently.
     """
 
+    ship(media.sparkSession)
+
     def run(batches):
         for batch in batches:
             found = []
@@ -88,6 +93,8 @@ def digest(docs: DataFrame) -> DataFrame:
     """
     fields = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
+    ship(docs.sparkSession)
+
     def run(batches):
         for part in slices(batches):
             raw, at = text_bytes(part.column("text"))

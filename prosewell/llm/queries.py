@@ -13,6 +13,7 @@ MODULES = {
     "op5_decontamination": "decontamination",
     "op6_token_output": "token_output",
     "op7_quality": "quality",
+    "op8_compact_windows": "compact_windows",
     "op9_media": "media",
     "op10_mixing": "mixing",
 }

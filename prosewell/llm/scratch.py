@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_FALLBACK[0].name}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, so that their Python finds it wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_prosewell_shipped", False):
+        return
+    package = Path(__file__).parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="prosewell-code-")) / "prosewell-code.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._prosewell_shipped = True
+
+
 class Scratch:
     """Parquet tables under one folder of the shared store.
 
@@ -29,6 +45,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/prosewell-{uuid.uuid4().hex}"
         atexit.register(self.drop)
