@@ -1,7 +1,7 @@
 """Token-ID output: whole texts to ids of a public tokenizer, in ascending doc_id order, as one wavelet matrix file a shard.
 
-Texts are cut at ASCII blanks, at which this tokenizer never joins, and each distinct word of a batch is encoded once: words come
-as hashes from the bytes, ids of known words from a table that each worker keeps.
+Texts are cut at ASCII blanks and between ASCII letters and marks, over which this tokenizer never joins, and each distinct piece is
+encoded once: pieces come as hashes from the bytes, ids of known ones from a table that each worker keeps.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from prosewell.llm.scratch import Scratch
-from prosewell.llm.tokens import BLANKS, slices, text_bytes, words
+from prosewell.llm.tokens import BLANKS, Lookup, slices, text_bytes, words
 from prosewell.llm.wavelet import NULL_ID, WaveletFile, encode
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,34 +35,37 @@ class Vocabulary:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.planes = max(1, int(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.first, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.lookup = Lookup(self.keys)
 
     def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        got = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        """Adds words; keys ascend."""
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, got), np.int64, len(got))
         first = len(self.ids) + np.cumsum(size) - size
         self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(size.sum()))])
-        keys, first, size = (np.concatenate(x) for x in ((self.keys, keys), (self.first, first), (self.size, size)))
-        order = np.argsort(keys)
-        self.keys, self.first, self.size = keys[order], first[order], size[order]
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.first, self.size = np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.size, at, size)
+        self.lookup = Lookup(self.keys)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, the end id after each, and the number of ids of each text."""
-        w = words(raw, offsets, BLANKS_KEPT)
-        keys, sample, which = np.unique(w.hashes, return_index=True, return_inverse=True)
+        data = raw.tobytes()
+        w = words(raw, offsets, BLANKS_KEPT, None if any(x in data for x in self.special) else (_LETTERS, _MARKS))
         if len(self.keys) > KNOWN_WORDS:
             self.clear()
-        at = np.searchsorted(self.keys, keys)
-        known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        if not known.all():
-            data = raw.tobytes()
-            new = sample[~known]
-            self.learn(keys[~known], [data[a:b].decode() for a, b in zip(w.starts[new].tolist(), w.ends[new].tolist(), strict=True)])
-            at = np.searchsorted(self.keys, keys)
-        first, size = self.first[at][which], self.size[at][which]
+        at = self.lookup(w.hashes)
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            keys, sample = np.unique(w.hashes[unknown], return_index=True)
+            new = unknown[sample]
+            self.learn(keys, [data[a:b].decode() for a, b in zip(w.starts[new].tolist(), w.ends[new].tolist(), strict=True)])
+            at = self.lookup(w.hashes)
+        first, size = self.first[at], self.size[at]
         total = np.concatenate([[0], np.cumsum(size)])
         per_text = total[w.bounds[1:]] - total[w.bounds[:-1]]
         ids = np.full(total[-1] + len(per_text), end_id, np.uint32)
@@ -75,6 +78,10 @@ class Vocabulary:
 #: Blanks only; case is the tokenizer's.
 BLANKS_KEPT = BLANKS.copy()
 BLANKS_KEPT[65:91] -= 32
+#: Between an ASCII letter and an ASCII mark this tokenizer always cuts: letters end there, and no contraction spans it.  A special
+#: token could, so texts with one are cut at blanks only.
+_LETTERS = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_MARKS = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
 
 
 @lru_cache(maxsize=2)
@@ -126,7 +133,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, sh
         if held:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first())
     return ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(run, "part long, shard long, path string, n_docs long, n_tokens long")
 
 
