@@ -110,19 +110,16 @@ def fit_sums(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], shrinkage: f
     return Model(mean, chol, prior, center, scale)
 
 
-def with_features(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns in ``keep`` and the feature vector of ``text``."""
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("__x", T.ArrayType(T.DoubleType()))])
-
-    text = "text" if "text" in keep else "__text"
+def with_features(docs: DataFrame) -> DataFrame:
+    """doc_id and the feature vector of ``text``."""
 
     def run(batches):
-        for part in slices(batches, text):
-            x = features(*text_bytes(part.column(text)))
+        for part in slices(batches):
+            x = features(*text_bytes(part.column("text")))
             rows = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [rows], names=[*keep, "__x"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), rows], names=["doc_id", "__x"])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).withColumnRenamed("text", text).mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("__x", T.ArrayType(T.DoubleType()))]))
 
 
 def crc_fold(doc_id, folds: int):
@@ -154,17 +151,26 @@ def fit(vectors: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE) ->
     return fit_sums({k: (t[0], t[1 : 1 + d], t[1 + d :].reshape(d, d)) for k, t in enumerate(total)}, shrinkage)
 
 
-def score(vectors: DataFrame, model: Model, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    schema = T.StructType([vectors.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    shared = vectors.sparkSession.sparkContext.broadcast(model)
+def _scored(docs: DataFrame, model: Model, keep: list[str], threshold: float, vectors_of) -> DataFrame:
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
-            x = b.column("__x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+        for b, x in vectors_of(batches):
             s = shared.value.score(x)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return vectors.select(*keep, "__x").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def score_vectors(vectors: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, score and predicted of stored vectors."""
+    return _scored(vectors, model, ["doc_id"], threshold, lambda batches: ((b, b.column("__x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))) for b in batches))
+
+
+def score_texts(docs: DataFrame, model: Model, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
+    """``keep`` columns of texts with score and predicted."""
+    return _scored(docs.select(*dict.fromkeys([*keep, "text"])), model, keep, threshold, lambda batches: ((b, features(*text_bytes(b.column("text")))) for b in slices(batches)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -175,12 +181,9 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None)
     """
     keep = [c for c in (keep or docs.columns) if c not in {"held_out", "score", "predicted"}]
     scratch = Scratch(docs.sparkSession)
-    vectors = scratch.table(with_features(docs, ["doc_id"]), "vectors")
+    vectors = scratch.table(with_features(docs), "vectors")
     model = fit(vectors, labels)
-    if keep == ["doc_id"]:
-        scored = score(vectors, model, keep)
-    else:
-        scored = score(with_features(docs, keep), model, keep)
+    scored = score_vectors(vectors, model) if keep == ["doc_id"] else score_texts(docs, model, keep)
     return scored.withColumn("held_out", crc_fold(F.col("doc_id"), FOLDS) == 0).select(*keep, "held_out", "score", "predicted")
 
 

@@ -71,7 +71,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default: str
     schema = "token string, len int, blocks int, ties array<int>, rule string, action string, regex string"
     best = _best_in_plan if len(rules) <= plan_rules else _best_by_join
     out = best(judged, pages.sparkSession.createDataFrame(index, schema), index, schema)
-    return out.select(*kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    return out.select(*kept, "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.action", F.lit(default)).alias("verdict"))
 
 
 def _fits(rule: Column) -> Column:
@@ -86,15 +86,15 @@ def _best_in_plan(judged: DataFrame, _table: DataFrame, index: list[tuple], sche
         by_token.setdefault(token, []).append(F.struct(*fields))
     table = F.create_map(*(x for token, rules in by_token.items() for x in (F.lit(token), F.array(*rules))))
     fetched = F.flatten(F.transform(url_tokens(F.col("host"), F.col("path")), lambda t: F.coalesce(F.try_element_at(table, t), F.array().cast(kind))))
-    return judged.withColumn("best", F.array_max(F.filter(fetched, _fits)))
+    return judged.withColumn("__best", F.array_max(F.filter(fetched, _fits)))
 
 
 def _best_by_join(judged: DataFrame, table: DataFrame, _index: list[tuple], _schema: str) -> DataFrame:
     """Distinct URLs only are joined; the best rule is a maximum, so it is combined before the shuffle."""
     urls = judged.select("host", "path").distinct()
     fetched = urls.select("host", "path", F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token")).join(table, "token")
-    fitting = fetched.withColumn("best", F.struct("len", "blocks", "ties", "rule", "action", "regex")).filter(_fits(F.col("best")))
-    return judged.join(fitting.groupBy("host", "path").agg(F.max("best").alias("best")), ["host", "path"], "left")
+    fitting = fetched.withColumn("__best", F.struct("len", "blocks", "ties", "rule", "action", "regex")).filter(_fits(F.col("__best")))
+    return judged.join(fitting.groupBy("host", "path").agg(F.max("__best").alias("__best")), ["host", "path"], "left")
 
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
