@@ -34,7 +34,7 @@ CHOICE = LENGTH - GRAM + 1
 BEFORE = CHOICE - 1
 WIDTH = LENGTH + BEFORE + 2
 #: Bytes of text whose suffixes make one run.
-RUN_BYTES = 16 << 20
+RUN_BYTES = 8 << 20
 
 _TABLE = stream(6, 256)
 _STEP = 0xD1342543DE82EF95
@@ -106,6 +106,19 @@ def _loaded(run: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return table.column("doc_id").to_numpy(), raw, offsets
 
 
+def _shared_anchors(run: list[pa.RecordBatch], hashes: np.ndarray) -> np.ndarray:
+    """Positions, in the joined texts of a run, of the anchors with these hashes; the batches are hashed one at a time."""
+    found, base = [np.zeros(0, np.int64)], 0
+    for batch in run:
+        raw, offsets = text_bytes(batch.column("text"))
+        at, h = anchors(raw, offsets)
+        if len(hashes):
+            key = h >> U64(8)
+            found.append(base + at[hashes[np.minimum(np.searchsorted(hashes, key), len(hashes) - 1)] == key])
+        base += len(raw)
+    return np.concatenate(found)
+
+
 def _sorted_runs(found: DataFrame, folder: str, splitters: np.ndarray) -> DataFrame:
     shared = found.sparkSession.sparkContext.broadcast(splitters)
 
@@ -113,10 +126,7 @@ def _sorted_runs(found: DataFrame, folder: str, splitters: np.ndarray) -> DataFr
         files = Files(folder)
         for number, held in enumerate(_runs(files.batches(f"texts-{part}"))):
             ids, raw, offsets = _loaded(held)
-            at, h = anchors(raw, offsets)
-            key = h >> U64(8)
-            place = np.minimum(np.searchsorted(hashes, key), max(0, len(hashes) - 1))
-            at = at[hashes[place] == key] if len(hashes) else at[:0]
+            at = _shared_anchors(held, hashes)
             rows = np.ascontiguousarray(suffixes(raw, offsets, at)).view(f"S{WIDTH}").ravel()
             distinct, which = np.unique(rows, return_inverse=True)
             doc = ids[np.searchsorted(offsets, at, "right") - 1]
@@ -253,7 +263,7 @@ def _cut(answers: DataFrame, parts: DataFrame, folder: str, with_text: bool) ->
         edges = np.zeros(len(raw) + 1, np.int32)
         np.add.at(edges, at[place] - reach[span, 1], 1)
         np.add.at(edges, at[place] - reach[span, 0] + LENGTH, -1)
-        return np.cumsum(edges[:-1]) > 0
+        return np.cumsum(edges[:-1], dtype=np.int32) > 0
 
     def cut(part: int, rows: list[dict]):
         files, by_run = Files(folder), {}
