@@ -2,8 +2,8 @@
 
 Documents of one shingle set form a class with the smallest id as its representative; only representatives are banded.  In a band
 bucket each one is paired with the smallest (the pivot), which is linear in the bucket.  Buckets that then still hold several
-components are searched again: members outside the pivot's component meet all members, in blocks, by signature, so no link that
-shares a bucket is lost and a bucket of any size is dealt to many tasks.  Every candidate is confirmed on the full sets.
+components are searched again: members outside the pivot's component meet all members, in blocks, on their full sets, so no link
+that shares a bucket is lost and a bucket of any size is dealt to many tasks.  Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ BANDS, ROWS = 25, 4
 PERCENT = 85
 #: Candidates whose signatures agree in this much less than the wanted share are not looked at; that is over five standard errors.
 SLACK = 0.2
-#: Members of a bucket that are compared in one task, and pairs of one document.
+#: Documents of a pivot that make a block, and pairs of one document that are confirmed in one task.
 BLOCK = 1000
 #: Up to this many candidate ids (8 bytes each) are sent to every executor.
 BROADCAST_IDS = 1_000_000
@@ -92,36 +92,6 @@ def _alike(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _block_pairs(mixed: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
-    """Candidates (a, b) of different components in each bucket of mixed (key, doc_id, component, is_pivots, n)."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    kept = mixed.select("key", "doc_id", "component", F.lit(0).alias("probe"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"))
-    probes = mixed.filter("NOT is_pivots").select("key", "doc_id", "component", F.lit(1).alias("probe"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    rows = kept.union(probes).join(sketches.select("doc_id", "sig"), "doc_id")
-
-    def run(batches):
-        at, held = None, []
-        for batch in batches:
-            out = []
-            for key, block, probe, doc, component, sig in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "probe", "doc_id", "component", "sig")), strict=True):
-                if (key, block) != at:
-                    at, held, table = (key, block), [], None
-                sig = np.frombuffer(sig, np.uint16)
-                if not probe:
-                    held.append((doc, component, sig))
-                elif held:
-                    if table is None:
-                        table = tuple(map(np.array, zip(*held, strict=True)))
-                    docs, owners, sigs = table
-                    for other in docs[(owners != component) & (_agree(sigs, sig) >= least)].tolist():
-                        out.append((min(doc, other), max(doc, other)))
-            a, b = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "probe")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, n, set) of the documents in ``wanted``."""
     count = wanted.count()
@@ -170,6 +140,67 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, scratch: Scratch
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+class _Members:
+    """The sets of a block of documents as postings: one probe meets all of them in one count."""
+
+    def __init__(self, docs: list[int], components: list[int], sets: list[np.ndarray]):
+        self.docs, self.components = docs, components
+        self.sizes = np.array([len(s) for s in sets])
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owners = values[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def linked(self, probe: np.ndarray, percent: int) -> np.ndarray:
+        """Members whose similarity with a set is high enough, exactly."""
+        first, end = np.searchsorted(self.values, probe, "left"), np.searchsorted(self.values, probe, "right")
+        n = end - first
+        at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        same = np.bincount(self.owners[at], minlength=len(self.docs))
+        return np.flatnonzero(100 * same >= percent * (self.sizes + len(probe) - same))
+
+
+def _block_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components of each pivot's documents: mixed (pivot, doc_id, component, is_pivots, n).
+
+    Documents outside the pivot's component meet all documents of the pivot, dealt to blocks.  Links that join what a task has joined
+    already are left out, so a task returns fewer links than it has documents, however alike these are.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    kept = mixed.select("pivot", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), F.lit(0).alias("probe"), "doc_id", "component")
+    probes = mixed.filter("NOT is_pivots").select("pivot", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("probe"), "doc_id", "component")
+    rows = kept.union(probes).join(sets, "doc_id")
+
+    def run(batches):
+        at, held, members, root = None, [], None, {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        for batch in batches:
+            out = []
+            for pivot, block, probe, doc, component, data in zip(*(batch.column(c).to_pylist() for c in ("pivot", "block", "probe", "doc_id", "component", "set")), strict=True):
+                if (pivot, block) != at:
+                    at, held, members, root = (pivot, block), [], None, {}
+                values = np.frombuffer(data, U64)
+                if not probe:
+                    held.append((doc, component, values))
+                elif held:
+                    members = members or _Members(*map(list, zip(*held, strict=True)))
+                    for j in members.linked(values, percent).tolist():
+                        x, y = find(component), find(members.components[j])
+                        if x != y:
+                            root[x] = y
+                            out.append((min(doc, members.docs[j]), max(doc, members.docs[j])))
+            a, b = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = rows.repartition(int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pivot", "block").sortWithinPartitions("pivot", "block", "probe")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def link(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(sketches, components): a row (doc_id, n, c1, c2) a document, and (node, component) of documents that aren't their own component."""
     scratch = scratch or Scratch(docs.sparkSession)
@@ -190,12 +221,14 @@ def link(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = None
 
     owner = first.toDF("doc_id", "component")
     owned = buckets.join(owner, "doc_id", "left").select("key", "doc_id", "pivot", F.coalesce("component", "doc_id").alias("component"), "n")
-    pivots = owned.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.when(F.col("doc_id") == F.col("pivot"), F.col("component"))).alias("pivots")).filter("low <> high")
-    mixed = scratch.table(owned.join(pivots, "key").select("key", "doc_id", "component", (F.col("component") == F.col("pivots")).alias("is_pivots"), "n"), "mixed")
-    more = scratch.table(_block_pairs(mixed, reps, least).join(stars, ["a", "b"], "left_anti"), "more")
-    more_links = scratch.table(_confirmed(more, docs, percent, scratch, "more"), "more-links")
+    pivots = owned.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    members = owned.join(pivots, "key").select("pivot", "doc_id", "component").distinct()
+    of_pivot = members.groupBy("pivot").agg(F.min(F.when(F.col("doc_id") == F.col("pivot"), F.col("component"))).alias("pivots"), F.count("*").alias("n"))
+    mixed = scratch.table(members.join(of_pivot, "pivot").select("pivot", "doc_id", "component", (F.col("component") == F.col("pivots")).alias("is_pivots"), "n"), "mixed")
+    more_sets = scratch.table(_sets(docs, mixed.select("doc_id").distinct()), "more-sets")
+    more_links = scratch.table(_block_links(mixed, more_sets, percent), "more-links")
     final = components(same_set.union(star_links.toDF("u", "v")).union(more_links.toDF("u", "v")), scratch, "final")
-    for name in ("reps", "buckets", "stars", "mixed", "more", "stars-sets", "more-sets", "stars-ids", "more-ids", "star-links", "more-links", "classes"):
+    for name in ("reps", "buckets", "stars", "mixed", "stars-sets", "more-sets", "stars-ids", "star-links", "more-links", "classes"):
         scratch.drop(name)
     return sketches.select("doc_id", "n", "c1", "c2"), final
 
