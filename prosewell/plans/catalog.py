@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from prosewell.plans import base, lexical, manuscripts, projects, prose
+from prosewell.plans import base, lexical, manuscripts, projects, prose, structure
 
 #: Loading a module registers its queries.
-_MODULES = (prose, lexical, manuscripts, projects)
+_MODULES = (prose, lexical, manuscripts, projects, structure)
 
 
 def queries() -> dict:
