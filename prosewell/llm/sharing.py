@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 
 from prosewell.llm.tokens import U64, slices, text_bytes
 
-#: Parts of the hash space, and samples that each partition may offer.
-BUCKETS, OFFERED = 64, 32
+#: Samples that each partition may offer.
+OFFERED = 32
 #: Stands for a null doc_id: after all others.
 NO_ID = (1 << 63) - 1
 
@@ -27,6 +27,11 @@ def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bucket_bits(df: DataFrame) -> int:
+    """The hash space is cut into 2 to this power parts, one a task or more, so what a task gets doesn't grow with the input."""
+    return max(6, (tasks(df) - 1).bit_length())
+
+
 class Files:
     """Texts and places of the input partitions in the shared folder."""
 
@@ -58,6 +63,9 @@ TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.large_string())])
 
 def store_and_hash(docs: DataFrame, folder: str, hashes_of) -> DataFrame:
     """Stores (doc_id, text); hashes_of(raw, offsets) gives text numbers, hashes and a few samples (bytes) of joined texts."""
+
+    bits = bucket_bits(docs)
+
     def run(batches):
         files, part = Files(folder), TaskContext.get().partitionId()
         hashes, low, high, offered = [], [], [], []
@@ -83,11 +91,16 @@ def store_and_hash(docs: DataFrame, folder: str, hashes_of) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         several = (np.minimum.reduceat(a, first) != np.maximum.reduceat(b, first)) if len(h) else np.zeros(0, bool)
         h = (h[first] & ~U64(1)) | several.astype(U64)  # the last bit says that several documents have it
-        cuts = np.searchsorted(h >> U64(65 - BUCKETS.bit_length()), np.arange(BUCKETS + 1).astype(U64))
-        for k in range(BUCKETS):
+        cuts = np.searchsorted(h >> U64(64 - bits), np.arange((1 << bits) + 1).astype(U64))
+        rows = []
+        for k in range(1 << bits):
             piece = h[cuts[k] : cuts[k + 1]]
             if len(piece) or not k:
-                yield pa.RecordBatch.from_pydict({"bucket": [k], "part": [part], "hashes": [(piece >> U64(8)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes() + np.packbits((piece & U64(1)).astype(bool)).tobytes()], "n": [len(piece)], "offered": [b"".join(offered[:: max(1, len(offered) // OFFERED)][:OFFERED]) if not k else b""]})
+                top = (piece >> U64(8)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()  # 56 bits of each hash, then the flags
+                sample = b"".join(offered[:: max(1, len(offered) // OFFERED)][:OFFERED]) if not k else b""
+                rows.append((k, part, top + np.packbits((piece & U64(1)).astype(bool)).tobytes(), len(piece), sample))
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "part", "hashes", "n", "offered"])
 
     return docs.mapInArrow(run, "bucket long, part long, hashes binary, n long, offered binary")
 
@@ -128,4 +141,4 @@ def several(sent: DataFrame) -> DataFrame:
         if held:
             yield batch(list(flush(held)))
 
-    return sent.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "part").mapInArrow(run, "part long, hashes binary, offered binary")
+    return sent.repartition(1 << bucket_bits(sent), "bucket").sortWithinPartitions("bucket", "part").mapInArrow(run, "part long, hashes binary, offered binary")

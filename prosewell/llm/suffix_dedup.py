@@ -33,6 +33,8 @@ LENGTH, GRAM = 50, 16
 CHOICE = LENGTH - GRAM + 1
 BEFORE = CHOICE - 1
 WIDTH = LENGTH + BEFORE + 2
+#: Suffixes whose strings are compared at once; a group is never split.
+CLOSE = 20_000
 #: Bytes of text whose suffixes make one run.
 RUN_BYTES = 8 << 20
 
@@ -162,70 +164,84 @@ def _sorted_runs(found: DataFrame, folder: str, splitters: np.ndarray) -> DataFr
     return dealt.mapInArrow(run, "range long, part long, run long, same binary, rest binary, least binary")
 
 
-def _reach(key: bytes) -> tuple[int, int]:
-    """How many bytes before the anchor a string of LENGTH bytes over it can start, least and most."""
-    return max(0, LENGTH - key[-2] + 1), key[-1] - 1
-
-
-def _least(group: list[tuple[bytes, int, list]]):
-    """For each suffix of a group (key, least id, references): spans of starts before the anchor with the least id of their strings."""
-    if len(group) == 1:
-        key, least, refs = group[0]
-        a, b = _reach(key)
-        yield refs, [(a, b, least)]
-        return
-    reach = [_reach(key) for key, *_ in group]
-    spans: list[list] = [[] for _ in group]
-    for j in range(BEFORE + 1):
-        seen: dict[bytes, int] = {}
-        strings = []
-        for (key, least, _), (a, b) in zip(group, reach, strict=True):
-            s = key[: LENGTH - j] + key[LENGTH : LENGTH + j] if a <= j <= b else None
-            strings.append(s)
-            if s is not None and seen.get(s, NO_ID) >= least:
-                seen[s] = least
-        for s, own in zip(strings, spans, strict=True):
-            if s is not None:
-                least = seen[s]
-                if own and own[-1][1] == j - 1 and own[-1][2] == least:
-                    own[-1] = (own[-1][0], j, least)
-                else:
-                    own.append((j, j, least))
-    for (_, _, refs), own in zip(group, spans, strict=True):
-        yield refs, own
+def _spans(keys: np.ndarray, groups: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted distinct suffixes (n x WIDTH), their groups and least ids: how many spans each has, the spans (fewest and most bytes
+    before the anchor that a string may start) and the least id that has the strings of a span.
+
+    A string that starts j bytes before the anchor is LENGTH - j bytes from it on and j before it; hashes of both parts, made for all
+    suffixes at once, stand for it.
+    """
+    low, high = np.maximum(0, LENGTH + 1 - keys[:, -2].astype(np.int64)), keys[:, -1].astype(np.int64) - 1
+    counts, firsts, lasts, ids, owners = np.ones(len(keys), np.int64), [low], [high], [least], [np.arange(len(keys))]
+    several = np.flatnonzero(np.bincount(groups, minlength=1)[groups] > 1)
+    if len(several):
+        part, own, a, b = keys[several].astype(U64) + U64(1), least[several], low[several], high[several]
+        after, before = [np.zeros(len(several), U64)], [np.zeros(len(several), U64)]
+        for j in range(LENGTH):
+            after.append((after[-1] + part[:, j]) * U64(_STEP))
+        for j in range(BEFORE):
+            before.append((before[-1] + part[:, LENGTH + j]) * U64(_STEP))
+        smallest = np.full((len(several), BEFORE + 3), -1, np.int64)  # a column more on either side
+        for j in range(BEFORE + 1):
+            some = np.flatnonzero((a <= j) & (j <= b))
+            if len(some):
+                h = mix(after[LENGTH - j][some] ^ mix(before[j][some] + U64(j)))
+                order = np.argsort(h, kind="stable")
+                h = h[order]
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                smallest[some[order], j + 1] = np.repeat(np.minimum.reduceat(own[some[order]], first), np.diff(np.append(first, len(h))))
+        inner = smallest[:, 1:-1]
+        starts, ends = (inner >= 0) & (inner != smallest[:, :-2]), (inner >= 0) & (inner != smallest[:, 2:])
+        row, first = np.nonzero(starts)
+        counts[several] = starts.sum(1)
+        single = np.ones(len(keys), bool)
+        single[several] = False
+        firsts, lasts, ids, owners = [low[single], first], [high[single], np.nonzero(ends)[1]], [least[single], inner[row, first]], [np.flatnonzero(single), several[row]]
+    order = np.argsort(np.concatenate(owners), kind="stable")
+    return counts, np.column_stack([np.concatenate(firsts), np.concatenate(lasts)])[order], np.concatenate(ids)[order]
 
 
 def _merged(runs: DataFrame) -> DataFrame:
     """For each run and range the spans of its suffixes, in order."""
 
     def answers(rows):
-        least = [np.frombuffer(r["least"], np.int64) for r in rows]
-        out = [[None] * len(x) for x in least]
-        seen, group = [0] * len(rows), []
+        least = [np.frombuffer(r["least"], np.int64).tolist() for r in rows]
+        out: list[list[tuple]] = [[] for _ in rows]
+        seen = [0] * len(rows)
+        keys, groups, lows, refs = [], [], [], []  # suffixes since the last close; (run, suffix) of each place
 
         def close():
-            for refs, spans in _least(group):
-                for run, place in refs:
-                    out[run][place] = spans
-
+            counts, reach, ids = _spans(np.frombuffer(b"".join(keys), np.uint8).reshape(-1, WIDTH), np.array(groups) - groups[0], np.array(lows))
+            first = np.cumsum(counts) - counts
+            run, suffix = np.array(refs).T
+            order = np.argsort(run, kind="stable")
+            edges = np.searchsorted(run[order], np.arange(len(rows) + 1))
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                own = suffix[order[edges[k] : edges[k + 1]]]
+                n = counts[own]
+                at = np.arange(n.sum()) + np.repeat(first[own] - (np.cumsum(n) - n), n)
+                out[k].append((n.astype(np.uint8), reach[at].astype(np.uint8), ids[at]))
+
+        group = 0
         for same, run, key in merge([decode(np.frombuffer(r["same"], np.uint8), r["rest"], WIDTH) for r in rows], WIDTH):
-            place = seen[run]
+            own = least[run][seen[run]]
             seen[run] += 1
-            own = int(least[run][place])
             if same == WIDTH:
-                k, low, refs = group[-1]
-                refs.append((run, place))
-                group[-1] = (k, min(low, own), refs)
-                continue
-            if same < GRAM and group:
-                close()
-                group = []
-            group.append((key, own, [(run, place)]))
-        if group:
+                if own < lows[-1]:
+                    lows[-1] = own
+            else:
+                if same < GRAM:
+                    group += 1
+                    if len(keys) >= CLOSE:
+                        close()
+                        keys, groups, lows, refs = [], [], [], []
+                keys.append(key), groups.append(group), lows.append(own)
+            refs.append((run, len(keys) - 1))
+        if keys:
             close()
-        for r, spans in zip(rows, out, strict=True):
-            flat = np.array([x for s in spans for x in s], np.int64).reshape(-1, 3)
-            yield r["part"], r["run"], r["range"], np.fromiter(map(len, spans), np.uint8, len(spans)).tobytes(), flat[:, :2].astype(np.uint8).tobytes(), flat[:, 2].tobytes()
+        for r, parts in zip(rows, out, strict=True):
+            counts, reach, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield r["part"], r["run"], r["range"], counts.tobytes(), reach.tobytes(), ids.tobytes()
 
     names = ("part", "run", "range", "counts", "reach", "ids")
     schema = pa.schema([(n, pa.int64()) for n in names[:3]] + [(n, pa.binary()) for n in names[3:]])
@@ -323,11 +339,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
 SQL = """
 WITH doc AS (SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
-place AS (SELECT rid, doc_id, h, n, unnest(range(0, n)) AS i FROM doc),
-string AS (SELECT rid, doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM place WHERE i + 50 <= n),
-least AS (SELECT s, min(doc_id) AS m FROM string GROUP BY s),
-hit AS (SELECT rid, i FROM string JOIN least USING (s) WHERE m < doc_id),
-byte AS (SELECT p.rid, p.i, substr(h, 2 * p.i + 1, 2) AS b, coalesce(max(hit.i) OVER (PARTITION BY p.rid ORDER BY p.i), -50) > p.i - 50 AS gone FROM place p LEFT JOIN hit ON hit.rid = p.rid AND hit.i = p.i),
+piece AS (SELECT rid, doc_id, n, c, substr(h, 400 * c + 1, 500) AS h FROM (SELECT *, unnest(range(0, (n + 199) // 200)) AS c FROM doc)),
+place AS (SELECT rid, doc_id, n, 200 * c + j AS i, substr(h, 2 * j + 1, 100) AS s FROM (SELECT *, unnest(range(0, least(200, n - 200 * c))) AS j FROM piece)),
+least AS (SELECT s, min(doc_id) AS m FROM place WHERE length(s) = 100 GROUP BY s),
+byte AS (SELECT p.rid, p.i, left(p.s, 2) AS b, coalesce(max(CASE WHEN l.m < p.doc_id THEN p.i END) OVER (PARTITION BY p.rid ORDER BY p.i), -50) > p.i - 50 AS gone FROM place p LEFT JOIN least l ON l.s = p.s),
 turn AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY rid ORDER BY i), false) AS starts FROM byte),
 cut AS (SELECT rid, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM turn GROUP BY rid)
 SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM doc LEFT JOIN cut USING (rid)
