@@ -1,18 +1,20 @@
 """Language-model scores by a probabilistic suffix tree.
 
-A context (the last one to DEPTH words) is a candidate if it makes up P_CONTEXT of the training tokens, and is retained if its next-word
-distribution diverges from that of its longest retained suffix by more than its description costs.  It stores the next words that
-make up P_ENTRY of the tokens together with it, discounted; all others fall back to the suffix, scaled so that the distribution
-sums to one.  The root is the smoothed distribution of single words.  A token is scored in the longest retained suffix of its past.
-
-By these two shares the tree has at most DEPTH / P_CONTEXT contexts and DEPTH / P_ENTRY entries whatever the corpus, so it can be
-broadcast; counts come from all training documents.  The vocabulary has no such bound: words of P_ENTRY or more (1 / P_ENTRY at most)
-go along with the tree, all others are joined.
+A context (the last one to DEPTH words) is a candidate if the training texts have it LEAST_CONTEXT times, and is retained if its
+next-word distribution diverges from that of its longest retained suffix by more than its description costs.  It stores the next words
+seen LEAST_ENTRY times after it, discounted; all others fall back to the suffix, scaled so that the distribution sums to one.  The root
+is the smoothed distribution of single words.  A token is scored in the longest retained suffix of its past.
+
+The counts are fixed, so the tree grows with the corpus and no task may hold it.  Grams (a context and its next word) and contexts lie
+in buckets by hash.  Each input partition stores its texts in the shared folder, sends what it has to the buckets, and gets back what
+these know of it, which is bounded by its own texts; so counting, retaining and scoring never hold more than a partition's share.
 """
 
 from __future__ import annotations
 
+import gc
 import math
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +23,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from prosewell.llm.quality import crc_fold
 from prosewell.llm.scratch import Scratch
+from prosewell.llm.sharing import Files, bucket_bits, tasks
 from prosewell.llm.tokens import _GRAM, BLANKS, U64, Lookup, mix, slices, text_bytes, words
 
-P_CONTEXT, P_ENTRY = 2e-5, 1e-6
+#: The least that counting can tell from chance; what is retained is decided by the divergence.
+LEAST_CONTEXT, LEAST_ENTRY = 2, 2
 DEPTH = 3
 DISCOUNT = 0.5
 SMOOTH = 0.1
 FOLDS = 10
 #: The end of a text as a token.
 END = U64(0x9D5F0B2E6C41A837)
-#: Counts that a task holds before it passes them on.
+#: Counts that a task collects before it sums them.
 HELD = 2_000_000
 
 
@@ -45,51 +49,18 @@ class Tokens:
         self.text = np.repeat(np.arange(len(size)), size)
         self.place = np.arange(len(self.hashes)) - np.repeat(self.bounds[:-1], size)
 
-    def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens that have ``depth`` words before them, and the hashes of those words."""
+    def grams(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens that have ``depth`` words before them, and the hashes of these words and the token: its context as seen by the next token."""
         at = np.flatnonzero(self.place >= depth)
-        return at, context_hash([self.hashes[at - 1 - j] for j in range(depth)])
+        return at, context_hash([self.hashes[at - j] for j in range(depth + 1)])
 
 
 def context_hash(recent_first: list[np.ndarray]) -> np.ndarray:
     return mix(sum((h * _GRAM[j] for j, h in enumerate(recent_first)), U64(0)))
 
 
-def _counted(chunks, name: str):
-    """Record batches (key, n) of arrays of keys, summed as far as a task can hold them."""
-    keys, counts, held = [], [], 0
-
-    def merged():
-        k, which = np.unique(np.concatenate(keys), return_inverse=True)
-        return [k], [np.bincount(which, np.concatenate(counts)).astype(np.int64)]
-
-    def batch():
-        return pa.RecordBatch.from_arrays([pa.array(keys[0].view(np.int64)), pa.array(counts[0])], names=[name, "n"])
-
-    for chunk in chunks:
-        k, c = np.unique(chunk, return_counts=True)
-        keys.append(k), counts.append(c)
-        held += len(k)
-        if held > HELD:
-            keys, counts = merged()
-            held = len(keys[0])
-            if held > HELD // 2:
-                yield batch()
-                keys, counts, held = [], [], 0
-    if held:
-        keys, counts = merged()
-        yield batch()
-
-
-def _count(texts: DataFrame, keys_of, name: str) -> DataFrame:
-    def run(batches):
-        yield from _counted((keys_of(Tokens(*text_bytes(part.column("text")))) for part in slices(batches)), name)
-
-    return texts.mapInArrow(run, f"{name} long, n long").groupBy(name).agg(F.sum("n").alias("n"))
-
-
 class Tree:
-    """Single-word probabilities of frequent words, and the retained contexts."""
+    """A tree in one place: single-word probabilities of frequent words, and the retained contexts.  The tests compare the dealt one with it."""
 
     def __init__(self, total: int, vocabulary: int, heads: np.ndarray, counts: np.ndarray):
         self.total, self.vocabulary = total, vocabulary
@@ -155,99 +126,307 @@ class Tree:
         self.entries = Lookup(self._keys)
 
 
-def _arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
-    table = df.select(*names).toArrow()
-    return [table.column(n).to_numpy().astype(np.int64) for n in names]
-
-
-def train(texts: DataFrame, scratch: Scratch, depth: int = DEPTH, p_context: float = P_CONTEXT, p_entry: float = P_ENTRY) -> tuple[Tree, DataFrame]:
-    """The tree of the training texts, and the counts of all their words (word, n)."""
-    vocabulary = scratch.table(_count(texts, lambda t: t.hashes, "word"), "vocabulary")
-    total, size = (x or 0 for x in vocabulary.agg(F.sum("n"), F.count("*")).first())
-    least, least_context = max(2, math.ceil(p_entry * total)), max(2, math.ceil(p_context * total))
-    word, n = _arrays(vocabulary.filter(F.col("n") >= least), "word", "n")  # 1 / p_entry rows at most
-    order = np.argsort(word.view(U64))
-    tree = Tree(total, size, word.view(U64)[order], n[order])
-    counts = n[order]
-
-    spark = texts.sparkSession
-    chosen = np.flatnonzero((counts >= least_context) & (tree.heads != END))
-    chains, occurs = [chosen], counts[chosen]  # word numbers of each candidate context, the latest first
-    for d in range(1, depth + 1):
-        if not len(occurs):
-            break
-        hashes = context_hash([tree.heads[c] for c in chains])
-        order = np.argsort(hashes)
-        chains, occurs, hashes = [c[order] for c in chains], occurs[order], hashes[order]
-        shared = spark.sparkContext.broadcast((Lookup(hashes), tree.lookup))
-
-        def keys_of(t: Tokens, d=d, shared=shared) -> np.ndarray:
-            contexts, heads = shared.value
-            at, h = t.contexts(d)
-            c = contexts(h)
-            at, c = at[c >= 0], c[c >= 0]
-            w = heads(t.hashes[at])
-            return (c[w >= 0].astype(U64) << U64(32)) | w[w >= 0].astype(U64)
-
-        key, n = _arrays(_count(texts, keys_of, "entry").filter(F.col("n") >= least), "entry", "n")  # 1 / p_entry rows at most
-        key = key.view(U64)
-        tree.grow(hashes, occurs, [context_hash([tree.heads[c] for c in chains[:k]]) for k in range(1, d)], key, n)
-        more = (n >= least_context) & (tree.heads[(key & U64(0xFFFFFFFF)).astype(np.int64)] != END)
-        ctx = (key[more] >> U64(32)).astype(np.int64)
-        chains, occurs = [(key[more] & U64(0xFFFFFFFF)).astype(np.int64), *(c[ctx] for c in chains)], n[more]
-    return tree, vocabulary
-
-
-def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of each row of ``docs`` (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+#: Kinds of rows between partitions and buckets; STORED_PART only tells that a partition exists.
+STORED_PART, GRAMS, CONTEXTS = -1, 0, 1
+SENT = "kind long, bucket long, part long, data binary"
+STORED = pa.schema([("doc_id", pa.int64()), ("text", pa.large_string()), ("held", pa.bool_())])
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of 8-byte values, the first of them ascending, by differences and byte planes."""
+    table = np.stack([np.ascontiguousarray(c).view(np.int64) for c in columns])
+    table[0, 1:] -= table[0, :-1].copy()
+    planes = np.ascontiguousarray(table.view(np.uint8).reshape(*table.shape, 8).transpose(0, 2, 1)).tobytes()
+    return len(columns[0]).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * width * n, codec="zstd", asbytes=True), np.uint8)
+    table = np.ascontiguousarray(planes.reshape(width, 8, n).transpose(0, 2, 1)).view(np.int64)[..., 0].copy()
+    table[0] = np.cumsum(table[0])
+    return table
+
+
+def _joined(data: list[bytes], width: int) -> tuple[np.ndarray, list[int]]:
+    """The columns of all, and how many rows each has."""
+    tables = [_unpacked(d, width) for d in data]
+    return np.concatenate([np.zeros((width, 0), np.int64), *tables], axis=1), [t.shape[1] for t in tables]
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As np.unique: distinct keys, their first places, and of each place its key.  The keys are sorted runs, which merge quickly."""
+    order = np.argsort(keys, kind="stable")
+    ahead = keys[order]
+    new = np.concatenate([np.ones(min(1, len(keys)), bool), ahead[1:] != ahead[:-1]])
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ahead[new], order[new], which
+
+
+def _cut(kind: int, part: int, columns: list[np.ndarray], bits: int):
+    """Rows (kind, bucket, part, data) of columns, the first of which holds sorted hashes."""
+    cuts = np.searchsorted(columns[0] >> U64(64 - bits), np.arange((1 << bits) + 1).astype(U64))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        yield kind, k, part, _packed([c[cuts[k] : cuts[k + 1]] for c in columns])
+
+
+def _batch(rows, names: str) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(names.split())
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "data" else pa.int64()) for n, c in zip(names.split(), columns, strict=True)], names=names.split())
+
+
+class _Counts:
+    """Distinct grams of a partition and how often its training texts have them."""
+
+    def __init__(self):
+        self.keys, self.counts, self.held = [np.zeros(0, U64)], [np.zeros(0, np.int64)], 0
+
+    def add(self, keys: np.ndarray, counted: np.ndarray) -> None:
+        k, n = np.unique(keys[counted], return_counts=True)
+        rest = np.unique(keys[~counted])
+        self.keys += [k, rest]
+        self.counts += [n, np.zeros(len(rest), np.int64)]
+        self.held += len(k) + len(rest)
+        if self.held > max(HELD, 2 * len(self.keys[0])):
+            self.merged()
+
+    def merged(self) -> list[np.ndarray]:
+        k, _, which = _distinct(np.concatenate(self.keys))
+        self.keys, self.counts = [k], [np.bincount(which, np.concatenate(self.counts), len(k)).astype(np.int64)]
+        self.held = len(k)
+        return [k, self.counts[0]]
+
+
+class _Entries:
+    """Distinct entries of a partition: gram, context, how often the context occurs, count of the gram, log10 of its probability in the suffix.
+
+    Contexts are there as well if none of their next words here is an entry: what these fall back by comes from the others.
+    """
+
+    def __init__(self):
+        self.rows, self.held = [], 0
+        self.contexts, self.occurs, self.met = [np.zeros(0, U64)], [np.zeros(0, np.int64)], 0
+
+    def meet(self, contexts: np.ndarray, occurs: np.ndarray) -> None:
+        c, first = np.unique(contexts, return_index=True)
+        self.contexts.append(c), self.occurs.append(occurs[first])
+        self.met += len(c)
+        if self.met > max(HELD, 2 * len(self.contexts[0])):
+            self.all_met()
+
+    def all_met(self) -> tuple[np.ndarray, np.ndarray]:
+        c, first, _ = _distinct(np.concatenate(self.contexts))
+        self.contexts, self.occurs = [c], [np.concatenate(self.occurs)[first]]
+        self.met = len(c)
+        return c, self.occurs[0]
+
+    def add(self, *columns: np.ndarray) -> None:
+        _, first = np.unique(columns[0], return_index=True)
+        self.rows.append([c[first] for c in columns])
+        self.held += len(first)
+        if self.held > max(HELD, 2 * len(self.rows[0][0])):
+            self.merged()
+
+    def merged(self) -> list[np.ndarray]:
+        columns = [np.concatenate(c) for c in zip(*self.rows, strict=True)] if self.rows else [np.zeros(0, t) for t in (U64, U64, np.int64, np.int64, np.float64)]
+        _, first, _ = _distinct(columns[0])
+        self.rows = [tuple(c[first] for c in columns)]
+        self.held = len(first)
+        return list(self.rows[0])
+
+    def sums(self) -> list[np.ndarray]:
+        """By context: how often it occurs, and over the entries that this partition answers for their number, counts, suffix probabilities and gains."""
+        _, contexts, occurs, n, log_q = self.merged()
+        own, n = (n & 1).astype(np.int64), n >> 1
+        c, all_occur = self.all_met()
+        which = np.searchsorted(c, contexts)
+        gain = n * (np.log((n - DISCOUNT) / occurs) - log_q * math.log(10))
+        ints = [np.bincount(which, own * x, len(c)).astype(np.int64) for x in (1, n)]
+        return [c, all_occur, *ints, *(np.bincount(which, own * x, len(c)).astype(np.float64) for x in (10.0**log_q, gain))]
+
+
+class Share:
+    """What a partition knows of the model: of each depth, counts of its grams and those of its contexts that are retained."""
+
+    def __init__(self, log_norm: float):
+        self.log_norm = log_norm
+        self.grams: list[tuple[Lookup, np.ndarray]] = []  # hashes; twice the count, one more if this partition answers for it
+        self.kept: list[tuple[Lookup, np.ndarray]] = []  # hashes, log10 of the scale of what falls back; the first are those of one word
+
+    def counted(self, depth: int, grams: np.ndarray) -> np.ndarray:
+        lookup, n = self.grams[depth]
+        found = lookup(grams)
+        return np.where(found >= 0, n[found], 0) if len(n) else np.zeros(len(grams), np.int64)
+
+    def walk(self, t: Tokens, least_entry: int):
+        """log10 P of each token in the retained contexts so far and by itself, its gram and count (as stored) at each depth; 0 without so many words before."""
+        grams, counts = [], []
+        for d in range(len(self.grams)):
+            at, g = t.grams(d)
+            for out, values in ((grams, g), (counts, self.counted(d, g))):
+                out.append(np.zeros(len(t.hashes), values.dtype))
+                out[-1][at] = values
+        base = np.log10((counts[0] >> 1) + SMOOTH) - self.log_norm
+        log = base.copy()
+        for d, (lookup, rest) in enumerate(self.kept, 1):
+            at = np.flatnonzero(t.place >= d)
+            found = lookup(grams[d - 1][at - 1])
+            at, found = at[found >= 0], found[found >= 0]
+            if len(at):
+                n = counts[d][at] >> 1
+                occurs = counts[d - 1][at - 1] >> 1
+                log[at] = np.where(n >= least_entry, np.log10(np.maximum(n - DISCOUNT, DISCOUNT) / np.maximum(occurs, 1)), log[at] + rest[found])
+        return log, base, grams, counts
+
+
+def _exchange(sent: DataFrame, least: int) -> DataFrame:
+    """What the buckets answer to each partition: of its grams that training texts have ``least`` times, the counts; of its contexts, those retained."""
+
+    def grams(keys, first, which, columns):
+        n = np.bincount(which, columns[1], len(keys)).astype(np.int64)
+        return n >= least, [n << 1], int(n.sum()), int((n > 0).sum())
+
+    def contexts(keys, first, which, columns):
+        occurs = columns[1][first]
+        size, count = (np.bincount(which, c, len(keys)) for c in columns[2:4])
+        q, gain = (np.bincount(which, c.view(np.float64), len(keys)) for c in columns[4:6])
+        p = (count - DISCOUNT * size) / occurs
+        rest = np.maximum(1 - p, 1e-12) / np.maximum(1 - q, 1e-12)
+        keep = (size > 0) & (gain + (occurs - count) * np.log(rest) > (size + 1) * 0.5 * np.log(np.maximum(occurs, 2)))
+        return keep, [np.log10(rest)], 0, 0
+
+    back = "kind part data total size"
 
     def run(batches):
-        row = TaskContext.get().partitionId() << 40
-        for part in slices(batches):
-            t, model = Tokens(*text_bytes(part.column("text"))), shared.value
-            n = part.num_rows
-            symbol = model.lookup(t.hashes)
-            state = np.zeros(len(symbol), np.int64)
-            for d, (lookup, states) in enumerate(model.levels, 1):
-                at, h = t.contexts(d)
-                found = lookup(h)
-                state[at[found >= 0]] = states[found[found >= 0]]
-            frequent = symbol >= 0
-            base = np.bincount(t.text[frequent], model.root[symbol[frequent]], n)
-            full = np.bincount(t.text, model.log_p(state, symbol), n)
-            rare = np.flatnonzero(~frequent)
-            ends = np.searchsorted(rare, t.bounds)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(row + np.arange(n)), part.column("doc_id"), pa.array(np.diff(t.bounds), pa.int64()), pa.array(np.bincount(t.text[frequent], minlength=n), pa.int64()),
-                    pa.array(base), pa.array(full), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(t.hashes[rare].view(np.int64))),
-                ],
-                names=["row", "doc_id", "n_tokens", "known", "base", "full", "rare"],
-            )
-            row += n
-
-    parts = scratch.table(docs.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, full double, rare array<long>"), "parts")
-    rare = parts.select("row", F.explode("rare").alias("word"))
-    looked = rare.join(vocabulary, "word", "left")
-    sums = looked.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTH)) - F.lit(tree.log_norm)).alias("log"))
-    known = F.col("known") + F.coalesce("more", F.lit(0))
-    log = F.coalesce("log", F.lit(0.0))
-    return parts.drop("rare").join(sums, "row", "left").select("doc_id", "n_tokens", known.alias("n_known"), (F.col("base") + log).alias("base_score"), (F.col("full") + log).alias("score"))
-
-
-def score_corpus(docs: DataFrame, folds: int = FOLDS, depth: int = DEPTH, p_context: float = P_CONTEXT, p_entry: float = P_ENTRY) -> DataFrame:
+        rows = ((k, b, p, d) for batch in batches for k, b, p, d in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "part", "data")), strict=True))
+        for (kind, _), held in groupby(rows, lambda r: r[:2]):
+            _, _, parts, data = zip(*held, strict=True)
+            if kind == STORED_PART:
+                yield _batch([(kind, p, b"", 0, 0) for p in parts], back)
+                continue
+            width = 2 if kind == GRAMS else 6
+            columns, sizes = _joined(list(data), width)
+            keys, first, which = _distinct(columns[0].view(U64))
+            some, values, total, size = (grams if kind == GRAMS else contexts)(keys, first, which, columns)
+            at, rows_back = 0, []
+            for part, n in zip(parts, sizes, strict=True):
+                mine = np.arange(at, at + n)
+                at += len(mine)
+                mine = mine[some[which[mine]]]
+                own = which[mine]
+                out = [v[own] for v in values]
+                if kind == GRAMS:  # the first partition that has a gram answers for it
+                    out[0] = out[0] + (first[own] == mine)
+                if len(mine):
+                    rows_back.append((kind, part, _packed([keys[own], *out]), total, size))
+                    total = size = 0
+            yield _batch(rows_back, back)
+
+    dealt = sent.repartition(tasks(sent), "kind", "bucket").sortWithinPartitions("kind", "bucket", "part")
+    return dealt.mapInArrow(run, "kind long, part long, data binary, total long, size long")
+
+
+def _each_part(answers: DataFrame, parts: DataFrame, folder: str, log_norm: float, depth: int, work, schema: str) -> DataFrame:
+    """``work(part, share, batches of its stored texts)`` for each partition, with what it has been answered up to this depth."""
+
+    def run(batches):
+        rows = ((p, k, d) for batch in batches for p, k, d in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "data")), strict=True))
+        for part, held in groupby(rows, lambda r: r[0]):
+            files, held = Files(folder), list(held)
+            share = Share(log_norm)
+            for kind, first, last, into in ((GRAMS, 0, depth, share.grams), (CONTEXTS, 1, depth - 1, share.kept)):
+                for d in range(first, last + 1):
+                    name = f"{kind}-{d}-{part}"
+                    if d < last:
+                        keys, values = _unpacked(files.arrays(name)["packed"].tobytes(), 2)
+                    else:
+                        keys, values = _joined([x for _, k, x in held if k == kind], 2)[0]
+                        order = np.argsort(keys.view(U64))
+                        keys, values = keys[order], values[order]
+                        packed = np.frombuffer(_packed([keys, values]), np.uint8)
+                        files.write(name, lambda out, packed=packed: np.savez(out, packed=packed))
+                    into.append((Lookup(keys.view(U64)), values if kind == GRAMS else values.view(np.float64)))
+            yield from work(part, share, (s for b in files.batches(f"texts-{part}") for s in slices(iter([b]))))
+
+    rows = answers.filter(F.col("kind") != STORED_PART).select("part", "kind", "data").union(parts.select("part", F.lit(STORED_PART).cast("bigint"), F.lit(None).cast("binary")))
+    return rows.repartition(tasks(answers), "part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)
+
+
+def score_corpus(docs: DataFrame, folds: int = FOLDS, depth: int = DEPTH, least_context: int = LEAST_CONTEXT, least_entry: int = LEAST_ENTRY) -> DataFrame:
     """Scores all rows of ``docs`` (doc_id, text) by a tree of those in no held-out fold.
 
     Null and empty texts are an end token.  A null doc_id counts as empty text in the fold, so it is held out.  Rows that repeat are
     counted and scored each.  Without training rows every word is unknown.  An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = crc_fold(F.col("doc_id"), folds) == 0
-    tree, vocabulary = train(texts.filter(~held).select("text"), scratch, depth, p_context, p_entry)
-    out = score(texts, tree, vocabulary, scratch)
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(tree.total).cast("bigint").alias("train_tokens"), "base_score", "score")
+    folder, bits = scratch.path("share"), bucket_bits(docs)
+    doc_id = F.col("doc_id").cast("bigint")
+    texts = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), (crc_fold(doc_id, folds) == 0).alias("held"))
+    least = min(least_context, least_entry)
+
+    def first(batches):
+        part, counts = TaskContext.get().partitionId(), _Counts()
+
+        def keep(out):
+            with pa.ipc.new_file(out, STORED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                for b in slices(batches):
+                    writer.write_batch(pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text").cast(pa.large_string()), b.column("held")], schema=STORED))
+                    t = Tokens(*text_bytes(b.column("text")))
+                    counts.add(t.grams(0)[1], ~b.column("held").to_numpy(zero_copy_only=False)[t.text])
+
+        Files(folder).write(f"texts-{part}", keep)
+        yield _batch([(STORED_PART, part % (1 << bits), part, b""), *_cut(GRAMS, part, counts.merged(), bits)], "kind bucket part data")
+
+    def deeper(d: int):
+        """Sends the sums of contexts of d words, and counts grams after contexts of d + 1 words."""
+
+        def work(part, share, stored):
+            counts, entries = _Counts(), _Entries()
+            for b in stored:
+                t = Tokens(*text_bytes(b.column("text")))
+                log, _, grams, seen = share.walk(t, least_entry)
+                if d:
+                    at = np.flatnonzero(t.place >= d)
+                    at = at[seen[d - 1][at - 1] >> 1 >= least_context]
+                    entries.meet(grams[d - 1][at - 1], seen[d - 1][at - 1] >> 1)
+                    at = at[seen[d][at] >> 1 >= least_entry]
+                    entries.add(grams[d][at], grams[d - 1][at - 1], seen[d - 1][at - 1] >> 1, seen[d][at], log[at])
+                if d < depth:  # a gram is as frequent as its context and its suffix at most
+                    at, g = t.grams(d + 1)
+                    some = (seen[d][at - 1] >> 1 >= least_context) & (seen[d][at] >> 1 >= least_entry)
+                    counts.add(g[some], ~b.column("held").to_numpy(zero_copy_only=False)[t.text[at[some]]])
+            if d < depth:
+                yield _batch(_cut(GRAMS, part, counts.merged(), bits), "kind bucket part data")
+            if d:
+                yield _batch(_cut(CONTEXTS, part, entries.sums(), bits), "kind bucket part data")
+
+        return work
+
+    def scored(part, share, stored):
+        share.grams = share.grams[: depth + 1]
+        for b in stored:
+            t = Tokens(*text_bytes(b.column("text")))
+            log, base, _, seen = share.walk(t, least_entry)
+            known = np.bincount(t.text[seen[0] > 0], minlength=b.num_rows)
+            sums = [np.bincount(t.text, x, b.num_rows) for x in (base, log)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("held"), pa.array(np.diff(t.bounds), pa.int64()), pa.array(known, pa.int64()), *map(pa.array, sums)],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+            )
+
+    answers = scratch.table(_exchange(texts.mapInArrow(first, SENT), 1), "answers-0")
+    total, size = (x or 0 for x in answers.agg(F.sum("total"), F.sum("size")).first())
+    log_norm = math.log10(total + SMOOTH * (size + 1)) if total else math.log10(SMOOTH)
+    parts = scratch.table(answers.filter(F.col("kind") == STORED_PART).select("part"), "parts")
+    for d in range(depth + 1):
+        answers = scratch.table(_exchange(_each_part(answers, parts, folder, log_norm, d, deeper(d), SENT), least), f"answers-{d + 1}")
+        scratch.drop(f"answers-{d}")
+        gc.collect()
+        docs.sparkSession._jvm.java.lang.System.gc()  # Spark deletes the shuffle files of tables that nothing holds any more
+    out = scratch.table(_each_part(answers, parts, folder, log_norm, depth + 1, scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "scores")
+    scratch.drop("share", f"answers-{depth + 1}")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from prosewell.llm import avi, compact_windows, components, minhash, mixing, quality, suffix_sort, tokens
+from prosewell.llm import avi, compact_windows, components, minhash, mixing, quality, suffix_sort, suffix_tree_lm, tokens
 from prosewell.llm.scratch import Scratch
 from prosewell.llm.suffix_tree_lm import Tree, context_hash
 from prosewell.llm.wavelet import WaveletFile, encode
@@ -173,3 +175,61 @@ def test_quality_on_held_out_documents(spark):
     held = got[got.held_out]
     assert (held.predicted == held.quality).mean() > 0.97
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in zip(got.doc_id, got.held_out, strict=True))
+
+
+def test_suffix_tree_learns_by_fixed_counts(spark):
+    """A pair that was learned stays learned, and more contexts come, however many other tokens are added."""
+    other = lambda k: " ".join(f"w{k}x{i % 7}y{i}" for i in range(4000))
+    few = [(k, f"alpha{k % 5} beta{k % 5}") for k in range(1, 21)]
+    few = [(k, t) for k, t in few if zlib.crc32(str(k).encode()) % 10]
+    gain = []
+    for more in (0, 60):
+        rows = few + [(1000 + k, other(k)) for k in range(more)]
+        got = {r["doc_id"]: r for r in suffix_tree_lm.score_corpus(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        gain.append(got[few[0][0]]["score"] - got[few[0][0]]["base_score"])
+    assert gain[1] > gain[0] > 0.5
+
+
+def test_suffix_tree_in_shares_is_the_tree_in_one_place(spark):
+    rng = random.Random(6)
+    words = [f"w{int(60 * rng.random() ** 2)}" for _ in range(6000)]
+    for i in range(2, len(words)):
+        if rng.random() < 0.5:
+            words[i] = f"w{(int(words[i - 1][1:]) * 7 + int(words[i - 2][1:])) % 60}"
+    rows = [(k, " ".join(words[20 * k : 20 * k + 20])) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r for r in suffix_tree_lm.score_corpus(docs).collect()}
+
+    texts = [[*(t.split()), None] for _, t in rows]
+    train = [t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 10]
+    hashes = tokens.words(*tokens.text_bytes(pa.array([" ".join(sorted({w for t in texts for w in t if w}))]))).hashes
+    number = dict(zip(sorted({w for t in texts for w in t if w}), hashes, strict=True)) | {None: suffix_tree_lm.END}
+    seen = Counter(w for t in train for w in t)
+    heads = np.array(sorted(number[w] for w in seen), np.uint64)
+    symbol = {w: int(np.searchsorted(heads, number[w])) for w in seen}
+    counts = np.zeros(len(heads), np.int64)
+    for w, n in seen.items():
+        counts[symbol[w]] = n
+    tree = Tree(int(counts.sum()), len(heads), heads, counts)
+    hashed = lambda c: int(context_hash([np.array([number[w]], np.uint64) for w in c])[0])
+    for d in (1, 2, 3):
+        grams = Counter((tuple(reversed(t[i - d : i])), t[i]) for t in train for i in range(d, len(t)))
+        occurs = Counter()
+        for (c, _), n in grams.items():
+            occurs[c] += n
+        contexts = sorted((c for c, n in occurs.items() if n >= 2), key=hashed)
+        place = {c: i for i, c in enumerate(contexts)}
+        entries = [((place[c] << 32) | symbol[w], n) for (c, w), n in grams.items() if c in place and n >= 2]
+        suffixes = [np.array([hashed(c[:k]) for c in contexts], np.uint64) for k in range(1, d)]
+        tree.grow(np.array([hashed(c) for c in contexts], np.uint64), np.array([occurs[c] for c in contexts]), suffixes, np.array([k for k, _ in entries], np.uint64), np.array([n for _, n in entries]))
+    assert len({len(lookup.keys) for lookup, _ in tree.levels}) > 1 and len(tree.parent) > 50
+    for k, t in enumerate(texts):
+        want = base = 0.0
+        for i, w in enumerate(t):
+            past = [np.array([hashed(tuple(reversed(t[i - d : i])))], np.uint64) for d in range(1, min(i, 3) + 1)]
+            log = float(tree.log_p(tree.state(past, 1), np.array([symbol.get(w, -1)]))[0])
+            one = 0.0 if w in symbol else np.log10(suffix_tree_lm.SMOOTH) - tree.log_norm
+            want += log + one
+            base += float(tree.root[symbol[w]]) if w in symbol else one
+        assert abs(got[k]["score"] - want) < 1e-6 and abs(got[k]["base_score"] - base) < 1e-6
+        assert got[k]["train_tokens"] == counts.sum() and got[k]["n_known"] == sum(w in symbol for w in t)
