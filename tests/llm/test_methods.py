@@ -233,3 +233,17 @@ def test_suffix_tree_in_shares_is_the_tree_in_one_place(spark):
             base += float(tree.root[symbol[w]]) if w in symbol else one
         assert abs(got[k]["score"] - want) < 1e-6 and abs(got[k]["base_score"] - base) < 1e-6
         assert got[k]["train_tokens"] == counts.sum() and got[k]["n_known"] == sum(w in symbol for w in t)
+
+
+@pytest.mark.parametrize("size", [50, 53, 60])
+def test_compact_windows_verify_edits_at_every_word(size):
+    rng = random.Random(7)
+    word = lambda: rng.getrandbits(60)
+    shingles = lambda w: np.array([hash(tuple(w[i : i + 5])) & ((1 << 62) - 1) for i in range(len(w) - 4)], np.uint64)
+    for at in range(size):
+        passage = [word() for _ in range(size)]
+        edited = [*passage[:at], word(), *passage[at + 1 :]]
+        a, b = ([shingles([*(word() for _ in range(n)), *p, *(word() for _ in range(80))]) for n, p in ((80, passage), (60, edited))])
+        x, y = set(shingles(passage).tolist()), set(shingles(edited).tolist())
+        if 100 * len(x & y) >= 80 * len(x | y):
+            assert compact_windows.verified(a, b, (0, len(a), 0, len(b), -20))
