@@ -247,3 +247,15 @@ def test_compact_windows_verify_edits_at_every_word(size):
         x, y = set(shingles(passage).tolist()), set(shingles(edited).tolist())
         if 100 * len(x & y) >= 80 * len(x | y):
             assert compact_windows.verified(a, b, (0, len(a), 0, len(b), -20))
+
+
+def test_compact_windows_compare_what_the_smallest_does_not_share(spark):
+    """Every shingle of the passage of 2 and 5 is in 0 or 1 and again in 3 or 4, each of which is too unlike the passage as a whole."""
+    rng = random.Random(8)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    one, two = ([word() if i in places else w for i, w in enumerate(passage)] for places in ((2, 9, 16, 23), (33, 40, 47, 54)))
+    texts = [[*(word() for _ in range(100)), *t, *(word() for _ in range(100))] for t in (one, two, passage, one, two, passage)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in compact_windows.linked(docs).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 0, 4: 1, 5: 2}
