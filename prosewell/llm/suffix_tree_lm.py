@@ -6,8 +6,10 @@ seen LEAST_ENTRY times after it, discounted; all others fall back to the suffix,
 is the smoothed distribution of single words.  A token is scored in the longest retained suffix of its past.
 
 The counts are fixed, so the tree grows with the corpus and no task may hold it.  Grams (a context and its next word) and contexts lie
-in buckets by hash.  Each input partition stores its texts in the shared folder, sends what it has to the buckets, and gets back what
-these know of it, which is bounded by its own texts; so counting, retaining and scoring never hold more than a partition's share.
+in buckets by hash.  Each input partition stores its texts as numbers of its own words in the shared folder, sends what it has to the
+buckets, and gets back what these know of it, which is bounded by its own texts; so counting, retaining and scoring never hold more
+than a partition's share.  Each depth is three steps with a table between them: partitions to buckets, buckets to answers, answers to
+files of the partitions; what a step has read is dropped before the next one writes.
 """
 
 from __future__ import annotations
@@ -32,27 +34,37 @@ DEPTH = 3
 DISCOUNT = 0.5
 SMOOTH = 0.1
 FOLDS = 10
+WHOLE = ~U64(0)
 #: The end of a text as a token.
 END = U64(0x9D5F0B2E6C41A837)
 #: Counts that a task collects before it sums them.
 HELD = 2_000_000
+#: Bits of a gram's hash beyond those that number the training tokens: a gram meets another one's hash with probability 2**-20 at most.
+SPARE_BITS = 20
 
 
 class Tokens:
     """Words of texts, the end after each text, and for every token its place in its text."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
-        w = words(raw, offsets, BLANKS)
-        self.hashes = np.insert(w.hashes, w.bounds[1:], END)
-        self.bounds = w.bounds + np.arange(len(w.bounds))
-        size = np.diff(self.bounds)
+    def __init__(self, hashes: np.ndarray, bounds: np.ndarray):
+        self.hashes, self.bounds = hashes, bounds
+        size = np.diff(bounds)
         self.text = np.repeat(np.arange(len(size)), size)
-        self.place = np.arange(len(self.hashes)) - np.repeat(self.bounds[:-1], size)
+        self.place = np.arange(len(hashes)) - np.repeat(bounds[:-1], size)
+
+    @classmethod
+    def of(cls, raw: np.ndarray, offsets: np.ndarray) -> Tokens:
+        w = words(raw, offsets, BLANKS)
+        return cls(np.insert(w.hashes, w.bounds[1:], END), w.bounds + np.arange(len(w.bounds)))
+
+    def grams(self, depth: int, mask: np.uint64 = WHOLE) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens that have ``depth`` words before them, and the hashes of these words and the token: its context as seen by the next token.
 
-    def grams(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens that have ``depth`` words before them, and the hashes of these words and the token: its context as seen by the next token."""
+        Single words keep their whole hash; of others the mask keeps the upper bits.
+        """
         at = np.flatnonzero(self.place >= depth)
-        return at, context_hash([self.hashes[at - j] for j in range(depth + 1)])
+        found = context_hash([self.hashes[at - j] for j in range(depth + 1)])
+        return at, found & mask if depth else found
 
 
 def context_hash(recent_first: list[np.ndarray]) -> np.ndarray:
@@ -129,7 +141,50 @@ class Tree:
 #: Kinds of rows between partitions and buckets; STORED_PART only tells that a partition exists.
 STORED_PART, GRAMS, CONTEXTS = -1, 0, 1
 SENT = "kind long, bucket long, part long, data binary"
-STORED = pa.schema([("doc_id", pa.int64()), ("text", pa.large_string()), ("held", pa.bool_())])
+#: Some texts of a partition: ids, held out or not, tokens, and the numbers of all their words as compressed byte planes.
+STORED = pa.schema([("doc_id", pa.int64()), ("held", pa.bool_()), ("size", pa.int64()), ("numbers", pa.large_binary())])
+
+
+class _Numbers:
+    """Numbers of a partition's distinct tokens, given as they come, the frequent ones of some texts first."""
+
+    def __init__(self):
+        self.known, self.number, self.given = np.zeros(0, U64), np.zeros(0, np.int64), []
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        found, which, n = np.unique(hashes, return_inverse=True, return_counts=True)
+        at = np.minimum(np.searchsorted(self.known, found), max(0, len(self.known) - 1))
+        old = self.known[at] == found if len(self.known) else np.zeros(len(found), bool)
+        out = np.empty(len(found), np.int64)
+        out[old] = self.number[at[old]]
+        new = np.flatnonzero(~old)
+        new = new[np.argsort(-n[new], kind="stable")]
+        out[new] = len(self.known) + np.arange(len(new))
+        self.given.append(found[new])
+        known = np.concatenate([self.known, found[~old]])
+        order = np.argsort(known, kind="stable")
+        self.known, self.number = known[order], np.concatenate([self.number, out[~old]])[order]
+        return out[which]
+
+    def hashes(self) -> np.ndarray:
+        return np.concatenate(self.given) if self.given else np.zeros(0, U64)
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _numbers(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _stored(files: Files, part: int):
+    """Ids, held out or not, and tokens of some texts of a partition after another."""
+    hashes = files.arrays(f"words-{part}")["hashes"]
+    for b in files.batches(f"texts-{part}"):
+        size = b.column("size").to_numpy()
+        yield b.column("doc_id"), b.column("held"), Tokens(hashes[_numbers(b.column("numbers")[0].as_py(), int(size.sum()))], np.concatenate([[0], np.cumsum(size)]))
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
@@ -243,14 +298,15 @@ class _Entries:
         which = np.searchsorted(c, contexts)
         gain = n * (np.log((n - DISCOUNT) / occurs) - log_q * math.log(10))
         ints = [np.bincount(which, own * x, len(c)).astype(np.int64) for x in (1, n)]
-        return [c, all_occur, *ints, *(np.bincount(which, own * x, len(c)).astype(np.float64) for x in (10.0**log_q, gain))]
+        q, gain = (np.bincount(which, own * x, len(c)).astype("<f4").view("<u4").astype(U64) for x in (10.0**log_q, gain))
+        return [c, all_occur, *ints, q << U64(32) | gain]  # single precision, summed in the order of partitions
 
 
 class Share:
     """What a partition knows of the model: of each depth, counts of its grams and those of its contexts that are retained."""
 
-    def __init__(self, log_norm: float):
-        self.log_norm = log_norm
+    def __init__(self, log_norm: float, mask: np.uint64 = WHOLE):
+        self.log_norm, self.mask = log_norm, mask
         self.grams: list[tuple[Lookup, np.ndarray]] = []  # hashes; twice the count, one more if this partition answers for it
         self.kept: list[tuple[Lookup, np.ndarray]] = []  # hashes, log10 of the scale of what falls back; the first are those of one word
 
@@ -263,7 +319,7 @@ class Share:
         """log10 P of each token in the retained contexts so far and by itself, its gram and count (as stored) at each depth; 0 without so many words before."""
         grams, counts = [], []
         for d in range(len(self.grams)):
-            at, g = t.grams(d)
+            at, g = t.grams(d, self.mask)
             for out, values in ((grams, g), (counts, self.counted(d, g))):
                 out.append(np.zeros(len(t.hashes), values.dtype))
                 out[-1][at] = values
@@ -290,11 +346,12 @@ def _exchange(sent: DataFrame, least: int) -> DataFrame:
     def contexts(keys, first, which, columns):
         occurs = columns[1][first]
         size, count = (np.bincount(which, c, len(keys)) for c in columns[2:4])
-        q, gain = (np.bincount(which, c.view(np.float64), len(keys)) for c in columns[4:6])
+        both = columns[4].view(U64)
+        q, gain = (np.bincount(which, x.astype("<u4").view("<f4").astype(np.float64), len(keys)) for x in (both >> U64(32), both & U64(0xFFFFFFFF)))
         p = (count - DISCOUNT * size) / occurs
         rest = np.maximum(1 - p, 1e-12) / np.maximum(1 - q, 1e-12)
         keep = (size > 0) & (gain + (occurs - count) * np.log(rest) > (size + 1) * 0.5 * np.log(np.maximum(occurs, 2)))
-        return keep, [np.log10(rest)], 0, 0
+        return keep, [np.log10(rest).astype("<f4").view("<u4").astype(np.int64)], 0, 0
 
     back = "kind part data total size"
 
@@ -305,7 +362,7 @@ def _exchange(sent: DataFrame, least: int) -> DataFrame:
             if kind == STORED_PART:
                 yield _batch([(kind, p, b"", 0, 0) for p in parts], back)
                 continue
-            width = 2 if kind == GRAMS else 6
+            width = 2 if kind == GRAMS else 5
             columns, sizes = _joined(list(data), width)
             keys, first, which = _distinct(columns[0].view(U64))
             some, values, total, size = (grams if kind == GRAMS else contexts)(keys, first, which, columns)
@@ -327,30 +384,46 @@ def _exchange(sent: DataFrame, least: int) -> DataFrame:
     return dealt.mapInArrow(run, "kind long, part long, data binary, total long, size long")
 
 
-def _each_part(answers: DataFrame, parts: DataFrame, folder: str, log_norm: float, depth: int, work, schema: str) -> DataFrame:
-    """``work(part, share, batches of its stored texts)`` for each partition, with what it has been answered up to this depth."""
+def _settled(answers: DataFrame, parts: DataFrame, folder: str, depth: int) -> DataFrame:
+    """Writes what each partition has been answered to files of its own: grams of ``depth`` words before one, contexts of a word less."""
 
     def run(batches):
         rows = ((p, k, d) for batch in batches for p, k, d in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "data")), strict=True))
         for part, held in groupby(rows, lambda r: r[0]):
             files, held = Files(folder), list(held)
-            share = Share(log_norm)
-            for kind, first, last, into in ((GRAMS, 0, depth, share.grams), (CONTEXTS, 1, depth - 1, share.kept)):
-                for d in range(first, last + 1):
-                    name = f"{kind}-{d}-{part}"
-                    if d < last:
-                        keys, values = _unpacked(files.arrays(name)["packed"].tobytes(), 2)
-                    else:
-                        keys, values = _joined([x for _, k, x in held if k == kind], 2)[0]
-                        order = np.argsort(keys.view(U64))
-                        keys, values = keys[order], values[order]
-                        packed = np.frombuffer(_packed([keys, values]), np.uint8)
-                        files.write(name, lambda out, packed=packed: np.savez(out, packed=packed))
-                    into.append((Lookup(keys.view(U64)), values if kind == GRAMS else values.view(np.float64)))
-            yield from work(part, share, (s for b in files.batches(f"texts-{part}") for s in slices(iter([b]))))
+            for kind, d in ((GRAMS, depth), (CONTEXTS, depth - 1)):
+                keys, values = _joined([x for _, k, x in held if k == kind], 2)[0]
+                order = np.argsort(keys.view(U64), kind="stable")
+                keys, values = keys[order], values[order]
+                if (kind, d) == (GRAMS, 0):  # of single words the counts alone, in the order of their numbers
+                    lookup, own = Lookup(keys.view(U64)), context_hash([files.arrays(f"words-{part}")["hashes"]])
+                    keys, values = np.arange(len(own)), np.append(values, 0)[lookup(own)]
+                packed = np.frombuffer(_packed([keys, values]), np.uint8)
+                files.write(f"{kind}-{d}-{part}", lambda out, packed=packed: np.savez(out, packed=packed))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64())], names=["part"])
 
     rows = answers.filter(F.col("kind") != STORED_PART).select("part", "kind", "data").union(parts.select("part", F.lit(STORED_PART).cast("bigint"), F.lit(None).cast("binary")))
-    return rows.repartition(tasks(answers), "part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)
+    return rows.repartition(tasks(answers), "part").sortWithinPartitions("part", "kind").mapInArrow(run, "part long")
+
+
+def _each_part(parts: DataFrame, folder: str, share_of, depth: int, work, schema: str) -> DataFrame:
+    """``work(part, share, its stored texts)`` for each partition, with what it has been answered up to this depth."""
+
+    def run(batches):
+        for part in (p for batch in batches for p in batch.column("part").to_pylist()):
+            files, share = Files(folder), share_of()
+            own = context_hash([files.arrays(f"words-{part}")["hashes"]])
+            for kind, last, into in ((GRAMS, depth, share.grams), (CONTEXTS, depth - 1, share.kept)):
+                for d in range(0 if kind == GRAMS else 1, last + 1):
+                    keys, values = _unpacked(files.arrays(f"{kind}-{d}-{part}")["packed"].tobytes(), 2)
+                    if (kind, d) == (GRAMS, 0):
+                        order = np.argsort(own)
+                        keys, values = own[order], values[order]
+                    into.append((Lookup(keys.view(U64)), values if kind == GRAMS else values.astype("<u4").view("<f4").astype(np.float64)))
+            yield from work(part, share, _stored(files, part))
+
+    n = (parts.agg(F.max("part")).first()[0] or 0) + 1
+    return parts.repartitionByRange(n, "part").mapInArrow(run, schema)
 
 
 def score_corpus(docs: DataFrame, folds: int = FOLDS, depth: int = DEPTH, least_context: int = LEAST_CONTEXT, least_entry: int = LEAST_ENTRY) -> DataFrame:
@@ -366,16 +439,18 @@ def score_corpus(docs: DataFrame, folds: int = FOLDS, depth: int = DEPTH, least_
     least = min(least_context, least_entry)
 
     def first(batches):
-        part, counts = TaskContext.get().partitionId(), _Counts()
+        part, counts, numbers, files = TaskContext.get().partitionId(), _Counts(), _Numbers(), Files(folder)
 
         def keep(out):
             with pa.ipc.new_file(out, STORED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 for b in slices(batches):
-                    writer.write_batch(pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text").cast(pa.large_string()), b.column("held")], schema=STORED))
-                    t = Tokens(*text_bytes(b.column("text")))
+                    t = Tokens.of(*text_bytes(b.column("text")))
+                    packed = pa.array([_planes(numbers(t.hashes))] + [None] * (b.num_rows - 1), pa.large_binary())
+                    writer.write_batch(pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held"), pa.array(np.diff(t.bounds), pa.int64()), packed], schema=STORED))
                     counts.add(t.grams(0)[1], ~b.column("held").to_numpy(zero_copy_only=False)[t.text])
 
-        Files(folder).write(f"texts-{part}", keep)
+        files.write(f"texts-{part}", keep)
+        files.write(f"words-{part}", lambda out: np.savez(out, hashes=numbers.hashes()))
         yield _batch([(STORED_PART, part % (1 << bits), part, b""), *_cut(GRAMS, part, counts.merged(), bits)], "kind bucket part data")
 
     def deeper(d: int):
@@ -383,8 +458,7 @@ def score_corpus(docs: DataFrame, folds: int = FOLDS, depth: int = DEPTH, least_
 
         def work(part, share, stored):
             counts, entries = _Counts(), _Entries()
-            for b in stored:
-                t = Tokens(*text_bytes(b.column("text")))
+            for _, held, t in stored:
                 log, _, grams, seen = share.walk(t, least_entry)
                 if d:
                     at = np.flatnonzero(t.place >= d)
@@ -393,9 +467,9 @@ def score_corpus(docs: DataFrame, folds: int = FOLDS, depth: int = DEPTH, least_
                     at = at[seen[d][at] >> 1 >= least_entry]
                     entries.add(grams[d][at], grams[d - 1][at - 1], seen[d - 1][at - 1] >> 1, seen[d][at], log[at])
                 if d < depth:  # a gram is as frequent as its context and its suffix at most
-                    at, g = t.grams(d + 1)
+                    at, g = t.grams(d + 1, share.mask)
                     some = (seen[d][at - 1] >> 1 >= least_context) & (seen[d][at] >> 1 >= least_entry)
-                    counts.add(g[some], ~b.column("held").to_numpy(zero_copy_only=False)[t.text[at[some]]])
+                    counts.add(g[some], ~held.to_numpy(zero_copy_only=False)[t.text[at[some]]])
             if d < depth:
                 yield _batch(_cut(GRAMS, part, counts.merged(), bits), "kind bucket part data")
             if d:
@@ -405,27 +479,38 @@ def score_corpus(docs: DataFrame, folds: int = FOLDS, depth: int = DEPTH, least_
 
     def scored(part, share, stored):
         share.grams = share.grams[: depth + 1]
-        for b in stored:
-            t = Tokens(*text_bytes(b.column("text")))
+        for doc_id, held, t in stored:
             log, base, _, seen = share.walk(t, least_entry)
-            known = np.bincount(t.text[seen[0] > 0], minlength=b.num_rows)
-            sums = [np.bincount(t.text, x, b.num_rows) for x in (base, log)]
+            known = np.bincount(t.text[seen[0] > 0], minlength=len(doc_id))
+            sums = [np.bincount(t.text, x, len(doc_id)) for x in (base, log)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held"), pa.array(np.diff(t.bounds), pa.int64()), pa.array(known, pa.int64()), *map(pa.array, sums)],
+                [doc_id, held, pa.array(np.diff(t.bounds), pa.int64()), pa.array(known, pa.int64()), *map(pa.array, sums)],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
             )
 
+    def freed(*names: str):
+        scratch.drop(*names)
+        gc.collect()
+        docs.sparkSession._jvm.java.lang.System.gc()  # Spark deletes the shuffle files of tables that nothing holds any more
+
     answers = scratch.table(_exchange(texts.mapInArrow(first, SENT), 1), "answers-0")
     total, size = (x or 0 for x in answers.agg(F.sum("total"), F.sum("size")).first())
     log_norm = math.log10(total + SMOOTH * (size + 1)) if total else math.log10(SMOOTH)
+    spare = 8 * ((64 - min(64, total.bit_length() + SPARE_BITS)) // 8)  # whole bytes, which then take no room
+    mask = WHOLE << U64(spare)
     parts = scratch.table(answers.filter(F.col("kind") == STORED_PART).select("part"), "parts")
-    for d in range(depth + 1):
-        answers = scratch.table(_exchange(_each_part(answers, parts, folder, log_norm, d, deeper(d), SENT), least), f"answers-{d + 1}")
-        scratch.drop(f"answers-{d}")
-        gc.collect()
-        docs.sparkSession._jvm.java.lang.System.gc()  # Spark deletes the shuffle files of tables that nothing holds any more
-    out = scratch.table(_each_part(answers, parts, folder, log_norm, depth + 1, scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "scores")
-    scratch.drop("share", f"answers-{depth + 1}")
+
+    def share() -> Share:
+        return Share(log_norm, mask)
+
+    for d in range(depth + 2):
+        scratch.table(_settled(answers, parts, folder, d), f"settled-{d}")
+        freed(f"answers-{d}")
+        if d <= depth:
+            answers = scratch.table(_exchange(_each_part(parts, folder, share, d, deeper(d), SENT), least), f"answers-{d + 1}")
+            freed(f"settled-{d}")
+    out = scratch.table(_each_part(parts, folder, share, depth + 1, scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "scores")
+    freed("share", "parts", f"settled-{depth + 1}")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
