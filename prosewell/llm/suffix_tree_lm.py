@@ -46,8 +46,8 @@ SPARE_BITS = 20
 class Tokens:
     """Words of texts, the end after each text, and for every token its place in its text."""
 
-    def __init__(self, hashes: np.ndarray, bounds: np.ndarray):
-        self.hashes, self.bounds = hashes, bounds
+    def __init__(self, hashes: np.ndarray, bounds: np.ndarray, numbers: np.ndarray | None = None):
+        self.hashes, self.bounds, self.numbers = hashes, bounds, numbers
         size = np.diff(bounds)
         self.text = np.repeat(np.arange(len(size)), size)
         self.place = np.arange(len(hashes)) - np.repeat(bounds[:-1], size)
@@ -184,7 +184,8 @@ def _stored(files: Files, part: int):
     hashes = files.arrays(f"words-{part}")["hashes"]
     for b in files.batches(f"texts-{part}"):
         size = b.column("size").to_numpy()
-        yield b.column("doc_id"), b.column("held"), Tokens(hashes[_numbers(b.column("numbers")[0].as_py(), int(size.sum()))], np.concatenate([[0], np.cumsum(size)]))
+        numbers = _numbers(b.column("numbers")[0].as_py(), int(size.sum()))
+        yield b.column("doc_id"), b.column("held"), Tokens(hashes[numbers], np.concatenate([[0], np.cumsum(size)]), numbers)
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
@@ -307,33 +308,39 @@ class Share:
 
     def __init__(self, log_norm: float, mask: np.uint64 = WHOLE):
         self.log_norm, self.mask = log_norm, mask
-        self.grams: list[tuple[Lookup, np.ndarray]] = []  # hashes; twice the count, one more if this partition answers for it
+        self.words = np.zeros(0, np.int64)  # by number: twice the count, one more if this partition answers for it
+        self.grams: list[tuple[Lookup, np.ndarray]] = []  # of two words and more: hashes, counts as above
         self.kept: list[tuple[Lookup, np.ndarray]] = []  # hashes, log10 of the scale of what falls back; the first are those of one word
 
-    def counted(self, depth: int, grams: np.ndarray) -> np.ndarray:
-        lookup, n = self.grams[depth]
-        found = lookup(grams)
-        return np.where(found >= 0, n[found], 0) if len(n) else np.zeros(len(grams), np.int64)
-
-    def walk(self, t: Tokens, least_entry: int):
-        """log10 P of each token in the retained contexts so far and by itself, its gram and count (as stored) at each depth; 0 without so many words before."""
-        grams, counts = [], []
-        for d in range(len(self.grams)):
-            at, g = t.grams(d, self.mask)
-            for out, values in ((grams, g), (counts, self.counted(d, g))):
+    def walk(self, t: Tokens, least_context: int, least_entry: int):
+        """log10 P of each token in the retained contexts so far and by itself, its gram and count (as stored) at each depth, and the sum that
+        its longest gram is the hash of.
+
+        A gram that is seen often enough consists of such grams, so only where these are is it looked for; elsewhere it counts as unseen.
+        """
+        least = min(least_context, least_entry)
+        total = t.hashes * _GRAM[0]
+        grams, counts = [mix(total)], [self.words[t.numbers]]
+        for d, (lookup, n) in enumerate(self.grams, 1):
+            often = counts[-1] >> 1 >= least
+            at = np.flatnonzero(often[1:] & often[:-1] & (t.place[1:] >= d)) + 1
+            total[at] += t.hashes[at - d] * _GRAM[d]
+            own = mix(total[at]) & self.mask
+            found = lookup(own)
+            for out, values in ((grams, own), (counts, np.append(n, 0)[found])):
                 out.append(np.zeros(len(t.hashes), values.dtype))
                 out[-1][at] = values
         base = np.log10((counts[0] >> 1) + SMOOTH) - self.log_norm
         log = base.copy()
         for d, (lookup, rest) in enumerate(self.kept, 1):
-            at = np.flatnonzero(t.place >= d)
+            at = np.flatnonzero((t.place[1:] >= d) & (counts[d - 1][:-1] >> 1 >= least_context)) + 1
             found = lookup(grams[d - 1][at - 1])
             at, found = at[found >= 0], found[found >= 0]
             if len(at):
                 n = counts[d][at] >> 1
                 occurs = counts[d - 1][at - 1] >> 1
                 log[at] = np.where(n >= least_entry, np.log10(np.maximum(n - DISCOUNT, DISCOUNT) / np.maximum(occurs, 1)), log[at] + rest[found])
-        return log, base, grams, counts
+        return log, base, grams, counts, total
 
 
 def _exchange(sent: DataFrame, least: int) -> DataFrame:
@@ -412,13 +419,12 @@ def _each_part(parts: DataFrame, folder: str, share_of, depth: int, work, schema
     def run(batches):
         for part in (p for batch in batches for p in batch.column("part").to_pylist()):
             files, share = Files(folder), share_of()
-            own = context_hash([files.arrays(f"words-{part}")["hashes"]])
             for kind, last, into in ((GRAMS, depth, share.grams), (CONTEXTS, depth - 1, share.kept)):
                 for d in range(0 if kind == GRAMS else 1, last + 1):
                     keys, values = _unpacked(files.arrays(f"{kind}-{d}-{part}")["packed"].tobytes(), 2)
                     if (kind, d) == (GRAMS, 0):
-                        order = np.argsort(own)
-                        keys, values = own[order], values[order]
+                        share.words = values
+                        continue
                     into.append((Lookup(keys.view(U64)), values if kind == GRAMS else values.astype("<u4").view("<f4").astype(np.float64)))
             yield from work(part, share, _stored(files, part))
 
@@ -459,7 +465,7 @@ def score_corpus(docs: DataFrame, folds: int = FOLDS, depth: int = DEPTH, least_
         def work(part, share, stored):
             counts, entries = _Counts(), _Entries()
             for _, held, t in stored:
-                log, _, grams, seen = share.walk(t, least_entry)
+                log, _, grams, seen, total = share.walk(t, least_context, least_entry)
                 if d:
                     at = np.flatnonzero(t.place >= d)
                     at = at[seen[d - 1][at - 1] >> 1 >= least_context]
@@ -467,9 +473,8 @@ def score_corpus(docs: DataFrame, folds: int = FOLDS, depth: int = DEPTH, least_
                     at = at[seen[d][at] >> 1 >= least_entry]
                     entries.add(grams[d][at], grams[d - 1][at - 1], seen[d - 1][at - 1] >> 1, seen[d][at], log[at])
                 if d < depth:  # a gram is as frequent as its context and its suffix at most
-                    at, g = t.grams(d + 1, share.mask)
-                    some = (seen[d][at - 1] >> 1 >= least_context) & (seen[d][at] >> 1 >= least_entry)
-                    counts.add(g[some], ~held.to_numpy(zero_copy_only=False)[t.text[at[some]]])
+                    at = np.flatnonzero((t.place[1:] > d) & (seen[d][:-1] >> 1 >= least_context) & (seen[d][1:] >> 1 >= least_entry)) + 1
+                    counts.add(mix(total[at] + t.hashes[at - d - 1] * _GRAM[d + 1]) & share.mask, ~held.to_numpy(zero_copy_only=False)[t.text[at]])
             if d < depth:
                 yield _batch(_cut(GRAMS, part, counts.merged(), bits), "kind bucket part data")
             if d:
@@ -478,9 +483,9 @@ def score_corpus(docs: DataFrame, folds: int = FOLDS, depth: int = DEPTH, least_
         return work
 
     def scored(part, share, stored):
-        share.grams = share.grams[: depth + 1]
+        share.grams = share.grams[:depth]
         for doc_id, held, t in stored:
-            log, base, _, seen = share.walk(t, least_entry)
+            log, base, _, seen, _ = share.walk(t, least_context, least_entry)
             known = np.bincount(t.text[seen[0] > 0], minlength=len(doc_id))
             sums = [np.bincount(t.text, x, len(doc_id)) for x in (base, log)]
             yield pa.RecordBatch.from_arrays(

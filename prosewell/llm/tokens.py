@@ -145,18 +145,22 @@ class Lookup:
     """Positions of 64-bit values in a sorted array by their top bits; -1 for absent ones.  Values should be hashes."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys = np.append(keys, U64(0))
-        self.n, self.shift = len(keys), U64(64 - max(1, len(keys).bit_length() + 1))
-        edges = np.arange(1 << int(U64(64) - self.shift), dtype=U64) << self.shift
-        self.first = np.searchsorted(keys, edges).astype(np.int64)
-        self.most = int(np.diff(np.append(self.first, self.n)).max(initial=0))
+        self.keys = np.append(keys, ~U64(0))
+        self.n, bits = len(keys), max(1, len(keys).bit_length())
+        self.shift = U64(64 - bits)
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=U64) << self.shift).astype(np.int32 if self.n < 1 << 31 else np.int64)
 
     def __call__(self, values: np.ndarray) -> np.ndarray:
-        at = self.first[values >> self.shift]
-        out = np.full(len(values), -1, np.int64)
-        for _ in range(self.most):
-            inside = np.minimum(at, self.n)
-            hit = (self.keys[inside] == values) & (inside < self.n)
-            out[hit] = inside[hit]
-            at = at + 1
+        at = self.first[values >> self.shift].astype(np.int64)
+        found = self.keys[at]
+        out = np.where((found == values) & (at < self.n), at, -1)
+        open_ = np.flatnonzero(found < values)  # the keys ascend: a larger one ends the search
+        at, values = at[open_], values[open_]
+        while len(open_):
+            at += 1
+            found = self.keys[at]
+            hit = (found == values) & (at < self.n)
+            out[open_[hit]] = at[hit]
+            on = found < values
+            open_, at, values = open_[on], at[on], values[on]
         return out
