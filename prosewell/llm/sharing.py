@@ -61,48 +61,82 @@ class Files:
 TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.large_string())])
 
 
-def store_and_hash(docs: DataFrame, folder: str, hashes_of) -> DataFrame:
-    """Stores (doc_id, text); hashes_of(raw, offsets) gives text numbers, hashes and a few samples (bytes) of joined texts."""
-
-    bits = bucket_bits(docs)
-
-    def run(batches):
-        files, part = Files(folder), TaskContext.get().partitionId()
-        hashes, low, high, offered = [], [], [], []
-
-        def keep(out):
-            with pa.ipc.new_file(out, TEXTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                for b in slices(batches):
-                    ids = b.column("doc_id").fill_null(NO_ID)
-                    writer.write_batch(pa.RecordBatch.from_arrays([ids, b.column("text").cast(pa.large_string()).fill_null("")], schema=TEXTS))
-                    raw, offsets = text_bytes(b.column("text"))
-                    text, h, samples = hashes_of(raw, offsets)
-                    doc = ids.to_numpy(zero_copy_only=False)[text]
-                    order = np.lexsort((doc, h))
-                    h, doc = h[order], doc[order]
-                    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-                    hashes.append(h[first]), low.append(doc[first]), high.append(doc[np.append(first[1:], len(h)) - 1] if len(h) else doc)
-                    offered.extend(samples)
-
-        files.write(f"texts-{part}", keep)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, U64)
-        order = np.argsort(h, kind="stable")
-        h, a, b = h[order], *(np.concatenate(x)[order] if x else np.zeros(0, np.int64) for x in (low, high))
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        several = (np.minimum.reduceat(a, first) != np.maximum.reduceat(b, first)) if len(h) else np.zeros(0, bool)
-        h = (h[first] & ~U64(1)) | several.astype(U64)  # the last bit says that several documents have it
+class Distinct:
+    """The distinct hashes of a partition; the last bit of each says that several of its documents have it."""
+
+    def __init__(self):
+        self.parts, self.held = [np.zeros(0, U64)], 0
+
+    def add(self, hashes: np.ndarray, doc: np.ndarray) -> None:
+        """Hashes of some documents, and whose they are; no document comes twice."""
+        if not len(hashes):
+            return
+        order = np.argsort(hashes, kind="stable")
+        h, d = hashes[order], doc[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+        self.parts.append((h[first] & ~U64(1)) | several.astype(U64))
+        self.held += len(first)
+        if self.held > max(4_000_000, 2 * len(self.parts[0])):
+            self.merged()
+
+    def merged(self) -> np.ndarray:
+        h = np.sort(np.concatenate(self.parts), kind="stable")
+        bare = h >> U64(1)
+        first = np.flatnonzero(np.concatenate([[True], bare[1:] != bare[:-1]])) if len(h) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(h)))
+        h = h[first + n - 1] | (n > 1).astype(U64)  # the flagged one comes last
+        self.parts, self.held = [h], len(h)
+        return h
+
+    def rows(self, part: int, bits: int, samples: bytes = b"") -> pa.RecordBatch:
+        """bucket, part, 56 bits of each hash with the flags, how many, samples.  The first bucket has a row in any case."""
+        h = self.merged()
         cuts = np.searchsorted(h >> U64(64 - bits), np.arange((1 << bits) + 1).astype(U64))
         rows = []
         for k in range(1 << bits):
             piece = h[cuts[k] : cuts[k + 1]]
             if len(piece) or not k:
-                top = (piece >> U64(8)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()  # 56 bits of each hash, then the flags
-                sample = b"".join(offered[:: max(1, len(offered) // OFFERED)][:OFFERED]) if not k else b""
-                rows.append((k, part, top + np.packbits((piece & U64(1)).astype(bool)).tobytes(), len(piece), sample))
+                top = (piece >> U64(8)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+                rows.append((k, part, top + np.packbits((piece & U64(1)).astype(bool)).tobytes(), len(piece), b"" if k else samples))
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "part", "hashes", "n", "offered"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "part", "hashes", "n", "offered"])
+
+
+SENT = "bucket long, part long, hashes binary, n long, offered binary"
+
+
+def store(batches, files: Files, part: int, take) -> None:
+    """Writes (doc_id, text) of a partition; ``take`` gets each batch as it is written."""
+
+    def keep(out):
+        with pa.ipc.new_file(out, TEXTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            for b in slices(batches):
+                kept = pa.RecordBatch.from_arrays([b.column("doc_id").fill_null(NO_ID), b.column("text").cast(pa.large_string()).fill_null("")], schema=TEXTS)
+                writer.write_batch(kept)
+                take(kept)
+
+    files.write(f"texts-{part}", keep)
+
+
+def store_and_hash(docs: DataFrame, folder: str, hashes_of) -> DataFrame:
+    """Stores (doc_id, text); hashes_of(raw, offsets) gives text numbers, hashes and a few samples (bytes) of joined texts."""
+
+    bits = bucket_bits(docs)
+
+    def run(batches):
+        found, offered = Distinct(), []
+        part = TaskContext.get().partitionId()
+
+        def take(b):
+            text, h, samples = hashes_of(*text_bytes(b.column("text")))
+            found.add(h, b.column("doc_id").to_numpy()[text])
+            offered.extend(samples)
+
+        store(batches, Files(folder), part, take)
+        yield found.rows(part, bits, b"".join(offered[:: max(1, len(offered) // OFFERED)][:OFFERED]))
 
-    return docs.mapInArrow(run, "bucket long, part long, hashes binary, n long, offered binary")
+    return docs.mapInArrow(run, SENT)
 
 
 def _unpack(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
