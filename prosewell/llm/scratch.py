@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,12 @@ _FALLBACK: list[tempfile.TemporaryDirectory] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only a session that names none (tests) gets a local one."""
+    """The folder named by ``spark.checkpoint.dir``; only a local session that names none (tests) gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _FALLBACK:
         _FALLBACK.append(tempfile.TemporaryDirectory(prefix="prosewell-"))
     return f"file://{_FALLBACK[0].name}"
@@ -37,6 +40,20 @@ def ship(spark: SparkSession) -> None:
     context._prosewell_shipped = True
 
 
+#: Shuffle files are deleted when the query that made them has ended, not when the driver happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _files_go_with_the_query(spark: SparkSession):
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
 class Scratch:
     """Parquet tables under one folder of the shared store.
 
@@ -55,7 +72,8 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str, by: tuple[str, ...] = (), **options: str) -> DataFrame:
         """by: columns whose values lie in folders of their own."""
-        df.write.options(**{"compression": "zstd"} | options).partitionBy(*by).parquet(self.path(name))
+        with _files_go_with_the_query(self.spark):
+            df.write.options(**{"compression": "zstd"} | options).partitionBy(*by).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
