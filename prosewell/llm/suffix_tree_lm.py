@@ -38,7 +38,7 @@ WHOLE = ~U64(0)
 #: The end of a text as a token.
 END = U64(0x9D5F0B2E6C41A837)
 #: Counts that a task collects before it sums them.
-HELD = 2_000_000
+HELD = 500_000
 #: Bits of a gram's hash beyond those that number the training tokens: a gram meets another one's hash with probability 2**-20 at most.
 SPARE_BITS = 20
 
@@ -220,6 +220,14 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ahead[new], order[new], which
 
 
+def _firsts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts the keys, where in it each distinct key starts, and the distinct keys."""
+    order = np.argsort(keys, kind="stable")
+    ahead = keys[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), ahead[1:] != ahead[:-1]]))
+    return order, first, ahead[first]
+
+
 def _cut(kind: int, part: int, columns: list[np.ndarray], bits: int):
     """Rows (kind, bucket, part, data) of columns, the first of which holds sorted hashes."""
     cuts = np.searchsorted(columns[0] >> U64(64 - bits), np.arange((1 << bits) + 1).astype(U64))
@@ -236,22 +244,24 @@ class _Counts:
     """Distinct grams of a partition and how often its training texts have them."""
 
     def __init__(self):
-        self.keys, self.counts, self.held = [np.zeros(0, U64)], [np.zeros(0, np.int64)], 0
+        self.keys, self.counts, self.held = [np.zeros(0, U64)], [np.zeros(0, np.int32)], 0
 
     def add(self, keys: np.ndarray, counted: np.ndarray) -> None:
         k, n = np.unique(keys[counted], return_counts=True)
         rest = np.unique(keys[~counted])
         self.keys += [k, rest]
-        self.counts += [n, np.zeros(len(rest), np.int64)]
+        self.counts += [n.astype(np.int32), np.zeros(len(rest), np.int32)]
         self.held += len(k) + len(rest)
-        if self.held > max(HELD, 2 * len(self.keys[0])):
+        if self.held > max(HELD, 1.5 * len(self.keys[0])):
             self.merged()
 
     def merged(self) -> list[np.ndarray]:
-        k, _, which = _distinct(np.concatenate(self.keys))
-        self.keys, self.counts = [k], [np.bincount(which, np.concatenate(self.counts), len(k)).astype(np.int64)]
+        order, first, k = _firsts(np.concatenate(self.keys))
+        self.keys = [k]
+        n = np.concatenate(self.counts)[order]
+        self.counts = [np.add.reduceat(n, first, dtype=np.int64).astype(np.int32) if len(first) else n]
         self.held = len(k)
-        return [k, self.counts[0]]
+        return [k, self.counts[0].astype(np.int64)]
 
 
 class _Entries:
@@ -260,46 +270,52 @@ class _Entries:
     Contexts are there as well if none of their next words here is an entry: what these fall back by comes from the others.
     """
 
+    KINDS = (U64, U64, np.int64, np.int64, np.float32)
+
     def __init__(self):
-        self.rows, self.held = [], 0
+        self.rows, self.held = [[np.zeros(0, t)] for t in self.KINDS], 0
         self.contexts, self.occurs, self.met = [np.zeros(0, U64)], [np.zeros(0, np.int64)], 0
 
     def meet(self, contexts: np.ndarray, occurs: np.ndarray) -> None:
         c, first = np.unique(contexts, return_index=True)
         self.contexts.append(c), self.occurs.append(occurs[first])
         self.met += len(c)
-        if self.met > max(HELD, 2 * len(self.contexts[0])):
+        if self.met > max(HELD, 1.5 * len(self.contexts[0])):
             self.all_met()
 
     def all_met(self) -> tuple[np.ndarray, np.ndarray]:
-        c, first, _ = _distinct(np.concatenate(self.contexts))
-        self.contexts, self.occurs = [c], [np.concatenate(self.occurs)[first]]
+        order, first, c = _firsts(np.concatenate(self.contexts))
+        self.contexts, self.occurs = [c], [np.concatenate(self.occurs)[order[first]]]
         self.met = len(c)
         return c, self.occurs[0]
 
     def add(self, *columns: np.ndarray) -> None:
         _, first = np.unique(columns[0], return_index=True)
-        self.rows.append([c[first] for c in columns])
+        for held, c, kind in zip(self.rows, columns, self.KINDS, strict=True):
+            held.append(c[first].astype(kind))
         self.held += len(first)
-        if self.held > max(HELD, 2 * len(self.rows[0][0])):
+        if self.held > max(HELD, 1.5 * len(self.rows[0][0])):
             self.merged()
 
     def merged(self) -> list[np.ndarray]:
-        columns = [np.concatenate(c) for c in zip(*self.rows, strict=True)] if self.rows else [np.zeros(0, t) for t in (U64, U64, np.int64, np.int64, np.float64)]
-        _, first, _ = _distinct(columns[0])
-        self.rows = [tuple(c[first] for c in columns)]
-        self.held = len(first)
-        return list(self.rows[0])
+        order, first, _ = _firsts(np.concatenate(self.rows[0]))
+        at = order[first]
+        del order, first
+        for k, held in enumerate(self.rows):  # one column after another
+            self.rows[k] = [np.concatenate(held)[at]]
+            held.clear()
+        self.held = len(at)
+        return [c[0] for c in self.rows]
 
     def sums(self) -> list[np.ndarray]:
         """By context: how often it occurs, and over the entries that this partition answers for their number, counts, suffix probabilities and gains."""
-        _, contexts, occurs, n, log_q = self.merged()
-        own, n = (n & 1).astype(np.int64), n >> 1
         c, all_occur = self.all_met()
-        which = np.searchsorted(c, contexts)
+        _, contexts, occurs, n, log_q = self.merged()
+        mine = (n & 1).astype(bool)
+        which, n, occurs, log_q = np.searchsorted(c, contexts[mine]), n[mine] >> 1, occurs[mine], log_q[mine].astype(np.float64)
         gain = n * (np.log((n - DISCOUNT) / occurs) - log_q * math.log(10))
-        ints = [np.bincount(which, own * x, len(c)).astype(np.int64) for x in (1, n)]
-        q, gain = (np.bincount(which, own * x, len(c)).astype("<f4").view("<u4").astype(U64) for x in (10.0**log_q, gain))
+        ints = [np.bincount(which, x, len(c)).astype(np.int64) for x in (np.ones(len(n)), n)]
+        q, gain = (np.bincount(which, x, len(c)).astype("<f4").view("<u4").astype(U64) for x in (10.0**log_q, gain))
         return [c, all_occur, *ints, q << U64(32) | gain]  # single precision, summed in the order of partitions
 
 
