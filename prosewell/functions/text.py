@@ -6,9 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from prosewell.functions.profile import Profile
+from prosewell.functions.profile import MARK, Profile
 
 SPACE = r"[\s\x{3000}]"
+BLANKS = " \t\n\x0b\f\r\u3000"
+#: Unicode ranges, and the notation of emphasis, ruby, scene breaks and document marks.
 KANJI = r"々〆ヵヶ㐀-䶿一-鿿豈-﫿"
 KANA = r"ぁ-ゖァ-ヺー"
 EMPHASIS = r"《《([^《》\n]+)》》"
@@ -35,12 +37,12 @@ def visible(text: Column) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def plain(text: Column) -> Column:
     """Without emphasis, ruby and bare ruby, in this order."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, EMPHASIS, "$1"), RUBY, "$1"), BARE_RUBY, "$1")
+    return F.when(F.contains(text, F.lit("》")), F.regexp_replace(F.regexp_replace(F.regexp_replace(text, EMPHASIS, "$1"), RUBY, "$1"), BARE_RUBY, "$1")).otherwise(text)
 
 
 NOT_WORD = r"[^a-zà-öø-ÿœ]+"
@@ -66,10 +68,13 @@ def is_symbols(line: Column) -> Column:
     return line.rlike(SYMBOLS) & ~line.rlike("[「『（]") & ~line.rlike(SILENT)
 
 
-def line_kind(line: Column) -> Column:
-    """One of KINDS.  What starts with the document mark is document or docblank, whatever it looks like."""
-    body = document_body(line)
-    bare = trimmed(body)
+def line_kind(line: Column, body: Column | None = None, bare: Column | None = None) -> Column:
+    """One of KINDS.  What starts with the document mark is document or docblank, whatever it looks like.
+
+    body: the line without that mark, bare: the body trimmed, if they are at hand.
+    """
+    body = document_body(line) if body is None else body
+    bare = trimmed(body) if bare is None else bare
     return (
         F.when(F.startswith(line, F.lit(DOCUMENT_MARK)), F.when(bare == "", "docblank").otherwise("document"))
         .when(bare == "", "blank")
@@ -86,14 +91,41 @@ def heading_title(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(line, HEADING, ""), r"[ \t\x{3000}]*#*[ \t\x{3000}]*$", "")
 
 
-def ending_class(sentence: Column, profile: Profile) -> Column:
-    core = F.regexp_replace(F.lower(sentence), profile.tail, "")
-    chain = F.when(core == "", "other")
+def sentence_end(sentence: Column, profile: Profile) -> Column:
+    """The last characters of a sentence, without marks."""
+    return F.right(F.regexp_replace(F.lower(sentence), profile.tail, ""), F.lit(profile.reach))
+
+
+def ending_class(end: Column, profile: Profile) -> Column:
+    """The class of the end of a sentence."""
+    chain = F.when(end == "", "other")
     for name, pattern in profile.endings:
-        chain = chain.when(core.rlike(pattern), name)
+        chain = chain.when(end.rlike(pattern), name)
     return chain.otherwise("other")
 
 
+def marked(body: Column, profile: Profile) -> Column:
+    """A line with MARK in place of each utterance; lines without quotes are as they are."""
+    out = F.regexp_replace(body, profile.utterance, MARK)
+    for pattern, stays in profile.framed:
+        out = F.regexp_replace(out, pattern, stays.replace("{1}", "$1"))
+    return F.when(body.rlike(profile.quotes), out).otherwise(body)
+
+
+def marks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(MARK), F.lit("")))
+
+
+def excerpt(text: Column, n: int = 24) -> Column:
+    """One line of at most n characters, what was cut shown by an ellipsis."""
+    flat = trimmed(F.regexp_replace(text, r"\n+", " "))
+    return F.when(F.length(flat) > n, F.concat(F.left(flat, F.lit(n)), F.lit("…"))).otherwise(flat)
+
+
+def has_letters(text: Column) -> Column:
+    return text.rlike(r"[\p{L}\p{N}]")
+
+
 def offsets(text: Column, pattern: str) -> Column:
     """Array of {pos, hit}: where (from 0) a pattern matches, by the lengths of what lies between."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

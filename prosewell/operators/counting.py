@@ -8,6 +8,10 @@ from prosewell.functions import text as T
 from prosewell.operators import decompose as D
 
 
+#: Set emphasis aside while ruby is rendered.
+LEFT, RIGHT = "\ue000", "\ue001"
+
+
 def count_modes(docs: DataFrame) -> DataFrame:
     """doc_id, body, narou, raw, invisible.
 
@@ -74,13 +78,13 @@ def convert_lines(docs: DataFrame, target: str, emphasis_mark: str = "﹅") -> D
     return D.lines(docs).select("doc_id", "line", render(F.col("raw"), target, emphasis_mark).alias("out"))
 
 
-def render(line: Column, target: str, emphasis_mark: str = "﹅") -> Column:
+def render(line: Column, target: str, emphasis_mark: str = "﹅", strip: bool = False) -> Column:
     """Emphasis first, then ruby, neither looked at again: emphasis is set aside in private-use characters meanwhile."""
-    left, right = "", ""
+    left, right = LEFT, RIGHT
     aside = F.regexp_replace(line, T.EMPHASIS, f"{left}$1{right}")
-    ruby = {"alphapolis": "#$1__$2__#", "pixiv": "[[rb:$1 > $2]]", "plain_paren": "$1（$2）", "plain_drop": "$1"}.get(target)
+    ruby = {"alphapolis": "#$1__$2__#", "pixiv": "[[rb:$1 > $2]]", "plain_paren": "$1（$2）", "plain_drop": "$1", "plain_bare": "$1"}.get(target)
     done = F.regexp_replace(aside, T.RUBY, ruby) if ruby else aside
-    shown = {"pixiv": (r"[[emphasismark:$1>" + emphasis_mark + "]]"), "plain_drop": "$1"}.get(target, "《《$1》》")
+    shown = "$1" if strip else {"pixiv": (r"[[emphasismark:$1>" + emphasis_mark + "]]"), "plain_drop": "$1"}.get(target, "《《$1》》")
     return F.regexp_replace(done, f"{left}([^{right}]*){right}", shown)
 
 
@@ -92,50 +96,3 @@ def unrender(line: Column, target: str) -> Column:
         back = F.regexp_replace(line, r"\[\[rb:\s*(.+?)\s*>\s*(.+?)\s*\]\]", "｜$1《$2》")
         return F.regexp_replace(back, r"\[\[emphasismark:(.+?)>.\]\]", "《《$1》》")
     return line
-
-
-def verify(docs: DataFrame, target: str) -> DataFrame:
-    """doc_id, line, expected, got where a line is not the same after there and back; missing and additional lines have a null side."""
-    want = D.lines(docs).select("doc_id", "line", F.regexp_replace("raw", r"\|([^｜|《》\n]+《)", "｜$1").alias("expected"))
-    got = convert_lines(docs, target).select("doc_id", "line", F.regexp_replace(unrender(F.col("out"), target), r"\|([^｜|《》\n]+《)", "｜$1").alias("got"))
-    return want.join(got, ["doc_id", "line"], "full").filter(~F.col("expected").eqNullSafe(F.col("got")))
-
-
-def with_blanks(docs: DataFrame, policy: str) -> DataFrame:
-    """doc_id, line, gap: non-blank lines, and whether the policy (none, dialogue, para) puts a blank line before each."""
-    rows = D.kinds(docs).withColumn("is_blank", F.col("kind") == "blank")
-    w = Window.partitionBy("doc_id").orderBy("line")
-    blanks = F.sum(F.col("is_blank").cast("int")).over(w)
-    kept = rows.withColumn("blanks", blanks).filter(~F.col("is_blank"))
-    prev, was = F.lag("kind").over(w), F.lag("blanks").over(w)
-    parted, in_doc = ["scene", "symbol", "heading"], ["document", "docblank"]
-    k = F.col("kind")
-    gap = (
-        F.when(prev.isNull(), False)
-        .when(prev.isin(in_doc) & k.isin(in_doc), F.col("blanks") > was)
-        .when(prev.isin(parted) | k.isin(parted), True)
-        .when(prev.isin(in_doc) != k.isin(in_doc), True)
-        .otherwise({"para": F.lit(True), "dialogue": (prev == "dialogue") != (k == "dialogue"), "none": F.lit(False)}[policy])
-    )
-    return kept.select("doc_id", "line", gap.alias("gap"))
-
-
-def indented(docs: DataFrame, policy: str) -> DataFrame:
-    """doc_id, line, out: narration with one ideographic space before it (add), without one (remove) or as it is (keep)."""
-    raw = F.col("raw")
-    out = {"add": F.when(~raw.rlike(r"^[\s\x{3000}]"), F.concat(F.lit("　"), raw)), "remove": F.when(F.startswith(raw, F.lit("　")), F.substring(raw, 2, 1 << 30)), "keep": raw}[policy]
-    return D.kinds(docs).select("doc_id", "line", F.when(F.col("kind") == "narration", F.coalesce(out, raw)).otherwise(raw).alias("out"))
-
-
-def warnings(docs: DataFrame, target: str = "pixiv") -> DataFrame:
-    """doc_id, line, code of what an author should look at before converting."""
-    raw, kind = F.col("raw"), F.col("kind")
-    left = F.regexp_replace(F.regexp_replace(raw, T.EMPHASIS, ""), T.RUBY, "")
-    rest = F.regexp_replace(left, T.BARE_RUBY, "$1")
-    codes = {
-        "bare-ruby": left.rlike(T.BARE_RUBY), "raw-kakko": rest.rlike("[《》]"), "half-bar": raw.rlike(r"\|[^｜|《》\n]+《"), "title-markup": (kind == "heading") & raw.rlike("《"),
-        "indent-odd": (kind == "narration") & raw.rlike(r"^[\s\x{3000}]") & ~raw.rlike(r"^\x{3000}[^\s\x{3000}]"), "indent-bracket": kind.isin("dialogue", "bracket") & raw.rlike(r"^[\s\x{3000}]"),
-        "collision": rest.rlike(r"\[(?:newpage\]|chapter:|jump:)"), "paren-ruby": rest.rlike(f"[{T.KANJI}][(（][{T.KANA}]+[)）]"),
-    }
-    found = F.explode(F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in codes.items())), lambda x: x.isNotNull()))
-    return D.kinds(docs).select("doc_id", "line", found.alias("code"))

@@ -1,4 +1,4 @@
-"""Statistics of documents: one aggregation each over lines, paragraphs, sentences and runs, joined on doc_id."""
+"""Statistics of documents, as folds over the arrays of ``decompose.document``: one scan, no shuffle."""
 
 from __future__ import annotations
 
@@ -7,81 +7,110 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from prosewell.functions import text as T
 from prosewell.functions.profile import LATIN, Profile
 from prosewell.operators import decompose as D
-from prosewell.operators import rules as R
 
 
-def _round(c: Column, digits: int = 3) -> Column:
+def rounded(c: Column, digits: int = 3) -> Column:
     return F.round(c, digits)
 
 
-def _cv(column: Column) -> Column:
-    """Population deviation over the mean; null for fewer than two values."""
-    return F.when(F.count(column) >= 2, F.stddev_pop(column) / F.avg(column))
+def total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda s, x: s + x)
 
 
-def paragraph_stats(paragraphs: DataFrame) -> DataFrame:
-    own = F.when(F.col("kind") == "narration", F.col("chars"))
-    single = F.when(F.col("kind") == "narration", F.when(F.col("n_sent") == 1, 1.0).otherwise(0.0))
-    return paragraphs.groupBy("doc_id").agg(
-        F.sum("narr_chars").alias("narration_chars"), F.sum("utterances").cast("bigint").alias("utterances"), F.count(own).alias("narration_paragraphs"),
-        _round(F.avg(own)).alias("paragraph_len_mean"), _round(_cv(own)).alias("paragraph_len_cv"), _round(F.avg(single)).alias("one_sentence_paragraph_rate"),
-    )
+def number_of(rows: Column, hit) -> Column:
+    return F.size(F.filter(rows, hit)).cast("bigint")
 
 
-def sentence_stats(sentences: DataFrame) -> DataFrame:
-    n = F.col("chars")
-    return sentences.groupBy("doc_id").agg(
-        F.count("*").alias("sentences"), _round(F.avg(n)).alias("sentence_len_mean"), F.median(n).alias("sentence_len_median"), _round(_cv(n)).alias("sentence_len_cv"),
-        F.max(n).alias("sentence_len_max"), F.count_if(n <= 10).alias("sentences_le10"), F.count_if(n >= 80).alias("sentences_ge80"), _round(F.avg("commas")).alias("commas_per_sentence"),
-    )
+def mean(numbers: str) -> Column:
+    """Of an array column; null without values."""
+    n = F.size(numbers)
+    return F.when(n > 0, total(F.col(numbers)) / n)
 
 
-def run_stats(sentences: DataFrame) -> DataFrame:
-    known = F.col("value") != "other"
-    return D.runs(sentences, "cls").groupBy("doc_id").agg(F.max(F.when(known, F.col("length"))).alias("max_run"), F.sum(F.when(known & (F.col("length") >= 4), F.col("length"))).alias("in_runs"))
+def spread(numbers: str, average: str) -> Column:
+    """Population deviation over the mean (a column); null for fewer than two values."""
+    n = F.size(numbers)
+    squares = F.aggregate(F.col(numbers), F.lit(0.0), lambda s, x: s + (x - F.col(average)) * (x - F.col(average)))
+    return F.when(n >= 2, F.sqrt(squares / n) / F.nullif(F.col(average), F.lit(0.0)))
 
 
-def doc_stats(docs: DataFrame, profile: Profile = LATIN) -> DataFrame:
-    """A row for each document; figures without a base are null, counts 0."""
-    sentences = D.sentences(docs, profile)
-    chars = D.body_lines(docs).groupBy("doc_id").agg(F.sum("chars").alias("chars"))
-    out = docs.select("doc_id")
-    for part in (chars, paragraph_stats(D.paragraphs(docs, profile)), sentence_stats(sentences), run_stats(sentences)):
-        out = out.join(part, "doc_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select(
-        "doc_id", zero("chars"), zero("narration_chars"), _round((F.col("chars") - F.col("narration_chars")) / F.nullif(F.col("chars"), F.lit(0))).alias("dialogue_ratio"), zero("sentences"),
-        "sentence_len_mean", "sentence_len_median", "sentence_len_cv", "sentence_len_max", zero("sentences_le10"), zero("sentences_ge80"), "commas_per_sentence",
-        F.coalesce("max_run", F.lit(0)).alias("same_ending_max_run"), _round(F.coalesce("in_runs", F.lit(0)) / F.nullif(F.col("sentences"), F.lit(0))).alias("same_ending_run_share"),
-        zero("narration_paragraphs"), "paragraph_len_mean", "paragraph_len_cv", "one_sentence_paragraph_rate", zero("utterances"),
+def middle(numbers: str) -> Column:
+    """The median of a sorted array column."""
+    n = F.size(numbers)
+    at = lambda k: F.get(F.col(numbers), k.cast("int"))
+    return F.when(n > 0, (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2)
+
+
+def figures(docs: DataFrame, profile: Profile = LATIN) -> DataFrame:
+    """``decompose.document`` with the figures of ``doc_stats`` and: told (sentences that count), narration (narration paragraphs), lens, para_lens."""
+    rows = D.fixed(
+        D.document(docs, profile),
+        told=F.filter("sents", lambda s: ~s["tag"]), narration=F.filter("paras", lambda p: p["kind"] == "narration"),
+    )
+    rows = D.fixed(
+        rows, lens=F.sort_array(F.transform("told", lambda s: s["chars"])), para_lens=F.transform("narration", lambda p: p["chars"]), chars=total(F.transform("paras", lambda p: p["chars"])),
+        narration_chars=total(F.transform("paras", lambda p: p["narr_chars"])), sentences=F.size("told").cast("bigint"), narration_paragraphs=F.size("narration").cast("bigint"),
     )
+    rows = D.fixed(rows, sentence_mean=mean("lens"), para_mean=mean("para_lens"))
+    n = F.nullif(F.col("sentences"), F.lit(0))
+    known = F.filter("runs", lambda r: r["value"] != "other")
+    share = lambda name: rounded(number_of(F.col("told"), lambda s: s["cls"] == name) / n)
+    one = number_of(F.col("narration"), lambda p: F.size(p["sents"]) <= 1)
+    return D.fixed(
+        rows,
+        dialogue_ratio=rounded(total(F.transform("paras", lambda p: F.when(p["utterances"] > 0, p["chars"] - p["narr_chars"] - 2 * p["utterances"]).otherwise(0))) / F.nullif(F.col("chars"), F.lit(0))),
+        sentence_len_mean=rounded(F.col("sentence_mean"), 1), sentence_len_median=middle("lens").cast("double"), sentence_len_cv=rounded(spread("lens", "sentence_mean")), sentence_len_max=F.try_element_at("lens", F.lit(-1)),
+        sentences_le10=number_of(F.col("lens"), lambda x: x <= 10), sentences_ge80=number_of(F.col("lens"), lambda x: x >= 80), commas_per_sentence=rounded(total(F.transform("told", lambda s: s["commas"])) / n, 2),
+        ta_rate=share(profile.past), keitai=F.coalesce(share(profile.polite) >= 0.5, F.lit(False)) if profile.polite else F.lit(False),
+        same_ending_max_run=F.coalesce(F.array_max(F.transform(known, lambda r: r["length"])), F.lit(0).cast("bigint")),
+        same_ending_run_share=rounded(total(F.transform(F.filter(known, lambda r: r["length"] >= 4), lambda r: r["length"])) / n),
+        paragraph_len_mean=rounded(F.col("para_mean"), 1), paragraph_len_cv=rounded(spread("para_lens", "para_mean")), one_sentence_paragraph_rate=rounded(one / F.nullif(F.col("narration_paragraphs"), F.lit(0))),
+        utterances=total(F.transform("paras", lambda p: p["utterances"])), kanji_ratio=rounded(total(F.transform("paras", lambda p: F.regexp_count(p["body"], F.lit("[一-龥々〆]")))) / F.nullif(F.col("chars"), F.lit(0))),
+    ).drop("sentence_mean", "para_mean")
+
+
+STATS = (
+    "chars", "narration_chars", "dialogue_ratio", "sentences", "sentence_len_mean", "sentence_len_median", "sentence_len_cv", "sentence_len_max", "sentences_le10", "sentences_ge80", "commas_per_sentence", "ta_rate",
+    "keitai", "same_ending_max_run", "same_ending_run_share", "narration_paragraphs", "paragraph_len_mean", "paragraph_len_cv", "one_sentence_paragraph_rate", "utterances", "kanji_ratio",
+)
+
+
+def doc_stats(docs: DataFrame, profile: Profile = LATIN) -> DataFrame:
+    """A row for each document: doc_id and STATS; figures without a base are null, counts 0."""
+    return figures(docs, profile).select("doc_id", *STATS)
+
+
+def ending_share(docs: DataFrame, profile: Profile = LATIN) -> DataFrame:
+    """doc_id, cls, share of the sentences of a document."""
+    classes = F.transform("told", lambda s: s["cls"])
+    rows = D.fixed(D.fixed(D.document(docs, profile), told=F.filter("sents", lambda s: ~s["tag"])), classes=classes)
+    found = F.transform(F.array_distinct("classes"), lambda c: F.struct(c.alias("cls"), rounded(F.size(F.filter("classes", lambda x: x == c)) / F.size("classes")).alias("share")))
+    return rows.select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.*")
+
+
+def uniform_stretches(docs: DataFrame, profile: Profile = LATIN, size: int = 5, within: float = 0.25) -> DataFrame:
+    """doc_id, hits, first: stretches of ``size`` sentences whose lengths are all within 25 % of their mean, taken greedily without overlap."""
+    rows = D.fixed(D.document(docs, profile), told=F.filter("sents", lambda s: ~s["tag"]))
+    rows = D.fixed(rows, full=uniform_starts("told", size, within))
+    return rows.select("doc_id", greedy("full", size).alias("taken")).filter(F.size("taken") > 0).select("doc_id", F.size("taken").cast("bigint").alias("hits"), F.get("taken", F.lit(0)).alias("first"))
 
 
-def ending_share(sentences: DataFrame) -> DataFrame:
-    n = sentences.groupBy("doc_id", "cls").count()
-    return n.select("doc_id", "cls", _round(F.col("count") / F.sum("count").over(Window.partitionBy("doc_id"))).alias("share"))
+def uniform_starts(sents: str, size: int, within: float) -> Column:
+    """Places (from 0) where ``size`` sentences of an array column are that alike."""
+    at = lambda i: F.get(F.col(sents), i)["chars"]
 
+    def alike(i):
+        some = [at(i + k) for k in range(size)]
+        average = sum(some[1:], some[0]) / size
+        return (F.least(*some) >= average * (1 - within)) & (F.greatest(*some) <= average * (1 + within))
 
-def rhythm_findings(docs: DataFrame, profile: Profile = LATIN) -> DataFrame:
-    """R01, R02, L01 and L02 of each document."""
-    sentences = D.sentences(docs, profile)
-    v = sentence_stats(sentences).join(run_stats(sentences), "doc_id", "left").withColumns({"max_run": F.coalesce("max_run", F.lit(0)), "run_share": _round(F.coalesce("in_runs", F.lit(0)) / F.col("sentences"))})
-    col, n = F.col, F.col("sentences")
-    cv = F.when(n >= 30, R.level(col("sentence_len_cv"), "L01")).when((n >= 12) & (col("sentence_len_cv") < 0.4), "INFO")
-    found = [("R01", col("max_run"), R.level(col("max_run"), "R01")), ("R02", col("run_share"), F.when(n >= 20, R.level(col("run_share"), "R02"))), ("L01", col("sentence_len_cv"), cv), ("L02", col("sentence_len_mean"), F.when(n >= 12, R.level(col("sentence_len_mean"), "L02")))]
-    rows = F.explode(F.array(*(F.struct(F.lit(rule).alias("rule"), severity.alias("severity"), value.cast("double").alias("value")) for rule, value, severity in found)))
-    return v.select("doc_id", rows.alias("f")).select("doc_id", "f.*").filter("severity IS NOT NULL")
+    return F.when(F.size(sents) >= size, F.filter(F.sequence(F.lit(0), F.greatest(F.size(sents) - size, F.lit(0))), alike)).otherwise(F.array().cast("array<int>"))
 
 
-def uniform_stretches(sentences: DataFrame, size: int = 5, spread: float = 0.25) -> DataFrame:
-    """doc_id, hits: stretches of ``size`` sentences whose lengths are all within ``spread`` of their mean, taken greedily without overlap."""
-    w = D.in_order()
-    ahead = w.rowsBetween(0, size - 1)
-    frames = sentences.select("doc_id", F.row_number().over(w).alias("rn"), F.min("chars").over(ahead).alias("lo"), F.max("chars").over(ahead).alias("hi"), F.avg("chars").over(ahead).alias("m"), F.count("*").over(ahead).alias("k"))
-    hits = frames.filter((F.col("k") == size) & (F.col("lo") >= F.col("m") * (1 - spread)) & (F.col("hi") <= F.col("m") * (1 + spread))).groupBy("doc_id").agg(F.sort_array(F.collect_list("rn")).alias("at"))
-    start = F.struct(F.lit(-size).alias("last"), F.lit(0).cast("bigint").alias("n"))
-    taken = F.aggregate("at", start, lambda s, x: F.when(x >= s["last"] + size, F.struct(x.alias("last"), (s["n"] + 1).alias("n"))).otherwise(s))["n"]
-    return hits.select("doc_id", taken.alias("hits"))
+def greedy(places: str, size: int) -> Column:
+    """Of ascending places in an array column those that don't overlap, the first first."""
+    start = F.struct(F.lit(-size).alias("last"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(F.col(places), start, lambda s, x: F.when(x >= s["last"] + size, F.struct(x.alias("last"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s))["out"]
 
 
 def repeats_in_window(docs: DataFrame, pattern: str, limit: int, window: int) -> DataFrame:

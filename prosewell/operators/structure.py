@@ -5,79 +5,77 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from prosewell.functions import text as T
+from prosewell.functions.profile import JAPANESE, Profile
+from prosewell.operators import decompose as D
 
-_SPAN = "struct<start:int,end:int,opener:string>"
-SPEECH_VERB = r"^(?:と|って)[\s\x{3000}]*(?:言|答|叫|呟|囁|訊|尋|問|告|笑|つぶや|ささや)"
-MENTION = r"(?:題名|書名|札|看板|表示|件名|文字|言葉)[^。]{0,6}$"
+#: Outermost quotes of both kinds.
+QUOTES = JAPANESE.utterance + "|『[^『』]*』"
+WHOLE = rf"^[\s\x{{3000}}]*(?:{QUOTES})+[\s\x{{3000}}]*$"
+HEAD, SUBJECT = "(?:^|[。！？!?」』])$", "^[^、。]{1,6}[はがも]$"
 
 
-def outer_spans(line: Column) -> Column:
-    """Outermost quoted stretches of a line: {start, end, opener}.  A fold over its quote marks with a stack of open ones.
+def utterance_spans(docs: DataFrame, profile: Profile = JAPANESE) -> DataFrame:
+    """doc_id, line, start, end: outermost quoted speech in the body of a line."""
+    found = D.utterances(docs, profile)
+    return found.select("doc_id", "line", F.col("pos").alias("start"), (F.col("pos") + F.length("utterance")).alias("end"))
 
-    A closer that doesn't fit the innermost opener is passed over; what stays open gives no span.
-    """
-    marks = T.offsets(line, "[「」『』]")
-    start = F.struct(F.array().cast("array<struct<pos:int,hit:string>>").alias("stack"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-
-    def step(s, m):
-        top = F.try_element_at(s["stack"], F.lit(-1))
-        opens = m["hit"].isin("「", "『")
-        fits = ((top["hit"] == "「") & (m["hit"] == "」")) | ((top["hit"] == "『") & (m["hit"] == "』"))
-        rest = F.slice(s["stack"], F.lit(1), F.greatest(F.size(s["stack"]) - 1, F.lit(0)))
-        span = F.struct(top["pos"].alias("start"), (m["pos"] + 1).cast("int").alias("end"), top["hit"].alias("opener"))
-        return (
-            F.when(opens, F.struct(F.concat(s["stack"], F.array(m)).alias("stack"), s["out"].alias("out")))
-            .when(fits, F.struct(rest.alias("stack"), F.when(F.size(s["stack"]) == 1, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out")))
-            .otherwise(s)
-        )
-
-    return F.aggregate(marks, start, step)["out"]
-
-
-def utterance_spans(lines: DataFrame) -> DataFrame:
-    """doc_id, line, start, end: outermost single-quoted stretches, and double-quoted ones that fill the line or that a speech verb follows."""
-    raw = F.col("raw")
-    spans = lines.filter(raw.rlike("[「『]")).select("doc_id", "line", "raw", F.explode(outer_spans(raw)).alias("s"))
-    after = F.substring(raw, F.col("s.end") + 1, F.length(raw))
-    speech = (F.col("s.opener") == "「") | ((F.col("s.start") == 0) & (T.trimmed(after) == "")) | after.rlike(SPEECH_VERB)
-    return spans.filter(speech).select("doc_id", "line", "s.start", "s.end")
-
-
-def quote_roles(lines: DataFrame) -> DataFrame:
+
+def quote_roles(docs: DataFrame, profile: Profile = JAPANESE) -> DataFrame:
     """doc_id, line, start, role (speech or other) of outermost quotes.
 
-    A quote at the head of a sentence is speech if it closes the line, if a speech verb follows, or if speech follows at once; words
-    that mention a title or sign before it, on the line or at the end of the line before, make it other.  The role of the following
-    quote is known first: a run of quotes that touch ends with one that decides for all.
+    A quote is speech if it starts a sentence and closes its line, if a verb of speech follows and it starts a sentence or follows a short
+    subject, or if it starts a sentence and speech follows at once.  A word that names something before it, on its line or in the last line
+    that isn't all quotes, makes it other, and so does a line that brings a document; the cue holds for all whole-line quotes that follow.
     """
-    raw = F.col("raw")
-    before_line = F.lag("raw").over(Window.partitionBy("doc_id").orderBy("line"))
-    spans = lines.withColumn("previous", before_line).filter(raw.rlike("[「『]")).select("doc_id", "line", "raw", "previous", F.posexplode(outer_spans(raw)).alias("k", "s"))
-    before, after = F.substring(raw, F.lit(1), F.col("s.start")), F.substring(raw, F.col("s.end") + 1, F.length(raw))
-    bare = T.trimmed(before)
-    head = (bare == "") | bare.rlike("[。！？!?」』]$")
-    cue = bare.rlike(MENTION) | ((bare == "") & F.coalesce(F.col("previous").rlike(MENTION), F.lit(False)))
-    own = F.when(cue, "other").when(after.rlike(SPEECH_VERB) & head, "speech").when((F.col("s.opener") == "「") & head & (T.trimmed(after) == ""), "speech").when((F.col("s.opener") == "「") & head & T.trimmed(after).rlike("^「"), None).otherwise("other")
-    rows = spans.withColumn("own", own)
+    lines = D.body_lines(docs).filter("kind <> 'document'")
+    w = Window.partitionBy("doc_id").orderBy("line")
+    told = F.when(~F.col("body").rlike(WHOLE), F.coalesce(T.trimmed(F.col("body")).rlike(f"{profile.cues['names']}|{profile.cues['brings']}"), F.lit(False)))
+    lines = lines.withColumn("carried", F.coalesce(F.last(told, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+    spans = lines.filter(F.col("body").rlike("[「『]")).select("doc_id", "line", "body", "carried", F.posexplode(T.offsets(F.col("body"), QUOTES)).alias("k", "s"))
+    rows = D.fixed(spans, start=F.col("s.pos"), hit=F.col("s.hit"), before=T.trimmed(F.substring("body", F.lit(1), F.col("s.pos"))), after=T.trimmed(F.substring("body", F.col("s.pos") + F.length("s.hit") + 1, F.length("body"))))
+    c, single = F.col, F.startswith(F.col("hit"), F.lit("「"))
+    head = c("before").rlike(HEAD)
+    cue = c("before").rlike(profile.cues["names"]) | ((c("before") == "") & c("carried"))
+    own = F.when(cue, "other").when(c("after").rlike(profile.cues["says"]) & (head | c("before").rlike(SUBJECT)), "speech").when(single & head & (c("after") == ""), "speech").when(single & head & F.startswith(c("after"), F.lit("「")), None).otherwise("other")
     later = Window.partitionBy("doc_id", "line").orderBy("k").rowsBetween(0, Window.unboundedFollowing)
-    return rows.select("doc_id", "line", F.col("s.start").alias("start"), F.coalesce(F.first("own", ignorenulls=True).over(later), F.lit("other")).alias("role"))
+    return rows.withColumn("own", own).select("doc_id", "line", "start", F.coalesce(F.first("own", ignorenulls=True).over(later), F.lit("other")).alias("role"))
 
 
-DOCUMENT_INTRO = r"(?:メール|メッセージ|手紙|貼り紙|メモ)[^。、]{0,10}(?:開いた|届いた|読んだ|あった)[。：:]?$"
-
-
-def document_blocks(lines: DataFrame) -> DataFrame:
+def document_blocks(docs: DataFrame, profile: Profile = JAPANESE) -> DataFrame:
     """doc_id, first, last of blocks of unindented lines in an indented manuscript that stand for documents of the story.
 
-    A block counts after narration if it has two lines or more, or if that narration introduces it.
+    A block counts after narration if it has two lines or more, or if that narration brings it.
     """
-    kinds = lines.withColumn("kind", T.line_kind(F.col("raw"))).filter("kind NOT IN ('blank', 'heading', 'scene', 'symbol', 'docblank', 'document')")
-    loose = ~F.col("raw").rlike(r"^[\x{3000}「『（(【〈《]")
+    kinds = D.kinds(docs).filter("kind NOT IN ('blank', 'heading', 'scene', 'symbol', 'docblank', 'document')")
     w = Window.partitionBy("doc_id").orderBy("line")
-    rows = kinds.withColumn("loose", loose).withColumn("indents", F.max(F.when(F.col("raw").rlike(r"^\x{3000}"), 1).otherwise(0)).over(Window.partitionBy("doc_id"))).filter("indents = 1")
+    rows = kinds.withColumns({"loose": ~F.col("raw").rlike(r"^[\x{3000}「『（(【〈《]"), "indents": F.max(F.when(F.col("raw").rlike(r"^\x{3000}"), 1).otherwise(0)).over(Window.partitionBy("doc_id"))}).filter("indents = 1")
     turned = rows.withColumns({"run": F.sum(F.when(F.lag("loose").over(w).eqNullSafe(F.col("loose")), 0).otherwise(1)).over(w), "intro": F.lag("raw").over(w)})
     runs = turned.filter("loose").groupBy("doc_id", "run").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.count("*").alias("n"), F.min_by("intro", "line").alias("intro"))
-    return runs.filter("intro IS NOT NULL").filter((F.col("n") >= 2) | F.col("intro").rlike(DOCUMENT_INTRO)).select("doc_id", "first", "last")
+    return runs.filter("intro IS NOT NULL").filter((F.col("n") >= 2) | F.col("intro").rlike(profile.cues["brings"])).select("doc_id", "first", "last")
+
+
+def guessed_blocks(docs: DataFrame, profile: Profile = JAPANESE, most: int = 3) -> DataFrame:
+    """doc_id, line, lines: in a manuscript without indentation, lines that bring a document and how many lines right after may be of it."""
+    kinds = D.kinds(docs).filter("kind NOT IN ('blank', 'heading', 'scene', 'symbol', 'docblank')")
+    rows = kinds.withColumn("indents", F.max(F.when(F.col("raw").rlike(r"^\x{3000}"), 1).otherwise(0)).over(Window.partitionBy("doc_id"))).filter("indents = 0")
+    w = Window.partitionBy("doc_id").orderBy("line")
+    fits = lambda k: F.coalesce((F.lead("line", k).over(w) == F.col("line") + k) & (F.lead("kind", k).over(w) != "document") & ~F.lead("raw", k).over(w).rlike(r"^[\s\x{3000}「『]"), F.lit(False))
+    rows = rows.withColumns({f"f{k}": fits(k) for k in range(1, most + 1)})
+    n = F.lit(0)
+    for k in range(most, 0, -1):
+        n = F.when(F.col(f"f{k}"), n + 1).otherwise(0)
+    return rows.filter((F.col("kind") != "document") & T.trimmed(F.col("raw")).rlike(profile.cues["brings"])).select("doc_id", "line", n.cast("bigint").alias("lines")).filter("lines > 0")
+
+
+def sentence_prefix(text: Column, pos: Column) -> Column:
+    """What stands between the start of a sentence and a place (from 0)."""
+    return F.regexp_extract(F.left(text, pos), r"[^。！？!?\n]*$", 0)
+
+
+def in_open_quote(text: Column, pos: Column) -> Column:
+    """Whether a quote is open at a place: more openers than closers on its line before it."""
+    line = F.regexp_extract(F.left(text, pos), r"[^\n]*$", 0)
+    return F.regexp_count(line, F.lit("[「『]")) > F.regexp_count(line, F.lit("[」』]"))
 
 
 def crowded_windows(utterances: DataFrame, width: int = 300, least: int = 14) -> DataFrame:

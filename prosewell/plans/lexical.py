@@ -8,114 +8,9 @@ from prosewell.functions import text as T
 from prosewell.functions.profile import JAPANESE, LATIN
 from prosewell.operators import claims as C
 from prosewell.operators import decompose as D
-from prosewell.operators import lexical as L
 from prosewell.plans.base import MANUSCRIPT_SQL, base, documents, inline, manuscripts, query, quoted, s_count, s_has, s_kind, s_plain, s_searched, s_sub, s_trim, s_visible, table, values
 
-_LATIN, _JA = base(), base(MANUSCRIPT_SQL, JAPANESE)
-
-
-def _density(where: str, scope: str, size: str, least: int) -> str:
-    counts = ", ".join(f"sum({s_count('s', p)})::BIGINT AS {k}" for k, p in LATIN.lexicon.items())
-    return f"""{_LATIN}, c AS (SELECT doc_id, sum(n) AS base, {counts} FROM (SELECT doc_id, {s_searched(scope, LATIN)} AS s, {size} AS n FROM body) GROUP BY doc_id),
-r AS ({' UNION ALL '.join(f"SELECT doc_id, base, '{k}' AS entry, {k} AS hits FROM c" for k in LATIN.lexicon)}) SELECT doc_id, entry, hits{', round(hits * 1000 / base, 2) AS density' if least else ''} FROM r WHERE base {where} AND hits >= {max(least, 1)}"""
-
-
-_NARR = s_sub("body", LATIN.utterance)
-
-
-@query("lexicon_density_narr", _density(">= 600", _NARR, s_visible(_NARR), 3))
-def _(spark, d):
-    return L.densities(documents(spark, d))
-
-
-@query("lexicon_density_total", _density(">= 600", "body", "chars", 2))
-def _(spark, d):
-    return L.densities(documents(spark, d), base="chars", min_count=2)
-
-
-@query("k00_guard", _density("< 600", "body", "chars", 0))
-def _(spark, d):
-    return L.guarded_counts(documents(spark, d))
-
-
-@query("k03_ellipsis_open", f"SELECT conv_id AS doc_id, round(avg(CASE WHEN {s_has('text', '^[A-Z]')} THEN 1.0 ELSE 0.0 END), 3) AS share FROM conversations GROUP BY conv_id HAVING count(*) >= 5")
-def _(spark, d):
-    turns = table(spark, d, "conversations").withColumnRenamed("conv_id", "doc_id")
-    return L.share(turns, F.col("text").rlike("^[A-Z]"), 5)
-
-
-@query("k05_heads", f"{_LATIN} SELECT doc_id, round(avg(CASE WHEN {s_has(s_searched('sentence', LATIN), LATIN.heads)} THEN 1.0 ELSE 0.0 END), 3) AS share FROM sent GROUP BY doc_id HAVING count(*) >= 20")
-def _(spark, d):
-    return L.share(D.sentences(documents(spark, d)), T.searched(F.col("sentence"), LATIN).rlike(LATIN.heads), 20)
-
-
-@query("k06_para_heads", f"{_LATIN} SELECT doc_id, round(avg(CASE WHEN {s_has(s_searched('body', LATIN), LATIN.heads)} THEN 1.0 ELSE 0.0 END), 3) AS share FROM body GROUP BY doc_id HAVING count(*) >= 8")
-def _(spark, d):
-    return L.share(D.body_lines(documents(spark, d)), T.searched(F.col("body"), LATIN).rlike(LATIN.heads), 8)
-
-
-@query("k08_k09_budget", f"{_LATIN} SELECT doc_id, (sum({s_count(s_searched('body', LATIN), LATIN.lexicon['being'])}) + sum({s_count(s_searched('body', LATIN), LATIN.lexicon['article'])}))::BIGINT AS hits FROM body GROUP BY doc_id HAVING hits >= 3")
-def _(spark, d):
-    n = sum((F.sum(F.regexp_count(T.searched(F.col("body"), LATIN), F.lit(LATIN.lexicon[k]))) for k in ("being", "article")), F.lit(0)).cast("bigint")
-    return D.body_lines(documents(spark, d)).groupBy("doc_id").agg(n.alias("hits")).filter("hits >= 3")
-
-
-@query("k17_commas", f"{_LATIN} SELECT doc_id, line, idx, commas FROM sent WHERE commas >= 4")
-def _(spark, d):
-    return D.sentences(documents(spark, d)).filter("commas >= 4").select("doc_id", "line", "idx", "commas")
-
-
-@query("s03_vehicle", f"{_LATIN} SELECT doc_id, vehicle, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(body), {quoted(r'\bof ([a-z]+)')}, 1)) AS vehicle FROM body) GROUP BY doc_id, vehicle HAVING count(*) >= 2")
-def _(spark, d):
-    found = D.body_lines(documents(spark, d)).select("doc_id", F.explode(F.regexp_extract_all(F.lower("body"), F.lit(r"\bof ([a-z]+)"), F.lit(1))).alias("vehicle"))
-    return found.groupBy("doc_id", "vehicle").agg(F.count("*").alias("n")).filter("n >= 2")
-
-
-# ------------------------------------------------------------------ notation
-_NOTES = (
-    (1, "そう……だ。待って…ください。\n彼は―言った。\nそれは——だめ！いけない\n「終わり。」\n「まだ"),
-    (2, "です...ます。。\nカタカナ A と b 漢字 1\n**強調**と`code`\n良い,悪い.\n晴れ☀です\n　字下げ\n字下げなし\n「台詞」"),
-    (3, "！？　よし！」\nーー横棒"),
-)
-
-
-def _notes_sql(parts: dict[str, str]) -> str:
-    rows = " UNION ALL ".join(f"SELECT doc_id, line, '{k}' AS rule, {v} AS hits FROM line" for k, v in parts.items())
-    return f"{base('(SELECT * FROM ' + values(_NOTES, 'doc_id, text') + ')', JAPANESE)}, r AS ({rows}) SELECT doc_id, line, rule, sum(hits)::BIGINT AS hits FROM r WHERE hits > 0 GROUP BY doc_id, line, rule"
-
-
-def _odd(mark: str) -> str:
-    return f"len(list_filter(regexp_extract_all(raw, '{mark}+'), lambda h: length(h) % 2 = 1))"
-
-
-_N = {"N01": f"{s_count('raw', L.NOTATION['N01_dots'])} + {_odd('…')}", "N02": f"{s_count('raw', L.NOTATION['N02_bar'])} + {_odd('―')}", "N03": s_count("raw", r"[！？][^！？!?\s\x{3000}」』）)…―—]"), "N04": s_count("raw", "。」"), "N06": s_count("raw", L.NOTATION["N06_half"]), "N07": s_count("raw", L.NOTATION["N07_markdown"]), "N11": s_count("raw", L.NOTATION["N11_space"]), "N12": s_count("raw", L.NOTATION["N12_emoji"]), "N08": f"CASE WHEN {s_count('raw', '「')} = {s_count('raw', '」')} AND {s_count('raw', '『')} = {s_count('raw', '』')} AND NOT {s_has('raw', '^[^「]*」')} THEN 0 ELSE 1 END"}
-
-
-@query("notation_ja", _notes_sql(_N))
-def _(spark, d):
-    return L.notation(inline(spark, _NOTES, "doc_id long, text string"))
-
-
-def _notation_rule(rule: str):
-    @query(f"{rule.lower()}_notation", _notes_sql({rule: _N[rule]}))
-    def _(spark, d):
-        return L.notation(inline(spark, _NOTES, "doc_id long, text string")).filter(F.col("rule") == rule)
-
-
-for _rule in sorted(_N):
-    _notation_rule(_rule)
-
-
-@query("n07_markdown", f"{_LATIN} SELECT doc_id, line, {s_count('raw', L.NOTATION['N07_markdown'])} AS hits FROM line WHERE {s_has('raw', L.NOTATION['N07_markdown'])}")
-def _(spark, d):
-    return D.lines(documents(spark, d)).withColumn("hits", F.regexp_count("raw", F.lit(L.NOTATION["N07_markdown"]))).filter("hits > 0").select("doc_id", "line", "hits")
-
-
-@query("n05_indent_mix", f"""{base('(SELECT * FROM ' + values(_NOTES, 'doc_id, text') + ')', JAPANESE)}, n AS (SELECT doc_id, line, {s_has('raw', '^[ \t' + chr(0x3000) + ']')} AS indented FROM kind WHERE kind = 'narration'),
-s AS (SELECT *, avg(CASE WHEN indented THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY doc_id) AS share FROM n)
-SELECT doc_id, line, indented FROM s WHERE share > 0 AND share < 1 AND ((indented AND share <= 0.5) OR (NOT indented AND share > 0.5))""")
-def _(spark, d):
-    return L.indent_minority(inline(spark, _NOTES, "doc_id long, text string"))
+_LATIN = base()
 
 
 # ------------------------------------------------------------------ claims

@@ -237,7 +237,7 @@ def _(spark, d):
 @query("mid_runs", f"{_LATIN}, m AS (SELECT doc_id, line, idx, chars BETWEEN 30 AND 45 AS mid FROM sent), t AS (SELECT *, sum(CASE WHEN lag_mid IS NOT DISTINCT FROM mid THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line, idx) AS run FROM (SELECT *, lag(mid) OVER (PARTITION BY doc_id ORDER BY line, idx) AS lag_mid FROM m)) SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, run, count(*) AS n FROM t WHERE mid GROUP BY doc_id, run) GROUP BY doc_id")
 def _(spark, d):
     mid = D.sentences(documents(spark, d)).withColumn("mid", F.col("chars").between(30, 45))
-    return D.runs(mid, "mid").filter("value").groupBy("doc_id").agg(F.max("length").alias("longest"))
+    return D.row_runs(mid, "mid").filter("value").groupBy("doc_id").agg(F.max("length").alias("longest"))
 
 
 @query("nearest_rank_pct", f"SELECT source, list_sort(list(n))[(floor(0.1 * (count(*) - 1) + 0.5))::INT + 1] AS p10, list_sort(list(n))[(floor(0.5 * (count(*) - 1) + 0.5))::INT + 1] AS p50, list_sort(list(n))[(floor(0.9 * (count(*) - 1) + 0.5))::INT + 1] AS p90 FROM (SELECT source, {s_visible('text')} AS n FROM documents) GROUP BY source")

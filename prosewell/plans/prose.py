@@ -1,92 +1,49 @@
-"""Queries over prose: decomposition, statistics, rhythm, paragraphs, dialogue and windows."""
+"""Queries over prose: decomposition, statistics, rhythm, paragraphs, dialogue and windows.
+
+Those ending in _ja run over the manuscripts that ``base`` puts together, one for each document.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from prosewell.functions import text as T
-from prosewell.functions.profile import JAPANESE, LATIN
+from prosewell.functions.profile import JAPANESE, LATIN, Profile
 from prosewell.operators import decompose as D
 from prosewell.operators import rules as R
 from prosewell.operators import stats as S
-from prosewell.plans.base import MANUSCRIPT_SQL, MANUSCRIPTS, base, documents, inline, manuscripts, query, quoted, rounded, s_count, s_has, s_kind, s_runs, s_sub, s_visible, values
+from prosewell.plans.base import MANUSCRIPT_SQL, base, documents, manuscripts, query, quoted, s_has, s_runs, table
 
 _LATIN, _JA = base(), base(MANUSCRIPT_SQL, JAPANESE)
+_SOURCES = {"": (_LATIN, LATIN, documents), "_ja": (_JA, JAPANESE, manuscripts)}
+
+
+def both(name: str, sql: str, rows) -> None:
+    """Registers a query over the documents, and over the manuscripts as name_ja; sql follows ``base``, rows(docs, profile) are the query's."""
+    for suffix, (start, profile, source) in _SOURCES.items():
+
+        @query(name + suffix, f"{start}{sql(profile) if callable(sql) else sql}")
+        def _(spark, d, profile=profile, source=source):
+            return rows(source(spark, d), profile)
+
+
+both("lines", " SELECT doc_id, line, raw FROM line", lambda docs, p: D.lines(docs))
+both("line_kinds", " SELECT doc_id, line, kind FROM kind", lambda docs, p: D.kinds(docs).select("doc_id", "line", "kind"))
+both("body_lines", " SELECT doc_id, line, kind, body, chars FROM body", lambda docs, p: D.body_lines(docs))
+both("paragraph_kinds", " SELECT doc_id, line, kind, chars, narr_chars, utterances, n_sent FROM para", lambda docs, p: D.paragraphs(docs, p).drop("body", "narr"))
+both("sentences", " SELECT doc_id, line, idx, sentence, chars, commas FROM sent", lambda docs, p: D.sentences(docs, p).select("doc_id", "line", "idx", "sentence", "chars", "commas"))
+both("sentence_endings", " SELECT doc_id, line, idx, cls FROM sent", lambda docs, p: D.sentences(docs, p).select("doc_id", "line", "idx", "cls"))
+both("speech_tags", " SELECT doc_id, line, idx, sentence FROM asent WHERE tag", lambda docs, p: D.all_sentences(docs, p).filter("tag").select("doc_id", "line", "idx", "sentence"))
+both("silent_lines", " SELECT doc_id, line, chars FROM paras WHERE kind = 'silent'", lambda docs, p: D.document(docs, p).select("doc_id", F.explode(F.filter("paras", lambda x: x["kind"] == "silent")).alias("p")).select("doc_id", "p.line", "p.chars"))
+both("search_scopes", " SELECT doc_id, line, narr, body FROM para WHERE narr_chars > 0", lambda docs, p: D.paragraphs(docs, p).filter("narr_chars > 0").select("doc_id", "line", "narr", "body"))
+both("excerpts", " SELECT doc_id, line, CASE WHEN length(t) > 24 THEN left(t, 24) || '…' ELSE t END AS excerpt FROM (SELECT doc_id, line, " + "regexp_replace(body, '^[\\s\\x{3000}]+|[\\s\\x{3000}]+$', '', 'g') AS t FROM body)", lambda docs, p: D.body_lines(docs).select("doc_id", "line", T.excerpt(F.col("body")).alias("excerpt")))
+both(
+    "utterances", lambda p: f" SELECT doc_id, line, unnest(range(0, len(u))) AS idx, unnest(u) AS utterance FROM (SELECT doc_id, line, regexp_extract_all(body, {quoted(p.utterance)}) AS u FROM body)",
+    lambda docs, p: D.utterances(docs, p).select("doc_id", "line", "idx", "utterance"),
+)
+both("quote_balance", lambda p: f""" SELECT doc_id, line, s = '' AS balanced FROM (SELECT doc_id, line, list_reduce(list_prepend('', regexp_extract_all(body, '[「」『』]')), lambda s, c: CASE WHEN s = 'x' THEN s
+WHEN c IN ('「', '『') THEN s || c WHEN (c = '」' AND ends_with(s, '「')) OR (c = '』' AND ends_with(s, '『')) THEN left(s, length(s) - 1) ELSE 'x' END) AS s FROM body)""", lambda docs, p: D.body_lines(docs).select("doc_id", "line", T.quotes_balanced(F.col("body")).alias("balanced")))
 
-
-@query("lines", f"{_LATIN} SELECT doc_id, line, raw FROM line")
-def _(spark, d):
-    return D.lines(documents(spark, d))
-
-
-@query("line_kinds", f"{_LATIN} SELECT doc_id, line, kind FROM kind")
-def _(spark, d):
-    return D.kinds(documents(spark, d)).select("doc_id", "line", "kind")
-
-
-@query("line_kinds_ja", f"{_JA} SELECT doc_id, line, kind FROM kind")
-def _(spark, d):
-    return D.kinds(manuscripts(spark)).select("doc_id", "line", "kind")
-
-
-@query("body_lines", f"{_LATIN} SELECT doc_id, line, kind, chars FROM body")
-def _(spark, d):
-    return D.body_lines(documents(spark, d)).select("doc_id", "line", "kind", "chars")
-
-
-@query("body_lines_ja", f"{_JA} SELECT doc_id, line, kind, body, chars FROM body")
-def _(spark, d):
-    return D.body_lines(manuscripts(spark))
-
-
-@query("paragraph_kinds", f"{_LATIN} SELECT * FROM para")
-def _(spark, d):
-    return D.paragraphs(documents(spark, d))
-
-
-@query("paragraph_kinds_ja", f"{_JA} SELECT * FROM para")
-def _(spark, d):
-    return D.paragraphs(manuscripts(spark), JAPANESE)
-
-
-@query("sentences", f"{_LATIN} SELECT doc_id, line, idx, sentence, chars, commas FROM sent")
-def _(spark, d):
-    return D.sentences(documents(spark, d)).select("doc_id", "line", "idx", "sentence", "chars", "commas")
-
-
-@query("sentence_endings", f"{_LATIN} SELECT doc_id, line, idx, cls FROM sent")
-def _(spark, d):
-    return D.sentences(documents(spark, d)).select("doc_id", "line", "idx", "cls")
-
-
-@query("sentence_endings_ja", f"{_JA} SELECT doc_id, line, idx, sentence, cls FROM sent")
-def _(spark, d):
-    return D.sentences(manuscripts(spark), JAPANESE).select("doc_id", "line", "idx", "sentence", "cls")
-
-
-_UTT = "SELECT doc_id, line, unnest(range(0, len(u))) AS idx, unnest(u) AS utterance FROM (SELECT doc_id, line, regexp_extract_all(body, {p}) AS u FROM body)"
-
-
-@query("utterances", f"{_LATIN} {_UTT.format(p=quoted(LATIN.utterance))}")
-def _(spark, d):
-    return D.utterances(documents(spark, d)).select("doc_id", "line", "idx", "utterance")
-
-
-@query("utterances_ja", f"{_JA} {_UTT.format(p=quoted(JAPANESE.utterance))}")
-def _(spark, d):
-    return D.utterances(manuscripts(spark), JAPANESE).select("doc_id", "line", "idx", "utterance")
-
-
-_BALANCED = {(1, 4): True, (2, 2): True}
-
-
-@query("quote_balance", f"SELECT * FROM {values(((1, 'a「b」', True), (2, '「『」』', False), (3, '「『x』」「y」', True), (4, '」「', False), (5, '', True), (6, '「', False)), 'id, line, balanced')}")
-def _(spark, d):
-    rows = inline(spark, ((1, "a「b」"), (2, "「『」』"), (3, "「『x』」「y」"), (4, "」「"), (5, ""), (6, "「")), "id long, line string")
-    return rows.withColumn("balanced", T.quotes_balanced(F.col("line")))
-
-
-_LEX = "connective"
 _OFF = f"""SELECT doc_id, (length(array_to_string(g[1:k], '')) + length(array_to_string(h[1:k - 1], '')))::INT AS pos, h[k] AS hit FROM (
 SELECT doc_id, g, h, unnest(range(1, len(h) + 1)) AS k FROM (SELECT doc_id, string_split_regex(text, {quoted('[0-9]+')}) AS g, regexp_extract_all(text, {quoted('[0-9]+')}) AS h FROM documents))"""
 
@@ -97,181 +54,48 @@ def _(spark, d):
     return hits.select("doc_id", "x.pos", "x.hit")
 
 
-_DOC = f"""{_LATIN},
-b AS (SELECT doc_id, sum(chars) AS chars FROM body GROUP BY doc_id),
-p AS (SELECT doc_id, sum(narr_chars) AS narration_chars, sum(utterances) AS utterances, count(*) FILTER (kind = 'narration') AS narration_paragraphs,
-  round(avg(CASE WHEN kind = 'narration' THEN chars END), 3) AS paragraph_len_mean,
-  round(CASE WHEN count(*) FILTER (kind = 'narration') >= 2 THEN stddev_pop(CASE WHEN kind = 'narration' THEN chars END) / avg(CASE WHEN kind = 'narration' THEN chars END) END, 3) AS paragraph_len_cv,
-  round(avg(CASE WHEN kind = 'narration' THEN CASE WHEN n_sent = 1 THEN 1.0 ELSE 0.0 END END), 3) AS one_sentence_paragraph_rate FROM para GROUP BY doc_id),
-s AS (SELECT doc_id, count(*) AS sentences, round(avg(chars), 3) AS sentence_len_mean, median(chars)::DOUBLE AS sentence_len_median, round(CASE WHEN count(*) >= 2 THEN stddev_pop(chars) / avg(chars) END, 3) AS sentence_len_cv,
-  max(chars) AS sentence_len_max, count(*) FILTER (chars <= 10) AS sentences_le10, count(*) FILTER (chars >= 80) AS sentences_ge80, round(avg(commas), 3) AS commas_per_sentence FROM sent GROUP BY doc_id),
-r AS (SELECT doc_id, max(length) FILTER (value <> 'other') AS max_run, sum(length) FILTER (value <> 'other' AND length >= 4) AS in_runs FROM {s_runs('sent', 'cls')} GROUP BY doc_id)"""
-
-_DOC_STATS = f"""{_DOC} SELECT d.doc_id, coalesce(b.chars, 0)::BIGINT AS chars, coalesce(p.narration_chars, 0)::BIGINT AS narration_chars,
-round((b.chars - p.narration_chars) / nullif(b.chars, 0), 3) AS dialogue_ratio, coalesce(s.sentences, 0) AS sentences, sentence_len_mean, sentence_len_median, sentence_len_cv, sentence_len_max,
-coalesce(sentences_le10, 0) AS sentences_le10, coalesce(sentences_ge80, 0) AS sentences_ge80, commas_per_sentence, coalesce(max_run, 0) AS same_ending_max_run,
-round(coalesce(in_runs, 0) / nullif(s.sentences, 0), 3) AS same_ending_run_share, coalesce(narration_paragraphs, 0) AS narration_paragraphs, paragraph_len_mean, paragraph_len_cv, one_sentence_paragraph_rate, coalesce(p.utterances, 0)::BIGINT AS utterances
-FROM documents d LEFT JOIN b USING (doc_id) LEFT JOIN p USING (doc_id) LEFT JOIN s USING (doc_id) LEFT JOIN r USING (doc_id)"""
-
-
-@query("doc_stats", _DOC_STATS)
-def _(spark, d):
-    return S.doc_stats(documents(spark, d))
-
-
-@query("ending_share", f"{_LATIN} SELECT doc_id, cls, round(count(*) / sum(count(*)) OVER (PARTITION BY doc_id), 3) AS share FROM sent GROUP BY doc_id, cls")
-def _(spark, d):
-    return S.ending_share(D.sentences(documents(spark, d)))
-
-
-@query("ending_share_ja", f"{_JA} SELECT doc_id, cls, round(count(*) / sum(count(*)) OVER (PARTITION BY doc_id), 3) AS share FROM sent GROUP BY doc_id, cls")
-def _(spark, d):
-    return S.ending_share(D.sentences(manuscripts(spark), JAPANESE))
-
-
-@query("same_ending_runs", f"{_LATIN} SELECT doc_id, run, value, length, first FROM {s_runs('sent', 'cls')}")
-def _(spark, d):
-    return D.runs(D.sentences(documents(spark, d)), "cls")
-
-
-@query("same_ending_runs_ja", f"{_JA} SELECT doc_id, run, value, length, first FROM {s_runs('sent', 'cls')}")
-def _(spark, d):
-    return D.runs(D.sentences(manuscripts(spark), JAPANESE), "cls")
-
-
-@query("dialogue_ratio", f"{_LATIN} SELECT doc_id, round((sum(chars) - sum(narr_chars)) / nullif(sum(chars), 0), 3) AS dialogue_ratio FROM para GROUP BY doc_id")
-def _(spark, d):
-    return D.paragraphs(documents(spark, d)).groupBy("doc_id").agg(rounded((F.sum("chars") - F.sum("narr_chars")) / F.nullif(F.sum("chars"), F.lit(0))).alias("dialogue_ratio"))
-
-
-@query("paragraph_stats", f"{_DOC} SELECT doc_id, narration_paragraphs, paragraph_len_mean, paragraph_len_cv, one_sentence_paragraph_rate FROM p")
-def _(spark, d):
-    return S.paragraph_stats(D.paragraphs(documents(spark, d))).select("doc_id", "narration_paragraphs", "paragraph_len_mean", "paragraph_len_cv", "one_sentence_paragraph_rate")
-
-
-@query("kanji_ratio", f"{_JA} SELECT doc_id, round({s_count('string_agg(body, chr(10))', '[一-龥々〆]')} / nullif(sum(chars), 0), 3) AS kanji_ratio FROM body GROUP BY doc_id")
-def _(spark, d):
-    return D.body_lines(manuscripts(spark)).groupBy("doc_id").agg(rounded(F.sum(F.regexp_count("body", F.lit("[一-龥々〆]"))) / F.nullif(F.sum("chars"), F.lit(0))).alias("kanji_ratio"))
-
-
-# ------------------------------------------------------------------ rhythm: one aggregate a document, then levels
-_RHYTHM = f"""{_DOC}, v AS (SELECT s.doc_id, sentences, sentence_len_mean, sentence_len_cv, coalesce(max_run, 0) AS max_run, round(coalesce(in_runs, 0) / sentences, 3) AS run_share FROM s LEFT JOIN r USING (doc_id))
-SELECT * FROM (SELECT doc_id, 'R01' AS rule, {R.sql_level('max_run', 'R01')} AS severity, max_run::DOUBLE AS value FROM v
-UNION ALL SELECT doc_id, 'R02', {R.sql_level('run_share', 'R02')}, run_share FROM v WHERE sentences >= 20
-UNION ALL SELECT doc_id, 'L01', {R.sql_level('sentence_len_cv', 'L01')}, sentence_len_cv FROM v WHERE sentences >= 30
-UNION ALL SELECT doc_id, 'L01', CASE WHEN sentence_len_cv < 0.4 THEN 'INFO' END, sentence_len_cv FROM v WHERE sentences >= 12 AND sentences < 30
-UNION ALL SELECT doc_id, 'L02', {R.sql_level('sentence_len_mean', 'L02')}, sentence_len_mean FROM v WHERE sentences >= 12) WHERE severity IS NOT NULL"""
-
-
-@query("prose_rhythm", _RHYTHM)
-def _(spark, d):
-    return S.rhythm_findings(documents(spark, d))
-
-
-def _finding(name: str, rule: str, value: str, where: str, column: str | None = None, profile: str = "default", lines: tuple | None = None):
-    """A rule over one figure of doc_stats, and its SQL."""
-    sql = f"SELECT doc_id, '{rule}' AS rule, {R.sql_level(value, rule, profile, lines)} AS severity, {value}::DOUBLE AS value FROM ({_DOC_STATS}) WHERE {where} AND {R.sql_level(value, rule, profile, lines)} IS NOT NULL"
-
-    @query(name, sql)
-    def _(spark, d):
-        rows = S.doc_stats(documents(spark, d)).filter(where)
-        return R.findings(rows, rule, F.col(value), R.level(F.col(value), rule, profile, lines))
-
-
-_finding("r01_runs", "R01", "same_ending_max_run", "true")
-_finding("r02_share", "R02", "same_ending_run_share", "sentences >= 20")
-_finding("l01_cv", "L01", "sentence_len_cv", "sentences >= 30")
-_finding("l02_mean", "L02", "sentence_len_mean", "sentences >= 12")
-_finding("p02_cv", "P02", "paragraph_len_cv", "narration_paragraphs >= 8")
-
-
-@query("r03_rate", f"{_LATIN} SELECT * FROM (SELECT doc_id, 'R03' AS rule, {R.sql_level('v', 'R03', lines=(None, 0.2, None))} AS severity, v::DOUBLE AS value FROM (SELECT doc_id, round(avg(CASE WHEN cls = 'past' THEN 1.0 ELSE 0.0 END), 3) AS v FROM sent GROUP BY doc_id HAVING count(*) >= 20)) WHERE severity IS NOT NULL")
-def _(spark, d):
-    rate = D.sentences(documents(spark, d)).groupBy("doc_id").agg(rounded(F.avg(F.when(F.col("cls") == "past", 1.0).otherwise(0.0))).alias("v"), F.count("*").alias("n")).filter("n >= 20")
-    return R.findings(rate, "R03", F.col("v"), R.level(F.col("v"), "R03", lines=(None, 0.2, None)))
-
-
-@query("l03_long", f"{_LATIN} SELECT doc_id, line, idx, chars FROM sent WHERE chars > 120")
-def _(spark, d):
-    return D.sentences(documents(spark, d)).filter("chars > 120").select("doc_id", "line", "idx", "chars")
-
-
-@query("p01_long", f"{_LATIN} SELECT doc_id, line, chars, CASE WHEN chars > 300 THEN 'WARN' ELSE 'INFO' END AS severity FROM para WHERE kind = 'narration' AND chars > 200")
-def _(spark, d):
-    return D.paragraphs(documents(spark, d)).filter("kind = 'narration' AND chars > 200").select("doc_id", "line", "chars", F.when(F.col("chars") > 300, "WARN").otherwise("INFO").alias("severity"))
-
-
-@query("p03_band", f"SELECT doc_id, 'P03' AS rule, 'WARN' AS severity, one_sentence_paragraph_rate::DOUBLE AS value FROM ({_DOC_STATS}) WHERE narration_paragraphs >= 8 AND (one_sentence_paragraph_rate > 0.85 OR one_sentence_paragraph_rate < 0.15)")
-def _(spark, d):
-    low, high = R.P03_BAND["web"]
-    rate = F.col("one_sentence_paragraph_rate")
-    return R.findings(S.doc_stats(documents(spark, d)).filter("narration_paragraphs >= 8"), "P03", rate, F.when((rate > high) | (rate < low), "WARN"))
-
-
-_P04 = "(SELECT doc_id, line, CASE WHEN kind = 'narration' AND n_sent = 1 AND chars <= 60 THEN 1 ELSE 0 END AS short FROM para)"
-
-
-@query("p04_short_runs", f"{_LATIN} SELECT doc_id, first, length FROM {s_runs(_P04, 'short', 'line')} WHERE value = 1 AND length >= 2")
-def _(spark, d):
-    short = D.paragraphs(documents(spark, d)).withColumn("short", F.expr("CASE WHEN kind = 'narration' AND n_sent = 1 AND chars <= 60 THEN 1 ELSE 0 END"))
-    return D.runs(short, "short", ("line",)).filter("value = 1 AND length >= 2").select("doc_id", "first", "length")
-
-
-@query("p05_blocks", f"""{_LATIN}, b AS (SELECT *, sum(CASE WHEN utterances > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS block FROM para)
-SELECT doc_id, block::BIGINT AS block, min(line) AS first, sum(narr_chars)::BIGINT AS chars FROM b GROUP BY doc_id, block HAVING sum(narr_chars) > 800""")
-def _(spark, d):
-    block = F.sum(F.when(F.col("utterances") > 0, 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("line"))
-    return D.paragraphs(documents(spark, d)).withColumn("block", block).groupBy("doc_id", "block").agg(F.min("line").alias("first"), F.sum("narr_chars").alias("chars")).filter("chars > 800")
-
-
-@query("t01_runs", f"{_LATIN} SELECT doc_id, first, length, {R.sql_level('length', 'T01')} AS severity FROM {s_runs('sent', 'cls')} WHERE value = 'noun' AND length >= 2")
-def _(spark, d):
-    runs = D.runs(D.sentences(documents(spark, d)), "cls").filter("value = 'noun' AND length >= 2")
-    return runs.select("doc_id", "first", "length", R.level(F.col("length"), "T01").alias("severity"))
-
-
-@query("t02_density", f"{_DOC}, n AS (SELECT doc_id, count(*) FILTER (cls = 'noun') AS hits FROM sent GROUP BY doc_id) SELECT doc_id, round(hits * 1000 / narration_chars, 1) AS density FROM n JOIN p USING (doc_id) WHERE narration_chars >= 600 AND hits >= 3")
-def _(spark, d):
-    docs = documents(spark, d)
-    hits = D.sentences(docs).groupBy("doc_id").agg(F.count_if(F.col("cls") == "noun").alias("hits"))
-    base_ = D.paragraphs(docs).groupBy("doc_id").agg(F.sum("narr_chars").alias("narration_chars"))
-    return hits.join(base_, "doc_id").filter("narration_chars >= 600 AND hits >= 3").select("doc_id", rounded(F.col("hits") * 1000 / F.col("narration_chars"), 1).alias("density"))
-
-
-# ------------------------------------------------------------------ dialogue: conversations are the utterances of a work
+def stats_sql(source: str, profile: Profile) -> str:
+    """CTEs run, fig (a row of figures a document) after ``base``."""
+    polite = f"coalesce(round(avg(CASE WHEN cls = '{profile.polite}' THEN 1.0 ELSE 0.0 END), 3) >= 0.5, false)" if profile.polite else "false"
+    return f""", run AS (SELECT * FROM {s_runs('tok', 'value')} WHERE value <> 'D'),
+p AS (SELECT doc_id, sum(chars) AS chars, sum(narr_chars) AS narration_chars, sum(CASE WHEN utterances > 0 THEN chars - narr_chars - 2 * utterances ELSE 0 END) AS spoken, sum(utterances) AS utterances, count(*) FILTER (kind = 'narration') AS narration_paragraphs,
+  avg(chars) FILTER (kind = 'narration') AS pm, CASE WHEN count(*) FILTER (kind = 'narration') >= 2 THEN stddev_pop(chars) FILTER (kind = 'narration') END AS ps, sum({f"len(regexp_extract_all(body, '[一-龥々〆]'))"}) AS kanji FROM paras GROUP BY doc_id),
+o AS (SELECT doc_id, avg(CASE WHEN n_sent <= 1 THEN 1.0 ELSE 0.0 END) AS rate FROM para WHERE kind = 'narration' GROUP BY doc_id),
+s AS (SELECT doc_id, count(*) AS sentences, avg(chars) AS m, median(chars)::DOUBLE AS md, CASE WHEN count(*) >= 2 THEN stddev_pop(chars) END AS sd, max(chars) AS mx, count(*) FILTER (chars <= 10) AS le10, count(*) FILTER (chars >= 80) AS ge80, avg(commas) AS commas,
+  round(avg(CASE WHEN cls = '{profile.past}' THEN 1.0 ELSE 0.0 END), 3) AS ta_rate, {polite} AS keitai, count(*) FILTER (cls = '{profile.noun}') AS nouns FROM sent GROUP BY doc_id),
+r AS (SELECT doc_id, max(length) FILTER (value <> 'other') AS max_run, sum(length) FILTER (value <> 'other' AND length >= 4) AS in_runs FROM run GROUP BY doc_id),
+fig AS (SELECT d.doc_id, coalesce(p.chars, 0)::BIGINT AS chars, coalesce(narration_chars, 0)::BIGINT AS narration_chars, round(spoken / nullif(p.chars, 0), 3) AS dialogue_ratio, coalesce(sentences, 0) AS sentences, round(m, 1) AS sentence_len_mean,
+  md AS sentence_len_median, round(sd / nullif(m, 0), 3) AS sentence_len_cv, mx AS sentence_len_max, coalesce(le10, 0) AS sentences_le10, coalesce(ge80, 0) AS sentences_ge80, round(commas, 2) AS commas_per_sentence, ta_rate, coalesce(keitai, false) AS keitai,
+  coalesce(max_run, 0) AS same_ending_max_run, round(CASE WHEN sentences > 0 THEN coalesce(in_runs, 0) / sentences END, 3) AS same_ending_run_share, coalesce(narration_paragraphs, 0) AS narration_paragraphs, round(pm, 1) AS paragraph_len_mean,
+  round(ps / nullif(pm, 0), 3) AS paragraph_len_cv, round(o.rate, 3) AS one_sentence_paragraph_rate, coalesce(utterances, 0)::BIGINT AS utterances, round(kanji / nullif(p.chars, 0), 3) AS kanji_ratio, coalesce(nouns, 0) AS nouns
+  FROM {source} d LEFT JOIN p USING (doc_id) LEFT JOIN o USING (doc_id) LEFT JOIN s USING (doc_id) LEFT JOIN r USING (doc_id))"""
+
+
+_FIG = {LATIN.name: stats_sql("documents", LATIN), JAPANESE.name: stats_sql(MANUSCRIPT_SQL, JAPANESE)}
+both("doc_stats", lambda p: f"{_FIG[p.name]} SELECT * EXCLUDE (nouns) FROM fig", S.doc_stats)
+both("ending_share", " SELECT doc_id, cls, round(count(*) / sum(count(*)) OVER (PARTITION BY doc_id), 3) AS share FROM sent GROUP BY doc_id, cls", S.ending_share)
+both("same_ending_runs", lambda p: f"{_FIG[p.name]} SELECT doc_id, run::BIGINT AS run, value, length, first FROM run", D.runs)
+both("dialogue_ratio", lambda p: f"{_FIG[p.name]} SELECT doc_id, dialogue_ratio FROM fig", lambda docs, p: S.doc_stats(docs, p).select("doc_id", "dialogue_ratio"))
+both(
+    "paragraph_stats", lambda p: f"{_FIG[p.name]} SELECT doc_id, narration_paragraphs, paragraph_len_mean, paragraph_len_cv, one_sentence_paragraph_rate FROM fig",
+    lambda docs, p: S.doc_stats(docs, p).select("doc_id", "narration_paragraphs", "paragraph_len_mean", "paragraph_len_cv", "one_sentence_paragraph_rate"),
+)
+both("kanji_ratio", lambda p: f"{_FIG[p.name]} SELECT doc_id, kanji_ratio FROM fig", lambda docs, p: S.doc_stats(docs, p).select("doc_id", "kanji_ratio"))
+
+# ------------------------------------------------------------------ windows over a table's rows
 _TURNS = "(SELECT conv_id AS doc_id, turn AS line, role, text FROM conversations)"
 
 
-@query("d01_target", f"SELECT doc_id, round(abs(r - 0.45), 3) AS off FROM (SELECT conv_id AS doc_id, round(sum(CASE WHEN role = 'assistant' THEN {s_visible('text')} ELSE 0 END) / nullif(sum({s_visible('text')}), 0), 3) AS r, sum({s_visible('text')}) AS n FROM conversations GROUP BY conv_id) WHERE n >= 600 AND round(abs(r - 0.45), 3) > 0.15")
+@query("role_runs", f"SELECT doc_id, value AS role, length, first FROM {s_runs(_TURNS, 'role', 'line')}")
 def _(spark, d):
-    target, tolerance = R.D01_TARGET["web"]
-    turns = spark.read.parquet(f"{d}/conversations.parquet").withColumn("n", T.visible(F.col("text")))
-    ratio = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(rounded(F.sum(F.when(F.col("role") == "assistant", F.col("n")).otherwise(0)) / F.nullif(F.sum("n"), F.lit(0))).alias("r"), F.sum("n").alias("total"))
-    return ratio.filter("total >= 600").select("doc_id", rounded(F.abs(F.col("r") - target)).alias("off")).filter(F.col("off") > tolerance)
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("line"), "role")
+    return D.row_runs(turns, "role", ("line",)).select("doc_id", F.col("value").alias("role"), "length", "first")
 
 
-@query("d02_runs", f"SELECT doc_id, value AS role, length, first FROM {s_runs(_TURNS, 'role', 'line')} WHERE length >= 2")
-def _(spark, d):
-    turns = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("line"), "role")
-    return D.runs(turns, "role", ("line",)).filter("length >= 2").select("doc_id", F.col("value").alias("role"), "length", "first")
-
-
-_POS = "(SELECT doc_id, sum(chars) OVER (PARTITION BY doc_id ORDER BY line, idx) - chars AS pos, line, idx FROM sent WHERE chars <= 40)"
-
-
-@query("d03_window300", f"{_LATIN} SELECT doc_id, max(n) AS most FROM (SELECT doc_id, count(*) OVER (PARTITION BY doc_id ORDER BY pos RANGE BETWEEN 300 PRECEDING AND CURRENT ROW) AS n FROM {_POS}) GROUP BY doc_id HAVING max(n) >= 3")
-def _(spark, d):
-    short = D.sentences(documents(spark, d)).filter("chars <= 40").withColumn("pos", F.sum("chars").over(D.in_order()) - F.col("chars"))
-    counted = short.withColumn("n", F.count("*").over(Window.partitionBy("doc_id").orderBy("pos").rangeBetween(-300, 0)))
-    return counted.groupBy("doc_id").agg(F.max("n").alias("most")).filter("most >= 3")
-
-
-@query("l04_uniform5", f"""{_LATIN}, w AS (SELECT doc_id, row_number() OVER o AS rn, min(chars) OVER f AS lo, max(chars) OVER f AS hi, avg(chars) OVER f AS m, count(*) OVER f AS k FROM sent
+both("l04_uniform5", """, w AS (SELECT doc_id, row_number() OVER o AS rn, line, min(chars) OVER f AS lo, max(chars) OVER f AS hi, avg(chars) OVER f AS m, count(*) OVER f AS k FROM sent
   WINDOW o AS (PARTITION BY doc_id ORDER BY line, idx), f AS (PARTITION BY doc_id ORDER BY line, idx ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
 h AS (SELECT doc_id, list(rn ORDER BY rn) AS hits FROM w WHERE k = 5 AND lo >= m * 0.75 AND hi <= m * 1.25 GROUP BY doc_id)
-SELECT doc_id, list_reduce(list_prepend(struct_pack(last := -5::BIGINT, n := 0::BIGINT), list_transform(hits, lambda x: struct_pack(last := x, n := 0::BIGINT))), lambda s, x: CASE WHEN x.last >= s.last + 5 THEN struct_pack(last := x.last, n := s.n + 1) ELSE s END).n AS hits FROM h""")
-def _(spark, d):
-    return S.uniform_stretches(D.sentences(documents(spark, d)))
+SELECT doc_id, list_reduce(list_prepend(struct_pack(last := -5::BIGINT, n := 0::BIGINT), list_transform(hits, lambda x: struct_pack(last := x, n := 0::BIGINT))), lambda s, x: CASE WHEN x.last >= s.last + 5 THEN struct_pack(last := x.last, n := s.n + 1) ELSE s END).n AS hits, (hits[1] - 1)::INT AS first FROM h""", S.uniform_stretches)
 
 
 @query("repeat_in_window", f"""WITH hit AS (SELECT doc_id, w, (length(array_to_string(g[1:k], '')) + length(array_to_string(h[1:k - 1], ''))) AS pos FROM (
@@ -282,10 +106,17 @@ def _(spark, d):
     return S.repeats_in_window(documents(spark, d), "[A-Za-z]{9,}", limit=3, window=2000)
 
 
-@query("k30_chiasmus", f"""{_LATIN}, n AS (SELECT doc_id, line, idx, commas, chars, sentence, lead(sentence) OVER o AS following, lead(commas) OVER o AS next_commas, lead(chars) OVER o AS next_chars FROM sent WINDOW o AS (PARTITION BY doc_id, line ORDER BY idx))
-SELECT doc_id, line, idx FROM n WHERE chars <= 60 AND next_chars <= 60 AND commas = 1 AND next_commas = 1 AND lower(left(split_part(sentence, ',', 1), 1)) = lower(left(trim(split_part(following, ',', 2)), 1))""")
+@query("l03_long", f"{_LATIN} SELECT doc_id, line, idx, chars FROM sent WHERE chars > {R.LEVELS['L03']['entertainment'][0]}")
+def _(spark, d):
+    return D.sentences(documents(spark, d)).filter(F.col("chars") > R.LEVELS["L03"]["entertainment"][0]).select("doc_id", "line", "idx", "chars")
+
+
+@query("p01_long", f"{_LATIN} SELECT doc_id, line, chars, CASE WHEN chars > 300 THEN 'WARN' ELSE 'INFO' END AS severity FROM para WHERE kind = 'narration' AND chars > 200")
+def _(spark, d):
+    info, warn, _ = R.LEVELS["P01"]["web"]
+    return D.paragraphs(documents(spark, d)).filter((F.col("kind") == "narration") & (F.col("chars") > info)).select("doc_id", "line", "chars", F.when(F.col("chars") > warn, "WARN").otherwise("INFO").alias("severity"))
+
+
+@query("k17_commas", f"{_LATIN} SELECT doc_id, line, idx, commas FROM sent WHERE commas >= 4")
 def _(spark, d):
-    w = Window.partitionBy("doc_id", "line").orderBy("idx")
-    n = D.sentences(documents(spark, d)).withColumns({"following": F.lead("sentence").over(w), "next_commas": F.lead("commas").over(w), "next_chars": F.lead("chars").over(w)})
-    head = lambda c, part: F.lower(F.left(F.trim(F.split_part(c, F.lit(","), F.lit(part))), F.lit(1)))
-    return n.filter("chars <= 60 AND next_chars <= 60 AND commas = 1 AND next_commas = 1").filter(head(F.col("sentence"), 1) == head(F.col("following"), 2)).select("doc_id", "line", "idx")
+    return D.sentences(documents(spark, d)).filter(F.col("commas") >= R.LEVELS["K17"]["default"][0]).select("doc_id", "line", "idx", "commas")

@@ -8,32 +8,66 @@ from prosewell.operators import counting as C
 from prosewell.operators import decompose as D
 from prosewell.operators import ledger as L
 from prosewell.operators import structure as S
-from prosewell.plans.base import base, documents, inline, query, table, values
+from prosewell.functions import text as T
+from prosewell.functions.profile import JAPANESE
+from prosewell.plans.base import MANUSCRIPT_SQL, base, documents, inline, manuscripts, query, quoted, s_has, s_trim, table, values
 
 _LATIN = base()
-_QUOTES = ((1, "「おい」と『旅』を「『本』だ」"), (2, "『行くぞ』と叫んだ。"), (3, "『題名』"), (4, "『書名』という本」「"), (5, "「あ」「い」"))
+_JA = base(MANUSCRIPT_SQL, JAPANESE)
 
 
-@query("utterance_spans", f"SELECT * FROM {values(((1, 1, 0, 4), (1, 1, 9, 15), (2, 1, 0, 5), (3, 1, 0, 4), (5, 1, 0, 3), (5, 1, 3, 6)), 'doc_id, line, start, \"end\"')}")
+def _offsets(rows: str, text: str, pattern: str) -> str:
+    """Rows with k, pos and hit of each match."""
+    return f"""(SELECT * EXCLUDE (g, h), length(array_to_string(g[1:k + 1], '')) + length(array_to_string(h[1:k], '')) AS pos, h[k + 1] AS hit FROM (SELECT *, unnest(range(0, len(h))) AS k FROM (
+SELECT *, string_split_regex({text}, {quoted(pattern)}) AS g, regexp_extract_all({text}, {quoted(pattern)}) AS h FROM {rows})))"""
+
+
+@query("utterance_spans", f"{_JA} SELECT doc_id, line, pos::INT AS start, (pos + length(hit))::INT AS \"end\" FROM {_offsets('body', 'body', JAPANESE.utterance)}")
+def _(spark, d):
+    return S.utterance_spans(manuscripts(spark, d))
+
+
+_CUE = f"({JAPANESE.cues['names']}|{JAPANESE.cues['brings']})"
+_BEFORE, _AFTER = s_trim("left(body, pos)"), s_trim("substr(body, pos + length(hit) + 1)")
+
+
+@query("quote_roles", f"""{_JA}, c AS (SELECT *, coalesce(last_value(CASE WHEN NOT {s_has('body', S.WHOLE)} THEN {s_has(s_trim('body'), _CUE)} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS carried FROM body WHERE kind <> 'document'),
+q AS (SELECT *, {_BEFORE} AS before, {_AFTER} AS after FROM {_offsets('c', 'body', S.QUOTES)}),
+r AS (SELECT *, CASE WHEN {s_has('before', JAPANESE.cues['names'])} OR (before = '' AND carried) THEN 'other' WHEN {s_has('after', JAPANESE.cues['says'])} AND ({s_has('before', S.HEAD)} OR {s_has('before', S.SUBJECT)}) THEN 'speech'
+  WHEN starts_with(hit, '「') AND {s_has('before', S.HEAD)} AND after = '' THEN 'speech' WHEN starts_with(hit, '「') AND {s_has('before', S.HEAD)} AND starts_with(after, '「') THEN NULL ELSE 'other' END AS own FROM q)
+SELECT doc_id, line, pos::INT AS start, coalesce(first_value(own IGNORE NULLS) OVER (PARTITION BY doc_id, line ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 'other') AS role FROM r""")
 def _(spark, d):
-    return S.utterance_spans(D.lines(inline(spark, _QUOTES, "doc_id long, text string")))
+    return S.quote_roles(manuscripts(spark, d))
+
+
+_LOOSE = f"""{_JA}, l AS (SELECT *, NOT {s_has('raw', r'^[\x{3000}「『（(【〈《]')} AS loose, max(CASE WHEN starts_with(raw, chr(12288)) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS indents FROM kind WHERE kind NOT IN ('blank', 'heading', 'scene', 'symbol', 'docblank', 'document'))"""
+
+
+@query("document_blocks", f"""{_LOOSE}, t AS (SELECT *, sum(turn) OVER (PARTITION BY doc_id ORDER BY line) AS run FROM (SELECT *, lag(raw) OVER (PARTITION BY doc_id ORDER BY line) AS intro, CASE WHEN lag(loose) OVER (PARTITION BY doc_id ORDER BY line) IS NOT DISTINCT FROM loose THEN 0 ELSE 1 END AS turn FROM l WHERE indents = 1))
+SELECT doc_id, min(line) AS first, max(line) AS last FROM t WHERE loose GROUP BY doc_id, run HAVING arg_min(coalesce(intro, chr(0)), line) <> chr(0) AND (count(*) >= 2 OR {s_has('arg_min(intro, line)', JAPANESE.cues['brings'])})""")
+def _(spark, d):
+    return S.document_blocks(manuscripts(spark, d))
+
+
+_FITS = ", ".join(f"coalesce(lead(line, {k}) OVER o = line + {k} AND lead(kind, {k}) OVER o <> 'document' AND NOT lead({s_has('raw', chr(94) + r'[\s\x{3000}「『]')}, {k}) OVER o, false) AS f{k}" for k in (1, 2, 3))
 
 
-_ROLES = ((1, "「行こう」\n彼は「海」が好きだ。\n「早く」「急げ」\n看板の文字\n「立入禁止」\n「待て」と叫んだ。"),)
-_ROLE_ROWS = ((1, 1, 0, "speech"), (1, 2, 2, "other"), (1, 3, 0, "speech"), (1, 3, 4, "speech"), (1, 5, 0, "other"), (1, 6, 0, "speech"))
+_FLAT = base(f"(SELECT doc_id, replace(text, chr(12288), '') AS text FROM {MANUSCRIPT_SQL})", JAPANESE)
 
 
-@query("quote_roles", f"SELECT * FROM {values(_ROLE_ROWS, 'doc_id, line, start, role')}")
+@query("guessed_blocks", f"""{_FLAT}, g AS (SELECT *, max(CASE WHEN starts_with(raw, chr(12288)) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS indents FROM kind WHERE kind NOT IN ('blank', 'heading', 'scene', 'symbol', 'docblank')),
+f AS (SELECT *, {_FITS} FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY line)) SELECT doc_id, line, (CASE WHEN f1 THEN 1 + CASE WHEN f2 THEN 1 + CASE WHEN f3 THEN 1 ELSE 0 END ELSE 0 END ELSE 0 END)::BIGINT AS lines FROM f WHERE indents = 0 AND kind <> 'document' AND f1 AND {s_has(s_trim('raw'), JAPANESE.cues['brings'])}""")
 def _(spark, d):
-    return S.quote_roles(D.lines(inline(spark, _ROLES, "doc_id long, text string")))
+    return S.guessed_blocks(manuscripts(spark, d).select("doc_id", F.replace("text", F.lit("\u3000"), F.lit("")).alias("text")))
 
 
-_STORY = ((1, "　朝だった。\n件名の行\n本文の行\n　夜になった。\nぽつんと一行。\n　手紙が届いた。\n元気ですか。\n　泣いた。"), (2, "字下げなし。\n続き。"))
+_DIGITS = quoted("[0-9]+")
 
 
-@query("document_blocks", f"SELECT * FROM {values(((1, 2, 3), (1, 7, 7)), 'doc_id, first, last')}")
+@query("sentence_prefixes", f"SELECT doc_id, pos::INT AS pos, regexp_extract(left(text, pos), {quoted(r'[^。！？!?' + chr(92) + r'n]*$')}) AS prefix, len(regexp_extract_all(regexp_extract(left(text, pos), {quoted('[^' + chr(92) + 'n]*$')}), '[「『]')) > len(regexp_extract_all(regexp_extract(left(text, pos), {quoted('[^' + chr(92) + 'n]*$')}), '[」』]')) AS in_quote FROM {_offsets(MANUSCRIPT_SQL, 'text', '彼|夜')}")
 def _(spark, d):
-    return S.document_blocks(D.lines(inline(spark, _STORY, "doc_id long, text string")))
+    hits = manuscripts(spark, d).select("doc_id", "text", F.explode(T.offsets(F.col("text"), "彼|夜")).alias("x"))
+    return hits.select("doc_id", F.col("x.pos").alias("pos"), S.sentence_prefix(F.col("text"), F.col("x.pos")).alias("prefix"), S.in_open_quote(F.col("text"), F.col("x.pos")).alias("in_quote"))
 
 
 @query("d03_reported", f"""{_LATIN}, p AS (SELECT doc_id, (sum(chars) OVER (PARTITION BY doc_id ORDER BY line, idx) - chars)::BIGINT AS pos FROM sent),
@@ -128,9 +162,9 @@ def _(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
-@query("missing_chapters", "SELECT conv_id, turn FROM (SELECT conv_id, unnest(range(min(turn), max(turn) + 1)) AS turn FROM conversations WHERE turn % 3 <> 1 GROUP BY conv_id) e WHERE NOT EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = e.conv_id AND c.turn = e.turn AND c.turn % 3 <> 1)")
+@query("missing_chapters", "SELECT source, doc_id FROM (SELECT source, unnest(range(min(doc_id), max(doc_id) + 1)) AS doc_id FROM documents GROUP BY source) e WHERE NOT EXISTS (SELECT 1 FROM documents c WHERE c.source = e.source AND c.doc_id = e.doc_id)")
 def _(spark, d):
-    return L.gaps(table(spark, d, "conversations").filter("turn % 3 <> 1"), "conv_id", "turn")
+    return L.gaps(table(spark, d, "documents"), "source", "doc_id")
 
 
 @query("tail_excerpt", "SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN position(chr(10) IN right(text, 200)) > 0 THEN substr(right(text, 200), position(chr(10) IN right(text, 200)) + 1) ELSE right(text, 200) END AS tail FROM documents")
@@ -140,10 +174,10 @@ def _(spark, d):
     return documents(spark, d).select("doc_id", cut.alias("tail"))
 
 
-@query("summaries_recent", "SELECT source, doc_id, CASE WHEN k <= 3 THEN text ELSE regexp_extract(text, '^[^.!?]*[.!?]*') END AS summary FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS k FROM documents) WHERE k <= 6")
+@query("summaries_recent", "SELECT source, doc_id, CASE WHEN k <= 3 THEN text ELSE regexp_extract(text, '^[^.!?]*[.!?]*') END AS summary FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS k FROM documents)")
 def _(spark, d):
     from pyspark.sql import Window
 
     k = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("doc_id")))
-    rows = spark.read.parquet(f"{d}/documents.parquet").withColumn("k", k).filter("k <= 6")
+    rows = spark.read.parquet(f"{d}/documents.parquet").withColumn("k", k)
     return rows.select("source", "doc_id", F.when(F.col("k") <= 3, F.col("text")).otherwise(F.regexp_extract("text", r"^[^.!?]*[.!?]*", 0)).alias("summary"))

@@ -92,3 +92,15 @@ def characters(files: DataFrame) -> DataFrame:
     pattern = r"^(C[0-9]+)\s+(.+?)\s*(?:[（(]([^（()）]+)[）)])?$"
     part = lambda k: F.nullif(F.regexp_extract(first, pattern, k), F.lit(""))
     return files.select(part(1).alias("id"), F.coalesce(part(2), F.regexp_replace("name", r"\.[^.]*$", "")).alias("character"), part(3).alias("reading"))
+
+
+def overrides(spark: SparkSession, path: str) -> dict[str, dict]:
+    """Lines of a work by rule from a JSON configuration with an ``overrides`` object; rules are few."""
+    row = spark.read.text(path, wholetext=True).select(F.from_json("value", "overrides map<string, struct<info: double, warn: double, strong: double, target: double, off: boolean, enable: boolean, reason: string>>").alias("c")).first()
+    return {rule: {k: v for k, v in lines.asDict().items() if v is not None} for rule, lines in ((row and row["c"] and row["c"]["overrides"]) or {}).items()}
+
+
+def runs(spark: SparkSession, path: str) -> DataFrame:
+    """created, prompt, trial, arm, path, ok and hashes of the generations of stored evaluation runs, a JSON document each."""
+    schema = "created string, generations array<struct<prompt: string, hash: string, trial: int, arm: string, path: string, ok: boolean, generator: string, preamble_sha: string, response_sha: string>>"
+    return spark.read.schema(schema).json(path, multiLine=True).select("created", F.explode("generations").alias("g")).select("created", "g.*")

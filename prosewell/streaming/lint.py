@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from prosewell.operators import stats
+from prosewell.operators import lint
 
 
 def watch(texts: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Runs the rhythm rules over each micro-batch of (doc_id, text); ``sink`` gets the findings and the batch's number."""
+    """Runs all rules over each micro-batch of (doc_id, text); ``sink`` gets the findings and the batch's number."""
 
     def batch(docs: DataFrame, number: int) -> None:
-        sink(stats.rhythm_findings(docs), number)
+        sink(lint.lint(docs), number)
 
     return texts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
