@@ -4,24 +4,26 @@ Of every ``window - GRAM + 1`` consecutive k-gram hashes the smallest is kept, f
 share ``window`` words share a fingerprint.  Documents look theirs up among the items' and extend each hit along its diagonal;
 runs of at least ``window`` equal words are the shared spans.  Items shorter than a window have no such guarantee: all their words
 form one gram, which is looked up among all grams of that length.
+
+A benchmark of a checked size is indexed once and broadcast.  A larger one is joined by fingerprints: each input partition stores its
+rows, sends its distinct prints to buckets, gets back those that items have, and then only the items that share one with it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from prosewell.llm.scratch import ship
-from prosewell.llm.tokens import ALNUM, grams, sliding_min, slices, text_bytes, words
+from prosewell.llm.scratch import Scratch, plainly_named, ship
+from prosewell.llm.sharing import SENT, Distinct, Files, bucket_bits, unpacked
+from prosewell.llm.tokens import ALNUM, U64, grams, mix, sliding_min, slices, text_bytes, words
 
 WINDOW = 10
 GRAM = 5
-#: Bytes of benchmark text that are indexed and broadcast at once (the index takes about ten times as much at most).  A larger
-#: benchmark is dealt into as many blocks as needed, and every document meets every block.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text that are indexed and broadcast at most (the index takes about ten times as much); a larger one is joined.
+BROADCAST_BYTES = 8 << 20
 
 
 def winnow(values: np.ndarray, bounds: np.ndarray, w: int) -> np.ndarray:
@@ -88,67 +90,169 @@ class Index:
         return np.cumsum(hit[:-1]) > 0, sorted(found)
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[str], list[str | None]]]:
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), F.col("text").cast("string").alias("text"))
-    n = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
-    for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()  # about block_bytes of text
-        yield [r["id"] for r in rows], [r["text"] for r in rows]
+def _prints(hashes: np.ndarray, bounds: np.ndarray, window: int, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of texts and whose they are: winnowed grams, and all grams of the sizes of short items, told apart by their size."""
+    values, _, own = grams(hashes, bounds, GRAM)
+    chosen = winnow(values, own, window - GRAM + 1)
+    out, text = [values[chosen]], [np.searchsorted(own, chosen, "right") - 1]
+    for size in sizes:
+        values, _, own = grams(hashes, bounds, size)
+        out.append(mix(values + U64(size)))
+        text.append(np.repeat(np.arange(len(own) - 1), np.diff(own)))
+    return np.concatenate(out), np.concatenate(text)
+
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), F.col("text").cast("string").alias("text"))
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with n_words, spans (first and last + 1 of each run of hit words) and items (distinct ids, sorted as text).
 
     Null and empty texts have no words; null items neither, and a null item_id reads "null".  Equal items under several ids are all
     named; repeated documents are judged each; input columns named like outputs are replaced; empty tables give empty results.
     """
-    keep = [c for c in docs.columns if c not in {"n_words", "spans", "items"}]
+    names = [c for c in docs.columns if c not in {"n_words", "spans", "items"}]
+    own, items = plainly_named(docs, names), _items(benchmark)
+    keep = own.columns
     spans = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_words", T.LongType()), T.StructField("spans", spans), T.StructField("items", T.ArrayType(T.StringType()))])
-    spark = docs.sparkSession
-    ship(spark)
-    out = docs.select(*keep).withColumns({"n_words": F.lit(0).cast("bigint"), "spans": F.array().cast(spans), "items": F.array().cast("array<string>")})
-    for ids, texts in [*_blocks(benchmark, block_bytes)] or [([], [])]:
-        out = _pass(out, spark.sparkContext.broadcast(Index(ids, texts, window)), keep, schema)
-    return out
+    schema = T.StructType([own.schema[c] for c in keep] + [T.StructField("n_words", T.LongType()), T.StructField("spans", spans), T.StructField("items", T.ArrayType(T.StringType()))])
+    return _found(own, items, window, broadcast_bytes, keep, schema).toDF(*names, "n_words", "spans", "items")
 
 
-def _pass(docs: DataFrame, index, keep: list[str], schema: T.StructType) -> DataFrame:
-    """Adds the hits of one block of items to those of earlier blocks."""
-    span = pa.struct([("first", pa.int64()), ("end", pa.int64())])
+def _found(own: DataFrame, items: DataFrame, window: int, broadcast_bytes: int, keep: list[str], schema: T.StructType) -> DataFrame:
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= broadcast_bytes:
+        rows = items.collect()  # of the size just checked
+        index = own.sparkSession.sparkContext.broadcast(Index([r["id"] for r in rows], [r["text"] for r in rows], window))
+        ship(own.sparkSession)
+        return own.mapInArrow(lambda batches: (_judged(b, index.value, keep) for b in slices(batches)), schema)
+    return _joined(own, items, window, keep, schema)
+
+
+def _joined(docs: DataFrame, items: DataFrame, window: int, keep: list[str], schema: T.StructType) -> DataFrame:
+    """The hits by a join of fingerprints: no task holds more items than share a print with its documents."""
+    scratch = Scratch(docs.sparkSession)
+    folder, bits = scratch.path("documents"), bucket_bits(docs)
+    numbered = scratch.table(_numbered(items, window), "items")
+    sizes = sorted(r["size"] for r in numbered.filter(F.col("size") < window).select("size").distinct().collect())  # fewer than a window has words
+
+    def sent(batches):
+        part, found = TaskContext.get().partitionId(), Distinct()
+
+        def stored(out):
+            writer, at = None, 0
+            for b in slices(batches):
+                writer = writer or pa.ipc.new_file(out, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                writer.write_batch(b)
+                w = words(*text_bytes(b.column("text")), ALNUM)
+                prints, text = _prints(w.hashes, w.bounds, window, sizes)
+                found.add(prints, at + text)
+                at += b.num_rows
+            if writer:
+                writer.close()
+
+        Files(folder).write(f"docs-{part}", stored)
+        yield found.rows(part, bits)
+
+    asked = scratch.table(docs.mapInArrow(sent, SENT), "asked")
+    had = numbered.select(F.explode("prints").alias("print"), "item").withColumn("bucket", F.shiftrightunsigned("print", 64 - bits)).select("bucket", F.lit(-1).cast("bigint").alias("part"), "print", "item")
+
+    def met(batches):
+        """Buckets: first the prints that items have, then those of the partitions."""
+        for bucket, rows in _by_bucket(batches):
+            prints = np.array([r["print"] for r in rows if r["part"] < 0], np.int64).view(U64) >> U64(8)
+            owners = np.array([r["item"] for r in rows if r["part"] < 0], np.int64)
+            order = np.argsort(prints, kind="stable")
+            prints, owners = prints[order], owners[order]
+            for r in rows:
+                if r["part"] >= 0 and len(prints):
+                    mine, _ = unpacked(r["hashes"], r["n"])
+                    first, end = np.searchsorted(prints, mine, "left"), np.searchsorted(prints, mine, "right")
+                    hit = np.unique(np.concatenate([owners[a:b] for a, b in zip(first[end > first], end[end > first], strict=True)] or [np.zeros(0, np.int64)]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), r["part"]), pa.int64()), pa.array(hit, pa.int64())], names=["part", "item"])
+
+    both = asked.select("bucket", "part", "hashes", "n", F.lit(None).cast("bigint").alias("print"), F.lit(None).cast("bigint").alias("item")).union(had.select("bucket", "part", F.lit(None).cast("binary"), F.lit(None).cast("bigint"), "print", "item"))
+    wanted = both.repartition(1 << bits, "bucket").sortWithinPartitions("bucket", "part").mapInArrow(met, "part long, item long")
+    shared = scratch.table(wanted.distinct(), "shared")
+    chosen = shared.join(numbered.select("item", "id", "text"), "item").select("part", "id", "text")
+    parts = asked.filter("bucket = 0").select("part")  # a row for each partition
+    rows = chosen.union(parts.select("part", F.lit(None).cast("string"), F.lit(None).cast("string")))
+    n = (parts.agg(F.max("part")).first()[0] or 0) + 1
+
+    def judged(batches):
+        held: dict[int, list[tuple[str, str]]] = {}
+        for b in batches:
+            for part, key, text in zip(*(b.column(c).to_pylist() for c in ("part", "id", "text")), strict=True):
+                held.setdefault(part, []).extend([(key, text)] if text is not None else [])
+        files = Files(folder)
+        for part, own in held.items():
+            if files.holds(f"docs-{part}"):
+                index = Index([k for k, _ in own], [t for _, t in own], window)
+                yield from (_judged(b, index, keep) for b in files.batches(f"docs-{part}"))
+
+    return rows.repartitionById(n, F.col("part").cast("int")).mapInArrow(judged, schema)
+
+
+def _by_bucket(batches):
+    held: list[dict] = []
+    for b in batches:
+        for r in b.to_pylist():
+            if held and held[0]["bucket"] != r["bucket"]:
+                yield held[0]["bucket"], held
+                held = []
+            held.append(r)
+    if held:
+        yield held[0]["bucket"], held
+
+
+def _numbered(items: DataFrame, window: int) -> DataFrame:
+    """item (a number), id, text, size (words, at most a window) and prints of the items that have words."""
 
     def run(batches):
-        for part in slices(batches):
-            w = words(*text_bytes(part.column("text")), ALNUM)
-            hit, found = index.value.hits(w.hashes, w.bounds)
-            items = [set(x or ()) for x in part.column("items").to_pylist()]
-            for text, item in found:
-                items[text].add(index.value.ids[item])
-            for t, old in enumerate(part.column("spans").to_pylist()):
-                for s in old or ():
-                    hit[w.bounds[t] + s["first"] : w.bounds[t] + s["end"]] = True
-            edges = np.zeros(len(hit) + 1, bool)
-            edges[1:] = hit
-            first = np.flatnonzero(hit & ~edges[:-1])
-            inner = w.bounds[1:-1][(w.bounds[1:-1] > 0) & (w.bounds[1:-1] < len(hit))]
-            cut = inner[hit[inner] & hit[inner - 1]]  # a run never goes on in the next text
-            last = np.flatnonzero(hit & ~np.append(hit[1:], False)) + 1
-            first, last = np.union1d(first, cut), np.union1d(last, cut)
-            offsets = np.searchsorted(first, w.bounds)
-            base = np.repeat(w.bounds[:-1], np.diff(offsets))
-            runs = pa.StructArray.from_arrays([pa.array(first - base, pa.int64()), pa.array(last - base, pa.int64())], fields=list(span))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(c) for c in keep] + [pa.array(np.diff(w.bounds), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                names=[*keep, "n_words", "spans", "items"],
-            )
-
-    return docs.mapInArrow(run, schema)
+        part, at = TaskContext.get().partitionId(), 0
+        for b in slices(batches):
+            w = words(*text_bytes(b.column("text")), ALNUM)
+            out = []
+            for i, size in enumerate(np.diff(w.bounds).tolist()):
+                if size:
+                    own = w.hashes[w.bounds[i] : w.bounds[i + 1]]
+                    prints = _prints(own, np.array([0, size]), window, [size] if size < window else [])[0] if size >= window else mix(grams(own, np.array([0, size]), size)[0] + U64(size))
+                    out.append(((part << 32) + at + i, b.column("id")[i].as_py(), b.column("text")[i].as_py(), min(size, window), np.unique(prints).view(np.int64)))
+            at += b.num_rows
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], names=["item", "id", "text", "size", "prints"])
+
+    return items.mapInArrow(run, "item long, id string, text string, size long, prints array<long>")
+
+
+def _judged(part: pa.RecordBatch, index: Index, keep: list[str]) -> pa.RecordBatch:
+    """The rows of a batch with what the items of an index hit."""
+    span = pa.struct([("first", pa.int64()), ("end", pa.int64())])
+    w = words(*text_bytes(part.column("text")), ALNUM)
+    hit, found = index.hits(w.hashes, w.bounds)
+    items: list[set] = [set() for _ in range(part.num_rows)]
+    for text, item in found:
+        items[text].add(index.ids[item])
+    edges = np.zeros(len(hit) + 1, bool)
+    edges[1:] = hit
+    first = np.flatnonzero(hit & ~edges[:-1])
+    inner = w.bounds[1:-1][(w.bounds[1:-1] > 0) & (w.bounds[1:-1] < len(hit))]
+    cut = inner[hit[inner] & hit[inner - 1]]  # a run never goes on in the next text
+    last = np.flatnonzero(hit & ~np.append(hit[1:], False)) + 1
+    first, last = np.union1d(first, cut), np.union1d(last, cut)
+    offsets = np.searchsorted(first, w.bounds)
+    base = np.repeat(w.bounds[:-1], np.diff(offsets))
+    runs = pa.StructArray.from_arrays([pa.array(first - base, pa.int64()), pa.array(last - base, pa.int64())], fields=list(span))
+    return pa.RecordBatch.from_arrays(
+        [part.column(c) for c in keep] + [pa.array(np.diff(w.bounds), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+        names=[*keep, "n_words", "spans", "items"],
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that share no window with an item."""
-    keep = docs.columns
-    return find(docs, benchmark, window).filter(F.size("spans") == 0).select(*keep)
+    own = plainly_named(docs, docs.columns)
+    return find(own, benchmark, window).filter(F.size("spans") == 0).select(*own.columns).toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

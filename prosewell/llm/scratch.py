@@ -9,11 +9,29 @@ import zipfile
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _FALLBACK: list[tempfile.TemporaryDirectory] = []
 
 
+def free_name(wanted: str, taken: list[str]) -> str:
+    """A column name that isn't among those taken, whatever their case."""
+    known = {c.lower() for c in taken}
+    while wanted.lower() in known:
+        wanted += "_"
+    return wanted
+
+
+def quoted(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def plainly_named(df: DataFrame, names: list[str]) -> DataFrame:
+    """These columns, but for ``text`` and ``doc_id`` under names that nothing trips over."""
+    return df.select(*(quoted(c).alias(c if c in ("text", "doc_id") else f"c{k}") for k, c in enumerate(names)))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; only a local session that names none (tests) gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)

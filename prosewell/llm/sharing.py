@@ -48,6 +48,13 @@ class Files:
             write(out)
         self.store.move(own, f"{self.root}/{name}")
 
+    def holds(self, name: str) -> bool:
+        """An empty partition writes nothing."""
+        from pyarrow import fs
+
+        info = self.store.get_file_info(f"{self.root}/{name}")
+        return info.type == fs.FileType.File and info.size > 0
+
     def batches(self, name: str):
         with self.store.open_input_file(f"{self.root}/{name}") as f, pa.ipc.open_file(f) as reader:
             for k in range(reader.num_record_batches):
@@ -139,7 +146,7 @@ def store_and_hash(docs: DataFrame, folder: str, hashes_of) -> DataFrame:
     return docs.mapInArrow(run, SENT)
 
 
-def _unpack(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((n, 8), np.uint8)
     out[:, :7] = np.frombuffer(data, np.uint8, 7 * n).reshape(n, 7)
     return out.view("<u8").ravel().astype(U64), np.unpackbits(np.frombuffer(data, np.uint8, offset=7 * n), count=n).astype(bool)
@@ -150,7 +157,7 @@ def several(sent: DataFrame) -> DataFrame:
 
     def run(batches):
         def flush(rows):
-            keys, flags = zip(*(_unpack(r["hashes"], r["n"]) for r in rows), strict=True)
+            keys, flags = zip(*(unpacked(r["hashes"], r["n"]) for r in rows), strict=True)
             all_keys = np.concatenate(keys)
             distinct, which = np.unique(all_keys, return_inverse=True)
             often = (np.bincount(which, minlength=len(distinct)) + np.bincount(which, np.concatenate(flags), len(distinct))) > 1
