@@ -2,7 +2,7 @@
 
 Class means and covariances come from sums over every labelled training row, so fitting is one aggregation of a fixed number of
 values and never gathers rows.  Covariances are shrunk towards their pooled diagonal; a score is the difference of two Gaussian
-log densities, each from a triangular solve against a Cholesky factor computed once.
+log densities.  Each needs the inverse of a Cholesky factor, which is made once, by forward substitution, and kept with the model.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from prosewell.llm.scratch import Scratch
+from prosewell.llm.scratch import Scratch, plainly_named
 from prosewell.llm.tokens import BLANKS, slices, text_bytes, words
 
 #: A document is accepted from this probability of label 1 on.
@@ -68,7 +68,8 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 @dataclass(frozen=True)
 class Model:
     mean: np.ndarray  # class, feature
-    chol: np.ndarray  # class, feature, feature
+    half: np.ndarray  # class, feature, feature: inverses of the Cholesky factors, lower triangles
+    log_det: np.ndarray  # of the factors
     log_prior: np.ndarray
     center: np.ndarray
     scale: np.ndarray
@@ -77,8 +78,8 @@ class Model:
         z = (x - self.center) / self.scale
         out = []
         for k in (0, 1):
-            u = np.linalg.solve(self.chol[k], (z - self.mean[k]).T)
-            out.append(self.log_prior[k] - 0.5 * (u * u).sum(0) - np.log(np.diag(self.chol[k])).sum())
+            u = (z - self.mean[k]) @ self.half[k].T
+            out.append(self.log_prior[k] - 0.5 * (u * u).sum(1) - self.log_det[k])
         return np.column_stack(out)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -87,6 +88,14 @@ class Model:
         return 1 / (1 + np.exp(np.clip(d[:, 0] - d[:, 1], -500, 500)))
 
 
+def inverse_factor(chol: np.ndarray) -> np.ndarray:
+    """The inverse of a lower triangle, row by row."""
+    out = np.zeros_like(chol)
+    for i in range(len(chol)):
+        out[i, : i + 1] = (np.eye(len(chol))[i, : i + 1] - chol[i, :i] @ out[:i, : i + 1]) / chol[i, i]
+    return out
+
+
 def fit_sums(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], shrinkage: float = SHRINKAGE) -> Model:
     """Model from count, sum and sum of outer products of each class.  A class without rows gets the other's shape and an even prior."""
     d = len(FEATURES)
@@ -107,7 +116,7 @@ def fit_sums(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], shrinkage: f
         cov = (1 - shrinkage) * cov + shrinkage * np.eye(d) * max(np.trace(cov) / d, 0.05)
         chol[k] = np.linalg.cholesky((cov + cov.T) / 2 + 1e-6 * np.eye(d))
     prior = np.log(np.array([p[0] + 1.0 for p in parts]) / (n + 2))
-    return Model(mean, chol, prior, center, scale)
+    return Model(mean, np.stack([inverse_factor(c) for c in chol]), np.array([np.log(np.diag(c)).sum() for c in chol]), prior, center, scale)
 
 
 def with_features(docs: DataFrame) -> DataFrame:
@@ -179,12 +188,16 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None)
     Null and empty texts get the score of a text without words; repeated rows score alike; an input column named like an output
     is replaced.  Without usable labels the score is an even one.  An empty table gives an empty result.
     """
-    keep = [c for c in (keep or docs.columns) if c not in {"held_out", "score", "predicted"}]
+    names = [c for c in (keep or docs.columns) if c not in {"held_out", "score", "predicted"}]
+    docs = plainly_named(docs, list(dict.fromkeys([*names, "doc_id", "text"])))
+    keep = docs.columns[: len(names)]
     scratch = Scratch(docs.sparkSession)
-    vectors = scratch.table(with_features(docs), "vectors")
-    model = fit(vectors, labels)
-    scored = score_vectors(vectors, model) if keep == ["doc_id"] else score_texts(docs, model, keep)
-    return scored.withColumn("held_out", crc_fold(F.col("doc_id"), FOLDS) == 0).select(*keep, "held_out", "score", "predicted")
+    if keep == ["doc_id"]:  # every text is taken apart once, for the fit and the scores
+        vectors = scratch.table(with_features(docs), "vectors")
+        scored = score_vectors(vectors, fit(vectors, labels))
+    else:  # texts with other columns stay where they are: only training rows are taken apart for the fit
+        scored = score_texts(docs, fit(with_features(docs.filter(crc_fold(F.col("doc_id"), FOLDS) != 0)), labels), list(dict.fromkeys([*keep, "doc_id"])))
+    return scored.withColumn("held_out", crc_fold(F.col("doc_id"), FOLDS) == 0).select(*keep, "held_out", "score", "predicted").toDF(*names, "held_out", "score", "predicted")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
