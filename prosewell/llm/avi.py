@@ -130,10 +130,37 @@ def parse_avi(data: bytes) -> dict:
     return out
 
 
+def _codes(counts, symbols) -> dict:
+    """{(bits, code): symbol} of a Huffman table told by how many codes each length has."""
+    code, out, given = 0, {}, iter(symbols)
+    for bits, n in enumerate(counts, 1):
+        for _ in range(n):
+            out[bits, code] = next(given)
+            code += 1
+        code <<= 1
+    return out
+
+
+def _standard_ac(first: str) -> list[int]:
+    """The symbols of a standard table of run lengths: those listed, then all others of the 162 in ascending order."""
+    head = list(bytes.fromhex(first))
+    every = [0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))]
+    return head + sorted(set(every) - set(head))
+
+
+#: The standard's Huffman tables {class, id}, which files of motion JPEG leave out: luma and chroma.
+STANDARD = {
+    (0, 0): _codes((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), range(12)),
+    (0, 1): _codes((0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0), range(12)),
+    (1, 0): _codes((0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125), _standard_ac("01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282")),
+    (1, 1): _codes((0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119), _standard_ac("0001020311040521310612415107617113223281081442" + "91a1b1c109233352f0156272d10a162434e125f1")),
+}
+
+
 @lru_cache(maxsize=64)
 def _parse_header(head: bytes) -> tuple:
-    """Quantisers, size, Huffman tables {class, id: {(bits, code): symbol}}, restart interval, scan components of a JPEG's segments."""
-    at, quant, tables, frame, interval = 2, {}, {}, None, 0
+    """Of a JPEG's segments: height, width, restart interval, and of each component (quantiser, sampling across and down, Huffman tables)."""
+    at, quant, tables, frame, interval = 2, {}, dict(STANDARD), None, 0
     while at < len(head):
         marker, size = head[at + 1], struct.unpack_from(">H", head, at + 2)[0]
         body = head[at + 4 : at + 2 + size]
@@ -152,30 +179,25 @@ def _parse_header(head: bytes) -> tuple:
         elif marker == 0xC4:
             k = 0
             while k < len(body):
-                counts, code, table = body[k + 1 : k + 17], 0, {}
-                symbols = iter(body[k + 17 : k + 17 + sum(counts)])
-                for bits, n in enumerate(counts, 1):
-                    for _ in range(n):
-                        table[bits, code] = next(symbols)
-                        code += 1
-                    code <<= 1
-                tables[body[k] >> 4, body[k] & 15] = table
+                counts = body[k + 1 : k + 17]
+                tables[body[k] >> 4, body[k] & 15] = _codes(counts, body[k + 17 : k + 17 + sum(counts)])
                 k += 17 + sum(counts)
         elif marker == 0xDD:
             interval = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
-            scan = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
-            if len(scan) != 1 or frame is None or len(frame[2]) != 1:
-                raise ValueError("only frames of one component are read")
-            return quant[frame[2][0][2]], frame[0], frame[1], tables[0, scan[0][1]], tables[1, scan[0][2]], interval
+            scan = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])}
+            if frame is None or len(scan) != len(frame[2]):
+                raise ValueError("only frames of one scan are read")
+            parts = [(quant[q], hv >> 4, hv & 15, tables[0, scan[name][0]], tables[1, scan[name][1]]) for name, hv, q in frame[2]]
+            return frame[0], frame[1], interval, parts
         at += 2 + size
     raise ValueError("no scan")
 
 
-def _huffman_blocks(data: bytes, n: int, dc: dict, ac: dict) -> np.ndarray:
-    """Coefficients of n blocks in zigzag order, bit by bit: for tables other than the writer's."""
-    bits, at, last = int.from_bytes(data, "big"), 8 * len(data), 0
-    out = np.zeros((n, 64), np.int64)
+def _huffman_blocks(data: bytes, units: list[tuple[int, dict, dict]], n: int) -> list[np.ndarray]:
+    """Coefficients in zigzag order of n interleaved units (blocks, their tables) of each component, bit by bit: for tables other than the writer's."""
+    bits, at, last = int.from_bytes(data, "big"), 8 * len(data), [0] * len(units)
+    out = [np.zeros((n * size, 64), np.int64) for size, _, _ in units]
 
     def take(count: int) -> int:
         nonlocal at
@@ -196,17 +218,21 @@ def _huffman_blocks(data: bytes, n: int, dc: dict, ac: dict) -> np.ndarray:
         value = take(size) if size else 0
         return value if not size or value >> (size - 1) else value - (1 << size) + 1
 
-    for row in out:
-        last += amplitude(symbol(dc))
-        row[0], k = last, 1
-        while k < 64:
-            run, size = divmod(symbol(ac), 16)
-            if not size and run != 15:
-                break
-            k += run
-            if size:
-                row[k] = amplitude(size)
-            k += 1
+    for unit in range(n):
+        for c, (blocks, dc, ac) in enumerate(units):
+            for row in out[c][unit * blocks : (unit + 1) * blocks]:
+                last[c] += amplitude(symbol(dc))
+                row[0], k = last[c], 1
+                while k < 64:
+                    run, size = divmod(symbol(ac), 16)
+                    if not size and run != 15:
+                        break
+                    k += run
+                    if k > 63:
+                        raise ValueError("a block is too long")
+                    if size:
+                        row[k] = amplitude(size)
+                    k += 1
     return out
 
 
@@ -214,13 +240,15 @@ _WRITER_TABLE = {(8, 0): 8}
 
 
 def decode_frames(frames: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, int, int]]:
-    """For each JPEG: coefficients (blocks x 64, zigzag), its quantiser, height and width."""
+    """For each JPEG: coefficients of its first component, the luma (blocks x 64, zigzag), its quantiser, height and width."""
     out = []
     for jpeg in frames:
-        start = jpeg.index(b"\xff\xda")
+        start = jpeg.find(b"\xff\xda")
+        if start < 0:
+            raise ValueError("no scan")
         start += 2 + struct.unpack_from(">H", jpeg, start + 2)[0]
-        quant, height, width, dc, ac, interval = _parse_header(jpeg[:start])
-        n = -(-height // 8) * -(-width // 8)
+        height, width, interval, parts = _parse_header(jpeg[:start])
+        quant, across, down, dc, ac = parts[0]
         scan = np.frombuffer(jpeg, np.uint8, len(jpeg) - start, start)
         mark = np.flatnonzero(scan[:-1] == 0xFF)
         after = scan[mark + 1]
@@ -229,19 +257,26 @@ def decode_frames(frames: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, int
         gone = np.zeros(len(scan), bool)
         gone[mark[after == 0] + 1] = True
         gone[restarts] = gone[restarts + 1] = gone[end:] = True
-        if dc == ac == _WRITER_TABLE and interval == 1:
+        if len(parts) == 1:  # blocks follow each other, whatever the sampling says
+            n, units = -(-height // 8) * -(-width // 8), [(1, dc, ac)]
+        else:
+            most_across, most_down = max(p[1] for p in parts), max(p[2] for p in parts)
+            n, units = -(-height // (8 * most_down)) * -(-width // (8 * most_across)), [(h * v, d, a) for _, h, v, d, a in parts]
+        if len(parts) == 1 and dc == ac == _WRITER_TABLE and interval == 1:
             pairs = scan[~gone]
             if len(pairs) != n * 128 or pairs[0::2].any():
                 raise ValueError("damaged scan")
             extra = pairs[1::2].reshape(n, 64).astype(np.int64)
             out.append((np.where(extra < 128, extra - 255, extra), quant, height, width))
         else:
-            cuts = [0, *restarts.tolist(), end]
-            parts = [scan[a:b][~gone[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            cuts = [0, *restarts[restarts < end].tolist(), end]
             left, rows = n, []
-            for part in parts:
-                rows.append(_huffman_blocks(part, min(left, interval or n), dc, ac))
-                left -= len(rows[-1])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                now = min(left, interval or n)
+                rows.append(_huffman_blocks(scan[a:b][~gone[a:b]].tobytes(), units, now)[0])
+                left -= now
+            if left:
+                raise ValueError("the scan ends early")
             out.append((np.concatenate(rows), quant, height, width))
     return out
 
