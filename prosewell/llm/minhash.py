@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from prosewell.llm.components import components
-from prosewell.llm.scratch import Scratch
+from prosewell.llm.scratch import Scratch, free_name, quoted
 from prosewell.llm.tokens import BLANKS, U64, grams, mix, slices, stream, text_bytes, words
 
 SHINGLE = 5
@@ -246,14 +246,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, by doc_id; of repeated rows of one doc_id, the first by text."""
+    """The rows of ``docs`` that are the first of their component, by doc_id.
+
+    Of rows of one doc_id and one text one stays; rows of one doc_id with different texts all stay, unless the id as a
+    whole has a smaller document like it.  Rows without doc_id stay.
+    """
     _, parts = link(docs, percent)
-    gone = parts.select(F.col("node").alias("doc_id"))
-    kept = docs.join(gone, "doc_id", "left_anti")
-    ids = kept.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    once = Window.partitionBy("doc_id").orderBy("text")
-    repeated = kept.join(ids, "doc_id", "left_semi").withColumn("__turn", F.row_number().over(once)).filter("__turn = 1").drop("__turn")
-    return kept.join(ids, "doc_id", "left_anti").select(*docs.columns).union(repeated.select(*docs.columns))
+    key, turn = free_name("gone", docs.columns), free_name("turn", docs.columns)
+    gone = parts.select(F.col("node").alias(key))
+    kept = docs.join(gone, docs["doc_id"].cast("bigint") == gone[key], "left_anti")
+    ids = kept.groupBy("doc_id").agg(F.count("*").alias(turn)).filter((F.col(turn) > 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(key))
+    once = Window.partitionBy("doc_id", "text").orderBy("doc_id")
+    repeated = kept.join(ids, kept["doc_id"] == ids[key], "left_semi").withColumn(turn, F.row_number().over(once)).filter(F.col(turn) == 1)
+    names = [quoted(c) for c in docs.columns]
+    return kept.join(ids, kept["doc_id"] == ids[key], "left_anti").select(*names).union(repeated.select(*names))
 
 
 SQL = """

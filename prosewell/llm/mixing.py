@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from prosewell.llm.scratch import Scratch
+from prosewell.llm.scratch import Scratch, free_name, quoted
 
 #: Documents of a block, on average; the fold over one block runs in one task.
 BLOCK = 512
@@ -89,7 +89,7 @@ def decide(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, blo
     comes from row hashes alone, so a rerun decides alike.  An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
-    columns = [F.col(f"`{c}`") for c in sorted(docs.columns)]
+    columns = [quoted(c) for c in sorted(docs.columns)]
     sized = scratch.table(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), *columns).alias("k1"), F.xxhash64(F.lit(seed + 1), *columns).alias("k2")),
         "sized",
@@ -119,14 +119,15 @@ def decide(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, blo
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, block: int = BLOCK, seed: int = 20) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; columns stay.  Rows of size 0 take part with their whole copies."""
-    names, k1, k2 = docs.columns, "__mix_k1", "__mix_k2"
-    columns = [F.col(f"`{c}`") for c in sorted(names)]
-    totals = decide(docs, weights, max_repeats, block, seed).groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.sum("copies").alias("__mix_copies"), F.count("*").alias("__mix_rows"))
+    names = docs.columns
+    k1, k2, total, rows, nth, own, copy = (free_name(x, names) for x in ("k1", "k2", "total", "rows", "nth", "own", "copy"))
+    columns = [quoted(c) for c in sorted(names)]
+    totals = decide(docs, weights, max_repeats, block, seed).groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.sum("copies").alias(total), F.count("*").alias(rows))
     keyed = docs.withColumns({k1: F.xxhash64(F.lit(seed), *columns), k2: F.xxhash64(F.lit(seed + 1), *columns)}).join(totals, [k1, k2])
     turn = F.row_number().over(Window.partitionBy(k1, k2).orderBy(k1))
-    own = F.floor(F.col("__mix_copies") / F.col("__mix_rows")) + (F.col("__mix_turn") <= F.col("__mix_copies") % F.col("__mix_rows")).cast("bigint")
-    spread = keyed.withColumn("__mix_turn", turn).withColumn("__mix_own", own.cast("int")).filter("__mix_own > 0")
-    return spread.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("__mix_own")))).select(*(F.col(f"`{c}`") for c in names))
+    times = F.floor(F.col(total) / F.col(rows)) + (F.col(nth) <= F.col(total) % F.col(rows)).cast("bigint")
+    spread = keyed.withColumn(nth, turn).withColumn(own, times.cast("int")).filter(F.col(own) > 0)
+    return spread.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(own)))).select(*map(quoted, names))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ encoded once: pieces come as hashes from the bytes, ids of known ones from a tab
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,6 +22,8 @@ from prosewell.llm.tokens import BLANKS, Lookup, slices, text_bytes, words
 from prosewell.llm.wavelet import NULL_ID, WaveletFile, encode
 
 TOKENIZER = "word_bpe_49k.json"
+#: Fixed value: SHA-256 of the one tokenizer file whose texts may be cut in pieces; by any other, texts are encoded whole.
+IN_PIECES = "53fa9d558ea625daafcd57cd61e7be7b3c7043ea584b22d09575cf5ea9131b0a"
 END_ID = 1
 #: A shard is closed at the first document that reaches this many tokens; one document is never split.
 SHARD_TOKENS = 4_000_000
@@ -37,6 +40,8 @@ class Vocabulary:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, "rb") as file:
+            self.in_pieces = hashlib.sha256(file.read()).hexdigest() == IN_PIECES
         self.planes = max(1, int(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.special = [x.content.encode().lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.is_end = np.zeros(1 << self.planes, bool)
@@ -74,9 +79,17 @@ class Vocabulary:
         self.keys, self.first, self.size = np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.size, at, size)
         self.lookup = Lookup(self.keys)
 
+    def _whole(self, data: bytes, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same by any tokenizer: each text in one piece."""
+        texts = [data[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        got = [np.array([*x.ids, end_id], np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *got]), np.array([len(x) for x in got], np.int64)
+
     def encode(self, raw: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, the end id after each, and the number of ids of each text."""
         data = raw.tobytes()
+        if not self.in_pieces:
+            return self._whole(data, offsets, end_id)
         low = data.lower()
         w = words(raw, offsets, BLANKS_KEPT) if any(x in low for x in self.special) else words(raw, offsets, BLANKS, (_LETTERS, _MARKS))
         if len(self.keys) > KNOWN_WORDS:

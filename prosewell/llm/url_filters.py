@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from prosewell.llm.scratch import free_name, quoted
+
 #: Up to this many rules travel inside the plan as a literal map; more are joined, and Spark chooses the join by size.
 PLAN_RULES = 256
 
@@ -61,7 +63,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default: str
     """
     host, path = split_url(F.col("url"))
     kept = [c for c in pages.columns if c not in {"host", "path", "rule", "verdict"}]
-    judged = pages.select(*kept, host.alias("host"), path.alias("path"))
+    judged = pages.select(*map(quoted, kept), host.alias("host"), path.alias("path"))
     if not rules:
         return judged.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     index = [
@@ -70,15 +72,15 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default: str
     ]
     schema = "token string, len int, blocks int, ties array<int>, rule string, action string, regex string"
     best = _best_in_plan if len(rules) <= plan_rules else _best_by_join
-    out = best(judged, pages.sparkSession.createDataFrame(index, schema), index, schema)
-    return out.select(*kept, "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.action", F.lit(default)).alias("verdict"))
+    out = best(judged, pages.sparkSession.createDataFrame(index, schema), index, schema, name := free_name("best", judged.columns))
+    return out.select(*map(quoted, kept), "host", "path", F.col(f"{name}.rule").alias("rule"), F.coalesce(f"{name}.action", F.lit(default)).alias("verdict"))
 
 
 def _fits(rule: Column) -> Column:
     return F.rlike(F.concat("host", "path"), rule["regex"])
 
 
-def _best_in_plan(judged: DataFrame, _table: DataFrame, index: list[tuple], schema: str) -> DataFrame:
+def _best_in_plan(judged: DataFrame, _table: DataFrame, index: list[tuple], schema: str, name: str) -> DataFrame:
     kind = f"array<struct<{', '.join(':'.join(x.split(' ')) for x in schema.split(', ')[1:])}>>"
     by_token: dict[str, list[Column]] = {}
     for token, size, blocks, ties, rule, action, regex in index:
@@ -86,15 +88,15 @@ def _best_in_plan(judged: DataFrame, _table: DataFrame, index: list[tuple], sche
         by_token.setdefault(token, []).append(F.struct(*fields))
     table = F.create_map(*(x for token, rules in by_token.items() for x in (F.lit(token), F.array(*rules))))
     fetched = F.flatten(F.transform(url_tokens(F.col("host"), F.col("path")), lambda t: F.coalesce(F.try_element_at(table, t), F.array().cast(kind))))
-    return judged.withColumn("__best", F.array_max(F.filter(fetched, _fits)))
+    return judged.withColumn(name, F.array_max(F.filter(fetched, _fits)))
 
 
-def _best_by_join(judged: DataFrame, table: DataFrame, _index: list[tuple], _schema: str) -> DataFrame:
+def _best_by_join(judged: DataFrame, table: DataFrame, _index: list[tuple], _schema: str, name: str) -> DataFrame:
     """Distinct URLs only are joined; the best rule is a maximum, so it is combined before the shuffle."""
     urls = judged.select("host", "path").distinct()
     fetched = urls.select("host", "path", F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token")).join(table, "token")
-    fitting = fetched.withColumn("__best", F.struct("len", "blocks", "ties", "rule", "action", "regex")).filter(_fits(F.col("__best")))
-    return judged.join(fitting.groupBy("host", "path").agg(F.max("__best").alias("__best")), ["host", "path"], "left")
+    fitting = fetched.withColumn(name, F.struct("len", "blocks", "ties", "rule", "action", "regex")).filter(_fits(F.col(name)))
+    return judged.join(fitting.groupBy("host", "path").agg(F.max(name).alias(name)), ["host", "path"], "left")
 
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))

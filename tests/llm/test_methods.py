@@ -39,8 +39,69 @@ def test_avi_round_trip():
         assert len(file["frames"]) == -(-n // 1024) and data[:4] == b"RIFF"
         assert avi.histograms(decoded).sum() == len(file["frames"]) * 1024
         # the general reader reads the writer's tables too
-        quant, height, width, dc, ac, interval = avi._parse_header(file["frames"][0][: file["frames"][0].index(b"\xff\xda") + 10])
-        assert (height, width, interval) == (32, 32, 1) and avi._huffman_blocks(bytes([0, 200] * 64), 1, dc, ac)[0, 5] == 200
+        height, width, interval, ((quant, _, _, dc, ac),) = avi._parse_header(file["frames"][0][: file["frames"][0].index(b"\xff\xda") + 10])
+        assert (height, width, interval) == (32, 32, 1) and avi._huffman_blocks(bytes([0, 200] * 64), [(1, dc, ac)], 1)[0][0, 5] == 200
+
+
+def color_jpeg(luma: list[int], height=16, width=16) -> bytes:
+    """A frame of three components, luma twice as fine, flat blocks only, without tables of its own for codes."""
+    import struct
+
+    codes = {k: {v: c for c, v in t.items()} for k, t in avi.STANDARD.items()}
+    out, last = [], [0, 0, 0]
+
+    def flat(c: int, value: int) -> None:
+        diff, last[c] = value - last[c], value
+        size = abs(diff).bit_length()
+        for bits, code in (codes[0, min(c, 1)][size], (size, diff if diff > 0 else diff + (1 << size) - 1), codes[1, min(c, 1)][0]):
+            out.append(format(code, f"0{bits}b") if bits else "")
+
+    for unit in range(len(luma) // 4):
+        for v in luma[4 * unit : 4 * unit + 4]:
+            flat(0, v)
+        flat(1, 3), flat(2, -3)
+    bits = "".join(out)
+    bits += "1" * (-len(bits) % 8)
+    scan = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+    segment = lambda marker, body: bytes([0xFF, marker]) + struct.pack(">H", len(body) + 2) + body
+    frame = struct.pack(">BHHB", 8, height, width, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
+    return b"\xff\xd8" + segment(0xDB, bytes([0]) + bytes([8] * 64)) + segment(0xC0, frame) + segment(0xDA, bytes([3, 1, 0x00, 2, 0x11, 3, 0x11, 0, 63, 0])) + scan + b"\xff\xd9"
+
+
+def test_color_frames_by_the_standard_tables():
+    luma = [rng.randrange(-100, 100) for _ in range(16)]
+    ((coefficients, quant, height, width),) = avi.decode_frames([color_jpeg(luma, 32, 32)])
+    assert coefficients[:, 0].tolist() == luma and not coefficients[:, 1:].any() and (height, width, int(quant[0])) == (32, 32, 8)
+    assert [len(avi.STANDARD[k]) for k in ((0, 0), (0, 1), (1, 0), (1, 1))] == [12, 12, 162, 162]
+    for broken in (color_jpeg(luma, 64, 64), color_jpeg(luma)[:40], b"", b"\xff\xd8\xff\xda"):
+        with pytest.raises((ValueError, LookupError, __import__("struct").error)):
+            avi.decode_frames([broken])
+
+
+def test_damaged_files_are_told(spark):
+    from prosewell.llm import media
+
+    good = avi.encode_avi(np.arange(1024, dtype=np.uint8))
+    rows = [(1, good), (2, good[: len(good) // 2]), (3, b"RIFF"), (4, None), (5, b"")]
+    got = {}
+    for r in media.clips(spark.createDataFrame(rows, "doc_id long, media binary")).collect():
+        got.setdefault(r["doc_id"], []).append(r["clip"])
+    assert got[1] == [0] and got[3] == [None] and 4 not in got and got[5] == [None] and 2 in got
+
+
+def test_quality_is_a_plain_discriminant():
+    """Sums, cached factors and all against the textbook formula over the rows themselves."""
+    x = np.random.default_rng(4).normal(size=(400, 5)) * [1, 2, 3, 0.5, 1]
+    y = (x[:, 0] + 0.3 * x[:, 1] ** 2 > 1).astype(int)
+    model = quality.fit_sums({k: (float((y == k).sum()), x[y == k].sum(0), x[y == k].T @ x[y == k]) for k in (0, 1)})
+    z, logs = (x - x.mean(0)) / x.std(0), []
+    for k in (0, 1):
+        own = z[y == k]
+        cov = np.cov(own.T, bias=True)
+        cov = (1 - quality.SHRINKAGE) * cov + quality.SHRINKAGE * np.eye(5) * np.trace(cov) / 5 + 1e-6 * np.eye(5)
+        off = z - own.mean(0)
+        logs.append(np.log((len(own) + 1) / 402) - 0.5 * np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off) - 0.5 * np.linalg.slogdet(cov)[1])
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(logs[0] - logs[1])), atol=1e-9)
 
 
 def test_shots():
