@@ -12,13 +12,22 @@ def text_hash(text: Column, size: int = 12) -> Column:
 def assign(pairs: DataFrame, key: str, seed: str) -> DataFrame:
     """Half of the pairs flipped, by the order of seeded hashes within cells of hashes, so no global sort is needed.
 
-    Pairs of one cell (the first hash digit) alternate; a cell is off balance by one pair at most.
+    Pairs of one cell (the first hash digits, more with more pairs) alternate; a cell is off balance by one pair at most.
     """
     hashed = pairs.withColumn("h", F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256))
-    turn = F.row_number().over(Window.partitionBy(F.left(F.col("h"), F.lit(1))).orderBy("h"))
+    digits = cell_digits(pairs.count())
+    turn = F.row_number().over(Window.partitionBy(F.left(F.col("h"), F.lit(digits))).orderBy("h"))
     return hashed.withColumn("flipped", turn % 2 == 0).drop("h")
 
 
+def cell_digits(n: int, cell: int = 100_000) -> int:
+    """Hash digits that make cells of so many pairs at most."""
+    digits = 1
+    while n > cell * 16**digits:
+        digits += 1
+    return digits
+
+
 def settle(first: Column, second: Column) -> Column:
     """Of two judgements in swapped orders: failed if one is missing, undecided, the label if they agree, else unstable."""
     return F.when(first.isNull() | second.isNull(), "failed").when((first == "tie") | (second == "tie"), "undecidable").when(first == second, first).otherwise("unstable")
@@ -47,10 +56,13 @@ def blocks(sentences: DataFrame, size: int = 20) -> DataFrame:
     return numbered.groupBy("doc_id", "block").agg(F.count("*").alias("n"), (F.stddev_pop("chars") / F.avg("chars")).alias("cv")).filter(F.col("n") == size).select("doc_id", "block", F.round("cv", 3).alias("cv"))
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """Value of index int(q * (n - 1) + 0.5) of the sorted values: of the few that one group has."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, F.floor(q * (F.size(ordered) - 1) + 0.5).cast("int") + 1)
+def nearest_ranks(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """group and a column for each share q: the value of index int(q * (n - 1) + 0.5) in order, by counts of distinct values, so no group is gathered."""
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("k"))
+    w = Window.partitionBy(group)
+    ranked = counted.withColumns({"upto": F.sum("k").over(w.orderBy("v")), "n": F.sum("k").over(w)})
+    place = lambda q: F.floor(q * (F.col("n") - 1) + 0.5)
+    return ranked.groupBy(group).agg(*(F.min(F.when(F.col("upto") > place(q), F.col("v"))).alias(name) for name, q in shares.items()))
 
 
 #: How far from the mean alarm lines are set.
@@ -65,3 +77,56 @@ def alarm_lines(figures: DataFrame, rule: str, value: str, lower: bool, least: i
     floors = LOWER_FLOOR if lower else UPPER_FLOOR
     lines = [F.round(pick(m + sign * k * sd, f * m), 3) for k, f in zip(LOWER_SD if lower else UPPER_SD, floors, strict=True)]
     return figures.groupBy(rule).agg(F.count(value).alias("n"), F.round(m, 3).alias("mean"), lines[0].alias("info"), lines[1].alias("warn")).filter(F.col("n") >= least)
+
+
+#: How far from the mean the alarm lines of densities are set, and least shares of the lines they had.
+DENSITY_SD, DENSITY_FLOOR, OLD_SHARE = (1, 2), (1.15, 1.3), (0.5, 0.75)
+
+
+def density_lines(figures: DataFrame, rule: str, value: str, old: dict[str, tuple], manual: dict[str, dict] | None = None, off: tuple[str, ...] = (), least: int = 3) -> DataFrame:
+    """rule, n, info, warn of densities: above the mean, never far under the lines they had; rules that are off by contract are left out, manual lines win."""
+    m, sd = F.avg(value), F.stddev_pop(value)
+    rows = figures.filter(~F.col(rule).isin(*off)) if off else figures
+    rows = rows.groupBy(rule).agg(F.count(value).alias("n"), m.alias("m"), sd.alias("sd")).filter(F.col("n") >= least)
+    floors = F.create_map(*(x for k, (info, warn, _) in sorted(old.items()) for x in (F.lit(k), F.lit(0.5 * (info or warn or 1.0)))))
+    floor = F.coalesce(F.try_element_at(floors, F.col(rule)), F.lit(0.5))
+    own = {k: v for k, v in (manual or {}).items()}
+    given = lambda name, c: F.coalesce(F.try_element_at(F.create_map(*(x for k, v in sorted(own.items()) if name in v for x in (F.lit(k), F.lit(float(v[name]))))), F.col(rule)), c) if any(name in v for v in own.values()) else c
+    info = F.round(F.greatest(F.col("m") + F.col("sd"), 1.15 * F.col("m"), floor), 3)
+    warn = F.round(F.greatest(F.col("m") + 2 * F.col("sd"), 1.3 * F.col("m"), 1.5 * floor), 3)
+    return rows.select(rule, "n", given("info", info).alias("info"), given("warn", warn).alias("warn"))
+
+
+def dialogue_target(figures: DataFrame, value: str, least: int = 3) -> DataFrame:
+    """target, tolerance of dialogue: the mean, and two deviations or 0.1."""
+    row = figures.agg(F.count(value).alias("n"), F.round(F.avg(value), 3).alias("target"), F.round(F.greatest(F.lit(0.1), 2 * F.stddev_pop(value)), 3).alias("tolerance"))
+    return row.filter(F.col("n") >= least).drop("n")
+
+
+def judgment(record: dict[str, Column]) -> Column:
+    """The stored preference if everything it was made from is still the same; null otherwise."""
+    same = record["ok"] & record["preference"].isNotNull() & (record["request_sha"] == record["request_now"]) & (record["judge"] == record["judge_now"]) & (record["verdict_sha"] == record["verdict_now"])
+    return F.when(same & verdict(record["verdict_text"]).eqNullSafe(record["preference"]), record["preference"])
+
+
+def tree_hash(files: DataFrame, tree: str, path: str, sha: str, size: int = 16) -> DataFrame:
+    """tree, hash: one hash of the paths and hashes of a tree's files, in the order of the paths.  A tree is a working copy, some thousand files."""
+    lines = F.transform(F.sort_array(F.collect_list(F.struct(F.col(path).alias("path"), F.col(sha).alias("sha")))), lambda x: F.concat(x["path"], F.lit("\0"), x["sha"]))
+    return files.groupBy(tree).agg(F.left(F.sha2(F.array_join(lines, "\n"), 256), F.lit(size)).alias("hash"))
+
+
+def load_prompts(prompts: DataFrame, bases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Prompts (name, base, text) with the text of the base they name before their own, and an error for each that names one that isn't there."""
+    joined = prompts.alias("p").join(bases.alias("b"), F.col("p.base") == F.col("b.name"), "left")
+    good = joined.filter(F.col("p.base").isNull() | F.col("b.name").isNotNull()).select("p.name", F.concat_ws("\n", "b.text", "p.text").alias("text"))
+    return good, joined.filter(F.col("p.base").isNotNull() & F.col("b.name").isNull()).select("p.name", F.col("p.base").alias("missing"))
+
+
+def pivoted(findings: DataFrame) -> DataFrame:
+    """doc_id and for each severity its diagnostics, locations and rules."""
+    return findings.groupBy("doc_id").pivot("severity", ["FAIL", "STRONG", "WARN", "INFO"]).agg(F.count("*").alias("diagnostics"), F.sum("hits").alias("locations"), F.array_sort(F.collect_set("rule")).alias("rules"))
+
+
+def audited(expected: DataFrame, logs: DataFrame, forbidden: str) -> DataFrame:
+    """key, missing, hits: expected logs that aren't there, and how often a name that must not be seen stands in those that are."""
+    return expected.join(logs, "key", "left").select("key", F.col("text").isNull().alias("missing"), F.coalesce(F.regexp_count("text", F.lit(forbidden)), F.lit(0)).alias("hits"))

@@ -27,7 +27,7 @@ def outside(rows: DataFrame, key: str, column: str, allowed: list) -> DataFrame:
 
 def orphans(rows: DataFrame, key: str, reference: str, parents: DataFrame, parent_key: str) -> DataFrame:
     """References without a parent; null references don't count."""
-    left = rows.filter(F.col(reference).isNotNull()).join(parents.select(F.col(parent_key).alias("__parent")), F.col(reference) == F.col("__parent"), "left_anti")
+    left = rows.filter(F.col(reference).isNotNull()).join(parents.select(F.col(parent_key).alias("parent")).alias("parents"), F.col(reference) == F.col("parents.parent"), "left_anti")
     return finding(left, "E04", F.col(key), F.col(reference))
 
 
@@ -89,10 +89,55 @@ def pack(blocks: DataFrame, group: str, budget: int) -> DataFrame:
 
 
 def source_hash(rows: DataFrame, group: str, name: str, body: str) -> DataFrame:
-    """One digest of a group's rows in the order of their names: of each only its own digest is gathered."""
-    one = F.struct(F.col(name).alias("name"), F.sha2(F.coalesce(F.col(body), F.lit("")), 256).alias("sha"))
-    parts = F.transform(F.sort_array(F.collect_list(one)), lambda x: F.concat(x["name"].cast("string"), F.lit(":"), x["sha"]))
-    return rows.groupBy(group).agg(F.sha2(F.array_join(parts, "\n"), 256).alias("digest"))
+    """One digest of a group's rows: rows lie in 256 cells by the hash of their name, a cell's digest is over its rows in order, the group's over its cells."""
+    named = F.col(name).cast("string")
+    one = F.struct(named.alias("name"), F.sha2(F.coalesce(F.col(body), F.lit("")), 256).alias("sha"))
+    cells = rows.select(group, F.left(F.sha2(named, 256), F.lit(2)).alias("cell"), one.alias("one")).groupBy(group, "cell").agg(F.sort_array(F.collect_list("one")).alias("ones"))
+    lines = F.transform("ones", lambda x: F.concat(x["name"], F.lit(":"), x["sha"]))
+    digests = cells.select(group, "cell", F.sha2(F.array_join(lines, "\n"), 256).alias("sha"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cell", "sha"))), lambda x: x["sha"]), "\n")
+    return digests.groupBy(group).agg(F.sha2(joined, 256).alias("digest"))
+
+
+def misnumbered(files: DataFrame, name: str, number: str) -> DataFrame:
+    """Files whose chapter isn't that of their name, and chapters that several files have."""
+    told = F.regexp_extract(name, r"^ch([0-9]{3})\.", 1).try_cast("int")
+    wrong = finding(files.filter(F.coalesce(told != F.col(number), F.lit(True))), "E05", F.col(name), F.col(number))
+    twice = files.groupBy(number).agg(F.count("*").alias("n")).filter("n > 1")
+    return wrong.union(finding(twice, "E05", F.concat(F.lit("chapter "), F.col(number).cast("string")), F.col("n")))
+
+
+def maintained(items: DataFrame, handled: DataFrame, touches: DataFrame, key: str, at: str, open_states: list[str]) -> DataFrame:
+    """Threads that are open and that nothing has handled, with the last place that touched them (null if none)."""
+    last = touches.groupBy(key).agg(F.max(at).alias("last"))
+    return items.filter(F.col("status").isin(open_states)).join(handled.select(key).distinct(), key, "left_anti").join(last, key, "left")
+
+
+def relevant_facts(facts: DataFrame, cast: list, chapter: int) -> DataFrame:
+    """Facts before a chapter that no other fact before it supersedes, and that are of the cast, of the last two chapters, or proposed."""
+    before = facts.filter(F.col("ch") < chapter)
+    gone = before.filter("supersedes IS NOT NULL").select(F.col("supersedes").alias("id")).distinct()
+    related = F.arrays_overlap("chars", F.array(*map(F.lit, cast))) | (F.col("ch") >= chapter - 2) | (F.col("status") == "proposed")
+    return before.join(gone, "id", "left_anti").filter(F.coalesce(related, F.lit(False)))
+
+
+def decisions_for(decisions: DataFrame, keys: list, last: int = 5) -> DataFrame:
+    """Decisions that affect one of the keys, and the last few whatever they affect; each once."""
+    own = decisions.filter(F.arrays_overlap("affects", F.array(*map(F.lit, keys))))
+    latest_ = decisions.orderBy(F.desc("date"), F.desc("id")).limit(last)
+    return own.unionByName(latest_).distinct()
+
+
+def lacking(filled: DataFrame, needs: dict[str, int]) -> DataFrame:
+    """name, filled, needed: required material with fewer filled items than it must have; a pack is refused while there is any."""
+    wanted = filled.sparkSession.createDataFrame(sorted(needs.items()), "name string, needed int")
+    got = wanted.join(filled, "name", "left").withColumn("filled", F.coalesce("filled", F.lit(0).cast("bigint")))
+    return got.filter("filled < needed").select("name", "filled", "needed")
+
+
+def ordered(findings: DataFrame, level: Column) -> DataFrame:
+    """Findings by level, code and place."""
+    return findings.withColumn("level", level).orderBy("level", "code", "key")
 
 
 def any_of(conditions: list[Column]) -> Column:

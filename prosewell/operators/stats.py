@@ -118,3 +118,36 @@ def repeats_in_window(docs: DataFrame, pattern: str, limit: int, window: int) ->
     hits = docs.select("doc_id", F.explode(T.offsets(F.col("text"), pattern)).alias("x")).select("doc_id", F.lower("x.hit").alias("word"), F.col("x.pos").alias("pos"))
     span = F.col("pos") - F.lag("pos", limit - 1).over(Window.partitionBy("doc_id", "word").orderBy("pos"))
     return hits.withColumn("span", span).filter(F.col("span") <= window).groupBy("doc_id", "word").agg(F.min("pos").alias("pos"))
+
+
+#: Lengths of runs, lines of variation, and what counts as a short or long utterance, in the measures of a corpus.
+RUN_LENGTHS, CV_LINES, SHORT_SAID, LONG_SAID = (3, 4, 5, 6, 8), (0.40, 0.42, 0.50), 10, 60
+SPLIT = "」[^「」\n]{1,20}。「"
+
+
+def block_spreads(numbers: str, size: int, digits: int = 3) -> Column:
+    """Population deviation over the mean of each whole block of ``size`` values of an array column; an incomplete last block is left out."""
+    n = F.floor(F.size(numbers) / size).cast("int")
+    block = lambda k: F.slice(numbers, k * size + 1, F.lit(size))
+
+    def spread_of(values: Column) -> Column:
+        average = total(values) / size
+        return rounded(F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - average) * (x - average)) / size) / F.nullif(average, F.lit(0.0)), digits)
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: spread_of(block(k)))).otherwise(F.array().cast("array<double>"))
+
+
+def measures(docs: DataFrame, profile: Profile = LATIN) -> DataFrame:
+    """A row a document of what alarm lines are measured from: runs of each length for 10000 characters of narration, blocks of 20 sentences and
+    of 10 paragraphs with shares under each line, short and long utterances, and speech that narration splits."""
+    rows = D.fixed(figures(docs, profile), in_order=F.transform("told", lambda s: s["chars"]), said=F.flatten(F.transform("paras", lambda p: F.transform(F.regexp_extract_all(p["body"], F.lit(profile.utterance), F.lit(0)), lambda u: T.visible(u) - 2))))
+    rows = D.fixed(rows, blocks=block_spreads("in_order", 20), para_blocks=block_spreads("para_lens", 10, 9))
+    base = F.nullif(F.col("narration_chars"), F.lit(0))
+    known = F.filter("runs", lambda r: ~r["value"].isin("other", profile.noun))
+    per = [rounded(number_of(known, lambda r: r["length"] >= k) * 10000 / base, 1).alias(f"runs{k}") for k in RUN_LENGTHS]  # noqa: B023
+    under = [rounded(number_of(F.col("blocks"), lambda x: x < line) / F.nullif(F.size("blocks"), F.lit(0))).alias(f"under{round(100 * line)}") for line in CV_LINES]  # noqa: B023
+    n = F.nullif(F.size("said"), F.lit(0))
+    return rows.select(
+        "doc_id", *per, F.size("blocks").cast("bigint").alias("blocks"), *under, F.size("para_blocks").cast("bigint").alias("para_blocks"), rounded(F.aggregate("para_blocks", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("para_blocks"), F.lit(0))).alias("para_cv"),
+        rounded(number_of(F.col("said"), lambda x: x <= SHORT_SAID) / n).alias("short_said"), rounded(number_of(F.col("said"), lambda x: x >= LONG_SAID) / n).alias("long_said"), total(F.transform("paras", lambda p: F.regexp_count(p["body"], F.lit(SPLIT)))).alias("split"),
+    )

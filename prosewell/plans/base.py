@@ -173,6 +173,9 @@ LINES = (
     "　鳥のように飛び、鳥のように歌った。火のような朝だ。", "　それは夢ではなく、朝だった。それは嘘ではなく、本当だ。", "　沈黙が降りた。時間が止まった。記憶が揺れた。", "　状況を確認し、対応を検討し、報告した。", "　うれしい。悲しい。不安だ。寂しいと感じた。気がした。",
     "　なぜか、どこか、なんとなく懐かしい。かもしれない、だろうか。", "　伏線は回収した。読者は知っている。", "　目が覚めた。朝の光が差す。", "　彼は歩き出した。空を見上げた。", "　私は歩いた。私は走った。私は眠った。", "「『夜』」", "『夜の歌』", "　行きます。帰ります。待ちました。読んでいます。", "　東京。大阪。名古屋。京都。",
     "「知ってのとおり、彼は、海へ、山へ、町へ、行った」とささやいた。", "　" + "長い長い道がどこまでもどこまでも続いていて、" * 6 + "終わらない。", "とても短い。", "【立入禁止…】の札。", "　「字下げの台詞」", "  半角の字下げだ。", "　ため息をつき、肩をすくめ、目を伏せた。美しい人だ。見事な花だ。",
+    "　「さくら」は三文字だ。「ひまわり」は五文字だ。", "　「がっこう」は三拍だ。「カード」は3拍だ。", "　「桜」は二字かもしれない。", "　四文字の言葉「あさがお」を書く。五文字の名前「たろう」を呼ぶ。", "　「つばめ」は四文字ではなく、三文字だ。", "　「うみ」は三文字だ。",
+    "いや、二文字だ。", "　もし「そら」は三文字なら困る。", "　カレンダーは四文字だ。題名は五文字だ。", "　あと十文字ほど足りない。百五字で終わる。", "「『ほし』は三文字だよ」", "一句できた。\nふるいけや　かわずとびこむ　みずのおと", "俳句は難しい。\nなつの　よるは　ながい", "あさがおや　みずをください　とおりみち　",
+    "　2024年2月29日（木）と2023年2月29日（水）。", "　２０２５年１２月２５日（火）に会う。2月30日は無い。2月29日は有る。",
 )
 #: A manuscript of each document: as many lines as its id tells, drawn by it.
 _LENGTH, _DRAW = "(6 + doc_id * 7 % 61)", "((doc_id * 31 + k * k * 17 + k * 5 + doc_id * k * 3) % {n})"

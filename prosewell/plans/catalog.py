@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from prosewell.plans import base, lexical, lint, manuscripts, projects, prose, structure
+from prosewell.plans import base, ledgers, lexical, lint, manuscripts, projects, prose, structure
 
 #: Loading a module registers its queries.
-_MODULES = (prose, lint, lexical, manuscripts, projects, structure)
+_MODULES = (prose, lint, lexical, manuscripts, projects, structure, ledgers)
 
 
 def queries() -> dict:

@@ -14,70 +14,101 @@ _LATIN = base()
 
 
 # ------------------------------------------------------------------ claims
-_NUMBERS = (("十二", 12), ("百五", 105), ("二百三十", 230), ("一〇", 10), ("25", 25), ("２５", 25), ("ひと", 1), ("ふた", 2), ("いくつか", None), ("", None), ("百", 100))
+_KANJI_DIGITS = "一二三四五六七八九"
 
 
-@query("number_parse", f"SELECT * FROM {values(_NUMBERS, 's, n')}")
-def _(spark, d):
-    return inline(spark, [(s,) for s, _ in _NUMBERS], "s string").select("s", T.parse_number(F.col("s")).alias("n"))
+def s_number(t: str) -> str:
+    """``parse_number``: hundreds, tens and ones by what stands before and after their signs."""
+    ascii_ = f"translate({t}, '０１２３４５６７８９', '0123456789')"
+    digit = lambda x: f"strpos('{_KANJI_DIGITS}', {x})"
+    place = lambda sign, before: f"CASE WHEN contains({t}, '{sign}') THEN greatest(1, CASE WHEN {before} = '' THEN 0 ELSE {digit(before)} END) * {100 if sign == '百' else 10} ELSE 0 END"
+    one = f"regexp_extract({t}, '([{_KANJI_DIGITS}])$', 1)"
+    folded = f"({place('百', f'regexp_extract({t}, {quoted(chr(94) + "([" + _KANJI_DIGITS + "]?)百")}, 1)')} + {place('十', f'regexp_extract({t}, {quoted("([" + _KANJI_DIGITS + "]?)十")}, 1)')} + CASE WHEN {one} = '' THEN 0 ELSE {digit(one)} END)"
+    return f"""CASE WHEN {t} = 'ひと' THEN 1 WHEN {t} = 'ふた' THEN 2 WHEN regexp_full_match({ascii_}, '[0-9]{{1,9}}') THEN {ascii_}::INT
+WHEN regexp_full_match({t}, '[〇{_KANJI_DIGITS}]{{1,9}}') THEN translate({t}, '〇{_KANJI_DIGITS}', '0123456789')::INT WHEN regexp_full_match({t}, '[〇{_KANJI_DIGITS}十百]+') THEN ({folded})::INT END"""
 
 
-_WORDS = (("しゃしん", 3), ("がっこう", 4), ("カード", 3), ("漢字", None), ("きょう", 2), ("abc", None), ("さくら", 3))
+def s_morae(word: str) -> str:
+    core = s_sub(word, r"[^\p{L}\p{N}ー]")
+    return f"CASE WHEN regexp_full_match({core}, '[{T.KANA}]+') THEN length({s_sub(core, '[ゃゅょぁぃぅぇぉゎャュョァィゥェォヮ]')}) END"
 
 
-@query("mora_count", f"SELECT * FROM {values(_WORDS, 'word, morae')}")
-def _(spark, d):
-    return inline(spark, [(s,) for s, _ in _WORDS], "word string").select("word", T.morae(F.col("word")).alias("morae"))
+def s_counts(word: str) -> str:
+    letters = lambda x: f"length({s_sub(x, r'[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}]')})"
+    bare = s_plain(word)
+    return f"list_distinct([{letters(bare)}, {s_visible(bare)}, length({bare}), {letters(word)}])"
 
 
-_SETS = (("a、b", [2, 3]), ("｜海《うみ》だ", [2, 4]), ("空 色", [2, 3]))
+_SENTENCE = f"""WITH cut AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, {quoted('[^。！？!?' + chr(92) + 'n]+[。！？!?]*')}), lambda x: {s_trim('x')}), lambda x: x <> '') AS p FROM {MANUSCRIPT_SQL}),
+sentence AS (SELECT doc_id, unnest(range(0, len(p)))::INT AS k, unnest(p) AS s, unnest(list_append(p[2:], NULL)) AS following FROM cut)"""
 
 
-@query("char_count_sets", f"SELECT * FROM {values(_SETS, 'word, counts')}")
-def _(spark, d):
-    return inline(spark, [(s,) for s, _ in _SETS], "word string").select("word", F.sort_array(C.char_counts(F.col("word"))).alias("counts"))
+def _form(name: str, pattern: str, word: int, number: int, unit: int) -> str:
+    part = lambda k: f"regexp_extract(s, {quoted(pattern)}, {k})"
+    return f"SELECT doc_id, k, s, following, '{name}' AS form, {part(word)} AS word, {part(number)} AS number, {part(unit)} AS unit, left(s, strpos(s, {part(0)}) - 1) AS before FROM sentence WHERE {s_has('s', pattern)}"
+
+
+_CLAIMED = f"""{_SENTENCE}, corrected AS ({_form('corrected', C.CORRECTED, 1, 2, 3)}), forward AS ({_form('forward', C.FORWARD, 1, 2, 3)}), reverse AS ({_form('reverse', C.REVERSE, 3, 1, 2)}), bare AS ({_form('bare', C.BARE, 1, 2, 3)}),
+quotes AS (SELECT * FROM corrected UNION ALL SELECT * FROM forward f WHERE NOT EXISTS (SELECT 1 FROM corrected c WHERE c.doc_id = f.doc_id AND c.k = f.k) UNION ALL SELECT * FROM reverse),
+claim AS (SELECT * FROM quotes UNION ALL SELECT * FROM bare b WHERE word NOT IN ({', '.join(map(quoted, C.GENERIC))}) AND NOT EXISTS (SELECT 1 FROM quotes q WHERE q.doc_id = b.doc_id AND q.k = b.k)),
+judged AS (SELECT *, {s_number('number')} AS said, CASE WHEN form = 'corrected' AND NOT {s_has('s', C.SKIP)} THEN 'assert' WHEN {s_has('s', C.SKIP)} OR coalesce({s_has('following', C.TAKEN_BACK)}, false) THEN 'skip'
+  WHEN {s_has('s', C.UNSURE)} OR len(regexp_extract_all(before, '「')) > len(regexp_extract_all(before, '」')) THEN 'unsure' ELSE 'assert' END AS means FROM claim),
+held AS (SELECT *, CASE WHEN unit IN ('文字', '字') THEN list_contains({s_counts('word')}, said) ELSE {s_morae('word')} = said END AS holds FROM judged)"""
 
 
-_CLAIMS = ((1, "「さくら」は三文字だ。"), (2, "「さくら」は四文字だ。"), (3, "「さくら」は3拍。"), (4, "「がっこう」は三拍だ。"), (5, "「桜」は二字かもしれない。"), (6, "何もない。"))
-_CLAIM_ROWS = ((1, 0, "さくら", 3, "文字", True, None), (2, 0, "さくら", 4, "文字", False, "FAIL"), (3, 0, "さくら", 3, "拍", True, None), (4, 0, "がっこう", 3, "拍", False, "FAIL"), (5, 0, "桜", 2, "字", False, "WARN"))
+@query("count_claims", f"""{_CLAIMED} SELECT doc_id, k, CASE WHEN form = 'bare' THEN 'C02' WHEN unit IN ('文字', '字') THEN 'C01' ELSE 'C03' END AS rule, form, word, said, unit, means, holds,
+CASE WHEN NOT holds AND means <> 'skip' THEN CASE WHEN form <> 'bare' AND means = 'assert' THEN 'FAIL' ELSE 'WARN' END END AS severity FROM held""")
+def _(spark, d):
+    return C.count_claims(manuscripts(spark, d))
 
 
-@query("c01_c03_claims", f"SELECT * FROM {values(_CLAIM_ROWS, 'doc_id, claim, word, said, unit, holds, severity')}")
+@query("number_parse", f"SELECT doc_id, s, {s_number('s')} AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, {quoted('[0-9０-９〇一二三四五六七八九十百]+|ひと|ふた')})) AS s FROM {MANUSCRIPT_SQL})")
 def _(spark, d):
-    return C.count_claims(inline(spark, _CLAIMS, "doc_id long, text string"))
+    words = F.explode(F.regexp_extract_all("text", F.lit("[0-9０-９〇一二三四五六七八九十百]+|ひと|ふた"), F.lit(0))).alias("s")
+    return manuscripts(spark, d).select("doc_id", words).withColumn("n", T.parse_number(F.col("s")))
 
 
-_VERSE = ((1, "ふるいけや かわずとびこむ みずのおと", "5-7-5", True), (2, "あさ ひる よる", "2-2-2", False), (3, "漢字 だよ", "?-2", False))
+@query("word_counts", f"SELECT doc_id, word, {s_morae('word')} AS morae, list_sort({s_counts('word')}) AS counts FROM (SELECT doc_id, unnest(regexp_extract_all(text, '「([^「」]+)」', 1)) AS word FROM {MANUSCRIPT_SQL})")
+def _(spark, d):
+    words = F.explode(F.regexp_extract_all("text", F.lit("「([^「」]+)」"), F.lit(1))).alias("word")
+    return manuscripts(spark, d).select("doc_id", words).select("doc_id", "word", T.morae(F.col("word")).alias("morae"), F.sort_array(C.char_counts(F.col("word"))).alias("counts"))
 
 
-@query("c04_verse", f"SELECT doc_id, shape, is_verse FROM {values(_VERSE, 'doc_id, text, shape, is_verse')}")
+@query("c07_mentions", f"{_CLAIMED} SELECT doc_id, k, unnest(regexp_extract_all(s, {quoted(C.MENTION)})) AS hit FROM sentence t WHERE {s_has('s', C.MENTION)} AND NOT EXISTS (SELECT 1 FROM claim c WHERE c.doc_id = t.doc_id AND c.k = t.k)")
 def _(spark, d):
-    return C.verse(inline(spark, [r[:2] for r in _VERSE], "doc_id long, text string"))
+    return C.mentions(manuscripts(spark, d))
 
 
-_MENTIONS = {"C05": "(?:しりとり|回文)", "C06": "(?:三つ|四つ|五つ)", "C07": "[0-9一二三四五六七八九十]+(?:文字|字|拍)"}
-_MENTION_DOCS = ((1, "回文を作る。三つ目は五文字。"), (2, "しりとりで四つ、五つ。"), (3, "静かだ。"))
+_JA = base(MANUSCRIPT_SQL, JAPANESE)
 
 
-@query("c05_c06_c07_mentions", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS rule, unnest(regexp_extract_all(text, {quoted(p)})) AS hit FROM {values(_MENTION_DOCS, 'doc_id, text')}" for k, p in _MENTIONS.items()))
+@query("c04_verse", f"""{_JA}, v AS (SELECT *, coalesce(lag({s_has('raw', C.VERSE_WORDS)}) OVER w, false) OR coalesce(lead({s_has('raw', C.VERSE_WORDS)}) OVER w, false) AS beside FROM line WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+p AS (SELECT doc_id, line, list_filter(string_split_regex({s_trim('raw')}, {quoted('[ ' + chr(0x3000) + ']+')}), lambda x: x <> '') AS parts FROM v WHERE beside), m AS (SELECT doc_id, line, list_transform(parts, lambda x: {s_morae('x')}) AS morae FROM p WHERE len(parts) >= 3)
+SELECT doc_id, line, array_to_string(morae, '-') AS shape, array_to_string(morae, '-') IN ('5-7-5', '5-7-5-7-7') OR list_sum(morae) IN (17, 31) AS is_verse FROM m WHERE len(list_filter(morae, lambda x: x IS NULL)) = 0""")
 def _(spark, d):
-    docs = inline(spark, _MENTION_DOCS, "doc_id long, text string")
+    return C.verse(manuscripts(spark, d))
+
 
+_MENTIONS = {"C05": JAPANESE.cues["asks"], "C06": "(?:三つ|四つ|五つ|ひとつ)"}
 
+
+@query("c05_c06_mentions", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS rule, unnest(regexp_extract_all(text, {quoted(p)})) AS hit FROM {MANUSCRIPT_SQL}" for k, p in _MENTIONS.items()))
+def _(spark, d):
     def named(rule: str, pattern: str):
         return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda h: F.struct(F.lit(rule).alias("rule"), h.alias("hit")))
 
     rows = F.explode(F.concat(*(named(k, p) for k, p in _MENTIONS.items())))
-    return docs.select("doc_id", rows.alias("r")).select("doc_id", "r.*")
+    return manuscripts(spark, d).select("doc_id", rows.alias("r")).select("doc_id", "r.*")
 
 
-_DATES = ((1, "2024年2月29日（木）と2023年2月29日（水）。", ), (2, "2025年12月25日（火）"), (3, "2000年1月1日に"))
-_DATE_ROWS = ((1, "2024年2月29日（木）", True, True), (1, "2023年2月29日（水）", False, None), (2, "2025年12月25日（火）", True, False), (3, "2000年1月1日", True, None))
+_PART = lambda k: f"translate(regexp_extract(said, {quoted(C.DATE)}, {k}), '０１２３４５６７８９', '0123456789')"
 
 
-@query("c08_dates", f"SELECT * FROM {values(_DATE_ROWS, 'doc_id, said, valid, weekday_fits')}")
+@query("c08_dates", f"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, {quoted(C.DATE)})) AS said FROM {MANUSCRIPT_SQL}), y AS (SELECT *, CASE WHEN {_PART(1)} = '' THEN '2000' ELSE {_PART(1)} END AS year FROM f),
+t AS (SELECT *, try_cast(year || '-' || lpad({_PART(2)}, 2, '0') || '-' || lpad({_PART(3)}, 2, '0') AS DATE) AS date, CASE WHEN {_PART(1)} <> '' THEN nullif(regexp_extract(said, {quoted(C.DATE)}, 4), '') END AS day FROM y WHERE year::INT BETWEEN 1600 AND 2400)
+SELECT doc_id, said, date IS NOT NULL AS valid, substr('{C.WEEKDAYS}', isodow(date)::INT, 1) = day AS weekday_fits FROM t""")
 def _(spark, d):
-    return C.date_claims(inline(spark, _DATES, "doc_id long, text string"))
+    return C.date_claims(manuscripts(spark, d))
 
 
 def _hits(p: str) -> str:

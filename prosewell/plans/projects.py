@@ -30,10 +30,15 @@ def _(spark, d):
     return L.orphans(table(spark, d, "orders"), "o_orderkey", "o_custkey", table(spark, d, "customer").filter("c_acctbal > 0"), "c_custkey")
 
 
-@query("e05_mismatch", "SELECT l_orderkey, l_linenumber, o_orderdate::DATE::VARCHAR AS ordered, l_shipdate::DATE::VARCHAR AS shipped FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate")
+_FILES = "(SELECT 'ch' || lpad((doc_id % 1000)::VARCHAR, 3, '0') || CASE WHEN doc_id % 11 = 0 THEN '.txt' ELSE '.md' END AS name, (doc_id % 1000 + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END)::INT AS chapter FROM documents)"
+
+
+@query("e05_misnumbered", f"""SELECT 'E05' AS code, name AS key, chapter::VARCHAR AS detail FROM {_FILES} WHERE try_cast(regexp_extract(name, '^ch([0-9]{{3}})', 1) AS INT) IS DISTINCT FROM chapter
+UNION ALL SELECT 'E05', 'chapter ' || chapter, count(*)::VARCHAR FROM {_FILES} GROUP BY chapter HAVING count(*) > 1""")
 def _(spark, d):
-    joined = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).filter("l_shipdate < o_orderdate")
-    return joined.select("l_orderkey", "l_linenumber", F.to_date("o_orderdate").cast("string").alias("ordered"), F.to_date("l_shipdate").cast("string").alias("shipped"))
+    n = F.col("doc_id") % 1000
+    name = F.concat(F.lit("ch"), F.lpad(n.cast("string"), 3, "0"), F.when(F.col("doc_id") % 11 == 0, ".txt").otherwise(".md"))
+    return L.misnumbered(table(spark, d, "documents").select(name.alias("name"), (n + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)).cast("int").alias("chapter")), "name", "chapter")
 
 
 @query("e06_duplicates", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
@@ -66,10 +71,9 @@ def _(spark, d):
     return views.crossJoin(F.broadcast(now)).filter("ts < now - INTERVAL 7 DAYS").groupBy("user_id").agg(F.count("*").alias("stale"))
 
 
-@query("w08_gaps", "WITH n AS (SELECT user_id % 10 AS g, (event_id % 997)::BIGINT AS k FROM events), e AS (SELECT g, unnest(range(min(k), max(k) + 1)) AS k FROM n GROUP BY g) SELECT g, k FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.g = e.g AND n.k = e.k)")
+@query("w08_gaps", "SELECT lang, doc_id FROM (SELECT lang, unnest(range(min(doc_id), max(doc_id) + 1)) AS doc_id FROM documents GROUP BY lang) e WHERE NOT EXISTS (SELECT 1 FROM documents c WHERE c.lang = e.lang AND c.doc_id = e.doc_id)")
 def _(spark, d):
-    rows = table(spark, d, "events").select((F.col("user_id") % 10).alias("g"), (F.col("event_id") % 997).cast("bigint").alias("k"))
-    return L.gaps(rows, "g", "k")
+    return L.gaps(table(spark, d, "documents"), "lang", "doc_id")
 
 
 @query("w10_trailing3", "SELECT user_id, min(event_type) AS value FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 3 GROUP BY user_id HAVING count(*) = 3 AND count(DISTINCT event_type) = 1")
@@ -77,10 +81,10 @@ def _(spark, d):
     return L.trailing_equal(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", 3)
 
 
-@query("w11_refs", "SELECT p_partkey, p_type FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")
+@query("w11_refs", "SELECT DISTINCT l_partkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size <= 45)")
 def _(spark, d):
-    used = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, d, "part").join(used, "p_partkey", "left_anti").select("p_partkey", "p_type")
+    kept = table(spark, d, "part").filter("p_size <= 45").select(F.col("p_partkey").alias("l_partkey"))
+    return table(spark, d, "lineitem").select("l_partkey").distinct().join(kept, "l_partkey", "left_anti")
 
 
 @query("i02_same_head", "SELECT upper(left(p_type, 1)) AS head, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1 HAVING count(*) > 1")
@@ -97,7 +101,7 @@ def _(spark, d):
 _ADDRESS = ((1, "A", "B", "Bさん", 0), (2, "A", "B", "B", 5), (3, "B", "A", "Aくん", 2), (4, "A", "B", "Bちゃん", 5), (5, "B", "A", "A", 9))
 
 
-@query("asof_latest", f"SELECT * FROM {values(((4, 'A', 'B', 'Bちゃん', 5), (3, 'B', 'A', 'Aくん', 2)), 'id, who, whom, call, from_ch')}")
+@query("asof_latest", f"SELECT id, who, whom, call, from_ch FROM (SELECT *, row_number() OVER (PARTITION BY who, whom ORDER BY from_ch DESC, id DESC) AS k FROM {values(_ADDRESS, 'id, who, whom, call, from_ch')} WHERE from_ch < 8) WHERE k = 1")
 def _(spark, d):
     return L.latest(inline(spark, _ADDRESS, "id long, who string, whom string, call string, from_ch int"), ["who", "whom"], "from_ch", "id", F.lit(8))
 
@@ -128,7 +132,8 @@ def _(spark, d):
     return L.pack(rows, "source", 100_000).select("source", "block", "priority", "size")
 
 
-@query("source_hash", "SELECT source, sha256(string_agg(doc_id::VARCHAR || ':' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
+@query("source_hash", """SELECT source, sha256(string_agg(sha, chr(10) ORDER BY cell)) AS digest FROM (SELECT source, left(sha256(doc_id::VARCHAR), 2) AS cell, sha256(string_agg(doc_id::VARCHAR || ':' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id::VARCHAR)) AS sha
+FROM documents GROUP BY source, left(sha256(doc_id::VARCHAR), 2)) GROUP BY source""")
 def _(spark, d):
     return L.source_hash(spark.read.parquet(f"{d}/documents.parquet"), "source", "doc_id", "text")
 
@@ -193,17 +198,6 @@ def _(spark, d):
     return rows.select("id", E.validity(record).alias("reason"))
 
 
-@query("lint_pivot", "SELECT lang, count(*) FILTER (quality = 0) AS q0, count(*) FILTER (quality = 1) AS q1 FROM documents JOIN labels USING (doc_id) GROUP BY lang")
-def _(spark, d):
-    joined = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")
-    return joined.groupBy("lang").pivot("quality", [0, 1]).count().select("lang", F.coalesce("0", F.lit(0)).alias("q0"), F.coalesce("1", F.lit(0)).alias("q1"))
-
-
-@query("log_audit", f"SELECT p.page_id, len(regexp_extract_all(html, {quoted('(?i)(?:track|token|login)')})) AS hits, html IS NULL AS missing FROM pages p")
-def _(spark, d):
-    return table(spark, d, "pages").select("page_id", F.coalesce(F.regexp_count("html", F.lit("(?i)(?:track|token|login)")), F.lit(0)).alias("hits"), F.col("html").isNull().alias("missing"))
-
-
 @query("text_hashes", r"SELECT item_id, left(sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')), 12) AS hash FROM benchmark")
 def _(spark, d):
     return table(spark, d, "benchmark").select("item_id", E.text_hash(F.col("text")).alias("hash"))
@@ -242,8 +236,8 @@ def _(spark, d):
 
 @query("nearest_rank_pct", f"SELECT source, list_sort(list(n))[(floor(0.1 * (count(*) - 1) + 0.5))::INT + 1] AS p10, list_sort(list(n))[(floor(0.5 * (count(*) - 1) + 0.5))::INT + 1] AS p50, list_sort(list(n))[(floor(0.9 * (count(*) - 1) + 0.5))::INT + 1] AS p90 FROM (SELECT source, {s_visible('text')} AS n FROM documents) GROUP BY source")
 def _(spark, d):
-    n = spark.read.parquet(f"{d}/documents.parquet").select("source", T.visible(F.col("text")).alias("n"))
-    return n.groupBy("source").agg(*(E.nearest_rank(F.col("n"), q).alias(f"p{round(100 * q)}") for q in (0.1, 0.5, 0.9)))
+    n = table(spark, d, "documents").select("source", T.visible(F.col("text")).alias("n"))
+    return E.nearest_ranks(n, "source", "n", {f"p{round(100 * q)}": q for q in (0.1, 0.5, 0.9)})
 
 
 def _lines_sql(lower: bool) -> str:

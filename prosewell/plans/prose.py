@@ -120,3 +120,17 @@ def _(spark, d):
 @query("k17_commas", f"{_LATIN} SELECT doc_id, line, idx, commas FROM sent WHERE commas >= 4")
 def _(spark, d):
     return D.sentences(documents(spark, d)).filter(F.col("commas") >= R.LEVELS["K17"]["default"][0]).select("doc_id", "line", "idx", "commas")
+
+
+def _measures(p: Profile) -> str:
+    per = ", ".join(f"round(count(*) FILTER (length >= {k}) * 10000 / any_value(nullif(narration_chars, 0)), 1) AS runs{k}" for k in S.RUN_LENGTHS)
+    under = ", ".join(f"round(count(*) FILTER (cv < {line}) / count(*), 3) AS under{round(100 * line)}" for line in S.CV_LINES)
+    return f"""{_FIG[p.name]}, per AS (SELECT f.doc_id, {per} FROM fig f LEFT JOIN (SELECT * FROM run WHERE value NOT IN ('other', '{p.noun}')) r USING (doc_id) GROUP BY f.doc_id),
+b AS (SELECT doc_id, round(stddev_pop(chars) / nullif(avg(chars), 0), 3) AS cv FROM (SELECT doc_id, chars, (row_number() OVER (PARTITION BY doc_id ORDER BY line, idx) - 1) // 20 AS block FROM sent) GROUP BY doc_id, block HAVING count(*) = 20), bs AS (SELECT doc_id, count(*) AS blocks, {under} FROM b GROUP BY doc_id),
+q AS (SELECT doc_id, round(stddev_pop(chars) / nullif(avg(chars), 0), 9) AS cv FROM (SELECT doc_id, chars, (row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1) // 10 AS block FROM paras WHERE kind = 'narration') GROUP BY doc_id, block HAVING count(*) = 10), qs AS (SELECT doc_id, count(*) AS para_blocks, round(sum(cv) / count(*), 3) AS para_cv FROM q GROUP BY doc_id),
+u AS (SELECT doc_id, length(regexp_replace(unnest(regexp_extract_all(body, {quoted(p.utterance)})), {quoted(T.SPACE)}, '', 'g')) - 2 AS n FROM paras), us AS (SELECT doc_id, round(count(*) FILTER (n <= {S.SHORT_SAID}) / count(*), 3) AS short_said, round(count(*) FILTER (n >= {S.LONG_SAID}) / count(*), 3) AS long_said FROM u GROUP BY doc_id),
+x AS (SELECT doc_id, sum(len(regexp_extract_all(body, {quoted(S.SPLIT)})))::BIGINT AS split FROM paras GROUP BY doc_id)
+SELECT per.*, coalesce(blocks, 0) AS blocks, bs.* EXCLUDE (doc_id, blocks), coalesce(para_blocks, 0) AS para_blocks, para_cv, short_said, long_said, coalesce(split, 0) AS split FROM per LEFT JOIN bs USING (doc_id) LEFT JOIN qs USING (doc_id) LEFT JOIN us USING (doc_id) LEFT JOIN x USING (doc_id)"""
+
+
+both("measures", _measures, S.measures)

@@ -157,9 +157,9 @@ def _(spark, d):
     return D.lines(documents(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 40")
 
 
-@query("i05_unlogged", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("i05_unlogged", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def _(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
 @query("missing_chapters", "SELECT source, doc_id FROM (SELECT source, unnest(range(min(doc_id), max(doc_id) + 1)) AS doc_id FROM documents GROUP BY source) e WHERE NOT EXISTS (SELECT 1 FROM documents c WHERE c.source = e.source AND c.doc_id = e.doc_id)")
