@@ -42,12 +42,21 @@ def verdict(text: Column) -> Column:
     return F.when((fences % 2 == 0) & (found != ""), found)
 
 
-def validity(record: dict[str, Column]) -> Column:
-    """First reason why a stored generation can't be used, null if it can."""
-    return (
-        F.when(record["path"].isNull(), "missing").when(~record["ok"], "not ok").when(record["response_sha"] != record["actual_sha"], "text changed")
-        .when(record["command"] != record["expected_command"], "other command").when(F.length(F.trim(record["text"])) == 0, "empty")
+#: Reasons in the order in which they are told; the last only if asked for strictly.
+REASONS = ("missing", "not ok", "text changed", "prompt changed", "preamble changed", "other command", "empty", "other tree")
+
+
+def validity(record: dict[str, Column], strict: bool = False) -> Column:
+    """First of REASONS why a stored generation can't be used, null if it can.  Pairs of hashes that a record doesn't have aren't compared."""
+    differs = lambda a, b: ~record[a].eqNullSafe(record[b]) if a in record and b in record else F.lit(False)
+    tests = (
+        record["path"].isNull(), ~record["ok"], differs("response_sha", "actual_sha"), differs("prompt_sha", "prompt_now"), differs("preamble_sha", "preamble_now"), differs("command", "expected_command"),
+        F.length(F.trim(record["text"])) == 0, differs("tree", "tree_now") & F.lit(strict),
     )
+    out = F.when(tests[0], REASONS[0])
+    for test, name in zip(tests[1:], REASONS[1:], strict=True):
+        out = out.when(test, name)
+    return out
 
 
 def blocks(sentences: DataFrame, size: int = 20) -> DataFrame:

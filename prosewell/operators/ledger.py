@@ -53,7 +53,13 @@ def latest(rows: DataFrame, keys: list[str], at: str, tie: str, limit: Column |
     """The row of the largest ``at`` (then ``tie``) of each key, of those with at < limit."""
     kept = rows.filter(F.col(at) < limit) if limit is not None else rows
     w = Window.partitionBy(*keys).orderBy(F.desc(at), F.desc(tie))
-    return kept.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    return kept.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+
+
+def as_of(rows: DataFrame, group: str, order: str, chapter: str, before: int) -> DataFrame:
+    """Rows of a log up to a chapter: a row without a chapter of its own (a child) goes with the last one that has one."""
+    since = F.last(chapter, ignorenulls=True).over(Window.partitionBy(group).orderBy(order))
+    return rows.withColumn("since", since).filter(F.col("since").isNull() | (F.col("since") < before))
 
 
 def trailing_equal(rows: DataFrame, group: str, order: list[str], value: str, n: int) -> DataFrame:
@@ -73,6 +79,11 @@ def flat(rows: DataFrame, group: str, order: list[str], value: str, within: floa
     return spans.filter(F.col("__b").isNotNull() & (span <= within) & (F.greatest(*own) > 0)).drop("__a", "__b")
 
 
+def without_reason(overrides: DataFrame, reason: str) -> DataFrame:
+    """Overrides that don't say why."""
+    return overrides.filter(F.col(reason).isNull() | (F.trim(F.col(reason)) == ""))
+
+
 def same_head(rows: DataFrame, key: str, name: str) -> DataFrame:
     """First characters that several names share, with the names."""
     return rows.select(F.upper(F.left(F.col(name), F.lit(1))).alias("head"), key).groupBy("head").agg(F.count("*").alias("n"), F.min(key).alias("first")).filter("n > 1")

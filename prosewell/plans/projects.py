@@ -9,15 +9,16 @@ from prosewell.operators import decompose as D
 from prosewell.operators import evaluation as E
 from prosewell.operators import ledger as L
 from prosewell.operators import stats as S
-from prosewell.plans.base import base, documents, inline, query, quoted, s_visible, table, values
+from prosewell.plans.base import base, documents, query, quoted, s_visible, table
 
 _LATIN = base()
-_TERMS = ((1, "駅", "えき"), (2, "", "みち"), (3, "空", None), (4, None, " "))
+_TERMS = "(SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN ' ' ELSE c_name END AS canonical, CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS reading FROM customer)"
 
 
-@query("e02_required", f"SELECT 'E02' AS code, id::VARCHAR AS key, c AS detail FROM (SELECT id, unnest(['canonical', 'reading']) AS c, unnest([canonical, reading]) AS v FROM {values(_TERMS, 'id, canonical, reading')}) WHERE v IS NULL OR trim(v) = ''")
+@query("e02_required", f"SELECT 'E02' AS code, id::VARCHAR AS key, c AS detail FROM (SELECT id, unnest(['canonical', 'reading']) AS c, unnest([canonical, reading]) AS v FROM {_TERMS}) WHERE v IS NULL OR trim(v) = ''")
 def _(spark, d):
-    return L.required(inline(spark, _TERMS, "id long, canonical string, reading string"), "id", ["canonical", "reading"])
+    key = F.col("c_custkey")
+    return L.required(table(spark, d, "customer").select(key.alias("id"), F.when(key % 7 == 0, " ").otherwise(F.col("c_name")).alias("canonical"), F.when(key % 5 > 0, F.col("c_mktsegment")).alias("reading")), "id", ["canonical", "reading"])
 
 
 @query("e03_domain", "SELECT 'E03' AS code, o_orderkey::VARCHAR AS key, o_orderpriority AS detail FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')")
@@ -98,12 +99,10 @@ def _(spark, d):
 
 
 # ------------------------------------------------------------------ packs
-_ADDRESS = ((1, "A", "B", "Bさん", 0), (2, "A", "B", "B", 5), (3, "B", "A", "Aくん", 2), (4, "A", "B", "Bちゃん", 5), (5, "B", "A", "A", 9))
-
-
-@query("asof_latest", f"SELECT id, who, whom, call, from_ch FROM (SELECT *, row_number() OVER (PARTITION BY who, whom ORDER BY from_ch DESC, id DESC) AS k FROM {values(_ADDRESS, 'id, who, whom, call, from_ch')} WHERE from_ch < 8) WHERE k = 1")
+@query("asof_latest", "SELECT l_partkey AS who, l_suppkey AS whom, l_orderkey AS id, l_linenumber AS from_ch FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_linenumber DESC, l_orderkey DESC) AS k FROM lineitem WHERE l_linenumber < 5) WHERE k = 1")
 def _(spark, d):
-    return L.latest(inline(spark, _ADDRESS, "id long, who string, whom string, call string, from_ch int"), ["who", "whom"], "from_ch", "id", F.lit(8))
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("who"), F.col("l_suppkey").alias("whom"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("from_ch"))
+    return L.latest(rows, ["who", "whom"], "from_ch", "id", F.lit(5))
 
 
 @query("asof_events", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
@@ -111,16 +110,6 @@ def _(spark, d):
     return L.latest(table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id")
 
 
-_FACTS = (("F1", 1, None), ("F2", 2, "F1"), ("F3", 3, None), ("F4", 9, "F3"), ("F5", 4, "F2"))
-
-
-@query("facts_not_superseded", f"WITH f AS (SELECT * FROM {values(_FACTS, 'id, ch, supersedes')}) SELECT id, ch FROM f WHERE ch < 8 AND id NOT IN (SELECT supersedes FROM f WHERE supersedes IS NOT NULL AND ch < 8)")
-def _(spark, d):
-    facts = inline(spark, _FACTS, "id string, ch int, supersedes string").filter("ch < 8")
-    gone = facts.filter("supersedes IS NOT NULL").select(F.col("supersedes").alias("id"))
-    return facts.join(gone, "id", "left_anti").select("id", "ch")
-
-
 _PACK = f"(SELECT source, doc_id AS block, doc_id % 11 AS priority, {s_visible('text')} AS size, doc_id % 11 > 6 AS droppable FROM documents)"
 
 
@@ -138,16 +127,10 @@ def _(spark, d):
     return L.source_hash(spark.read.parquet(f"{d}/documents.parquet"), "source", "doc_id", "text")
 
 
-_CHANGES = ((1, "髪は黒い", None), (2, "第3章 髪を切る", 3), (3, "  短くなる", None), (4, "第9章 旅に出る", 9), (5, "  北へ", None))
-
-
-@query("change_log_asof", f"SELECT line, row FROM (SELECT *, last_value(ch IGNORE NULLS) OVER (ORDER BY line) AS since FROM {values(_CHANGES, 'line, row, ch')}) WHERE since IS NULL OR since < 5")
+@query("change_log_asof", """SELECT user_id, event_id FROM (SELECT user_id, event_id, last_value(CASE WHEN event_id % 3 = 0 THEN event_id % 13 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS since FROM events) WHERE since IS NULL OR since < 5""")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    rows = inline(spark, [(1, *r) for r in _CHANGES], "who int, line long, row string, ch int")
-    since = F.last("ch", ignorenulls=True).over(Window.partitionBy("who").orderBy("line"))
-    return rows.withColumn("since", since).filter("since IS NULL OR since < 5").select("line", "row")
+    rows = table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 13).alias("ch"))
+    return L.as_of(rows, "user_id", "event_id", "ch", 5).select("user_id", "event_id")
 
 
 # ------------------------------------------------------------------ evaluation
@@ -179,23 +162,30 @@ def _(spark, d):
     return settled.groupBy("prompt", "result").agg(F.count("*").alias("n"))
 
 
-_VERDICTS = ((1, "text\nPREFERENCE: A\n\n", "A"), (2, "PREFERENCE: B\nbut then", None), (3, "```\nPREFERENCE: A", None), (4, "> PREFERENCE: A", None), (5, "```\nx\n```\nPREFERENCE: tie", "tie"), (6, "", None))
+_VERDICT_TEXT = """CASE doc_id % 6 WHEN 0 THEN 'PREFERENCE: A' || chr(10) || chr(10) WHEN 1 THEN 'PREFERENCE: B' || chr(10) || 'but then' WHEN 2 THEN '```' || chr(10) || 'PREFERENCE: A' WHEN 3 THEN '> PREFERENCE: A' WHEN 4 THEN '```' || chr(10) || 'x' || chr(10) || '```' || chr(10) || 'PREFERENCE: tie' ELSE '' END"""
 
 
-@query("verdict_parse", f"SELECT * FROM {values([(i, v) for i, _, v in _VERDICTS], 'id, preference')}")
+@query("verdict_parse", f"""SELECT doc_id, CASE WHEN len(list_filter(l, lambda x: starts_with(x, '```'))) % 2 = 0 THEN nullif(regexp_extract(l[-1], '^PREFERENCE: (A|B|tie)\\s*$', 1), '') END AS preference
+FROM (SELECT doc_id, list_filter(string_split(coalesce(text, '') || chr(10) || {_VERDICT_TEXT}, chr(10)), lambda x: regexp_matches(x, '\\S')) AS l FROM documents)""")
 def _(spark, d):
-    return inline(spark, [r[:2] for r in _VERDICTS], "id long, text string").select("id", E.verdict(F.col("text")).alias("preference"))
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.expr(_VERDICT_TEXT.replace("chr(10)", "char(10)"))).alias("text"))
+    return docs.select("doc_id", E.verdict(F.col("text")).alias("preference"))
 
 
-_RECORDS = ((1, "p", True, "a", "a", "g", "t"), (2, None, True, "a", "a", "g", "t"), (3, "p", False, "a", "a", "g", "t"), (4, "p", True, "a", "b", "g", "t"), (5, "p", True, "a", "a", "h", "t"), (6, "p", True, "a", "a", "g", " "))
-_REASONS = ((1, None), (2, "missing"), (3, "not ok"), (4, "text changed"), (5, "other command"), (6, "empty"))
+_CHANGED = {"response": 3, "prompt": 5, "preamble": 7, "tree": 11}
 
 
-@query("record_validity", f"SELECT * FROM {values(_REASONS, 'id, reason')}")
+@query("record_validity", """SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN quality = 0 THEN 'not ok' WHEN doc_id % 3 = 0 THEN 'text changed' WHEN doc_id % 5 = 0 THEN 'prompt changed' WHEN doc_id % 7 = 0 THEN 'preamble changed' WHEN toxic = 1 THEN 'other command'
+WHEN doc_id % 17 = 0 THEN 'empty' WHEN doc_id % 11 = 0 THEN 'other tree' END AS reason FROM labels""")
 def _(spark, d):
-    rows = inline(spark, _RECORDS, "id long, path string, ok boolean, response_sha string, actual_sha string, command string, text string")
-    record = {c: F.col(c) for c in rows.columns} | {"expected_command": F.lit("g")}
-    return rows.select("id", E.validity(record).alias("reason"))
+    key = F.col("doc_id")
+    sha = lambda n: (F.lit("a"), F.when(key % n == 0, "b").otherwise("a"))
+    (response, actual), (prompt, prompt_now), (preamble, preamble_now), (tree, tree_now) = (sha(n) for n in _CHANGED.values())
+    record = {
+        "path": F.when(key % 13 != 0, "p"), "ok": F.col("quality") != 0, "response_sha": response, "actual_sha": actual, "prompt_sha": prompt, "prompt_now": prompt_now, "preamble_sha": preamble, "preamble_now": preamble_now,
+        "command": F.lit("g"), "expected_command": F.when(F.col("toxic") == 1, "h").otherwise("g"), "text": F.when(key % 17 == 0, "  ").otherwise("text"), "tree": tree, "tree_now": tree_now,
+    }
+    return table(spark, d, "labels").select("doc_id", E.validity(record, strict=True).alias("reason"))
 
 
 @query("text_hashes", r"SELECT item_id, left(sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')), 12) AS hash FROM benchmark")

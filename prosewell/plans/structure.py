@@ -89,20 +89,19 @@ def _(spark, d):
     return S.filled_items(inline(spark, _NOTES, "id long, text string"))
 
 
-_WORLD = ((1, "# 世界\n## 常時前提\n月は二つ。<!-- 隠す -->\n夜は長い。\n## 地理\n島。"), (2, "## 地理\nなし"), (3, None))
+_NOTE = "'# x' || chr(10) || CASE WHEN doc_id % 3 > 0 THEN '## premise' || chr(10) || left(coalesce(text, ''), 60) || '<!-- hidden -->' || chr(10) || 'two moons.' || chr(10) ELSE '' END || '## land' || chr(10) || 'an island.'"
 
 
-@query("world_section", f"SELECT * FROM {values(((1, '月は二つ。' + chr(10) + '夜は長い。'), (2, ''), (3, '')), 'id, premise')}")
+@query("world_section", f"SELECT doc_id, {s_trim(f"split_part(split_part(regexp_replace(n, {quoted('(?s)<!--.*?-->')}, '', 'g'), '## premise' || chr(10), 2), '## land', 1)")} AS premise FROM (SELECT doc_id, {_NOTE} AS n FROM documents)")
 def _(spark, d):
-    return inline(spark, _WORLD, "id long, text string").select("id", S.section(F.col("text"), "常時前提").alias("premise"))
+    return documents(spark, d).select("doc_id", F.expr(_NOTE.replace("chr(10)", "char(10)")).alias("n")).select("doc_id", S.section(F.col("n"), "premise").alias("premise"))
 
 
-_LOG = ((1, 1, '{"type": "tool_use"}'), (1, 2, '{"type": "result", "result": "a"}'), (1, 3, "noise"), (1, 4, '{"type": "result", "result": "b"}'), (2, 1, '{"type": "tool_use"}'), (2, 2, "[1]"))
-
-
-@query("last_result_event", f"SELECT * FROM {values(((1, 'b', 1), (2, None, 1)), 'id, result, tools')}")
+@query("last_result_event", """SELECT user_id AS id, arg_max(event_id::VARCHAR, event_id) FILTER (event_type = 'purchase') AS result, count(*) FILTER (event_type = 'click') AS tools FROM events GROUP BY user_id""")
 def _(spark, d):
-    return S.last_events(inline(spark, _LOG, "id long, pos long, raw string"))
+    kind = F.when(F.col("event_type") == "purchase", "result").when(F.col("event_type") == "click", "tool_use").otherwise("other")
+    logs = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("pos"), F.when(F.col("event_id") % 9 == 4, F.when(F.col("event_type").isin("purchase", "click"), F.to_json(F.struct(kind.alias("type"), F.col("event_id").cast("string").alias("result")))).otherwise("noise")).otherwise(F.to_json(F.struct(kind.alias("type"), F.col("event_id").cast("string").alias("result")))).alias("raw"))
+    return S.last_events(logs)
 
 
 _PAIRS = ((1, "えっ!?　本当！！\nうん。"),)
@@ -113,18 +112,22 @@ def _(spark, d):
     return C.grid_pages(inline(spark, _PAIRS, "doc_id long, text string"), 6, 5, pair_marks=True)
 
 
-_CAST = ((1, ["A", "B"], ["B", "C"]), (2, [], ["D"]), (3, ["A"], ["A"]))
+_CAST = "(SELECT o_orderkey AS id, [o_custkey % 5, o_custkey % 3] AS chapter, [o_orderkey % 5, o_custkey % 7] AS scene FROM orders)"
+
 
+def _casts(spark, d):
+    c, o = F.col("o_custkey"), F.col("o_orderkey")
+    return table(spark, d, "orders").select(o.alias("id"), F.array(c % 5, c % 3).alias("chapter"), F.array(o % 5, c % 7).alias("scene"))
 
-@query("w07_scene_cast", f"SELECT id, extra FROM (SELECT id, list_filter(scene, lambda x: NOT list_contains(chapter, x)) AS extra FROM {values(_CAST, 'id, chapter, scene')}) WHERE len(extra) > 0")
+
+@query("w07_scene_cast", f"SELECT id, extra FROM (SELECT id, list_sort(list_distinct(list_filter(scene, lambda x: NOT list_contains(chapter, x)))) AS extra FROM {_CAST}) WHERE len(extra) > 0")
 def _(spark, d):
-    rows = inline(spark, _CAST, "id long, chapter array<string>, scene array<string>")
-    return rows.select("id", F.array_except("scene", "chapter").alias("extra")).filter(F.size("extra") > 0)
+    return _casts(spark, d).select("id", F.sort_array(F.array_except("scene", "chapter")).alias("extra")).filter(F.size("extra") > 0)
 
 
-@query("cast_union", f"SELECT id, list_distinct(list_concat(chapter, scene)).list_sort() AS members FROM {values(_CAST, 'id, chapter, scene')}")
+@query("cast_union", f"SELECT id, list_distinct(list_concat(chapter, scene)).list_sort() AS members FROM {_CAST}")
 def _(spark, d):
-    return inline(spark, _CAST, "id long, chapter array<string>, scene array<string>").select("id", F.array_sort(F.array_distinct(F.concat("chapter", "scene"))).alias("members"))
+    return _casts(spark, d).select("id", F.array_sort(F.array_distinct(F.concat("chapter", "scene"))).alias("members"))
 
 
 @query("w04_missing_notes", "SELECT o_orderkey, CASE WHEN n IS NULL THEN 'missing' WHEN n < 2 THEN 'short' END AS state FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE n IS NULL OR n < 2")
@@ -139,12 +142,10 @@ def _(spark, d):
     return table(spark, d, "customer").filter(F.col("c_name").rlike("(?:00$|未定|仮)")).select("c_custkey", "c_name")
 
 
-_OVERRIDES = ((1, "L01", "0.4", "dense scenes"), (2, "P02", "off", None), (3, "K14", "9", " "))
-
-
-@query("w09_no_reason", f"SELECT id, rule FROM {values(_OVERRIDES, 'id, rule, value, reason')} WHERE reason IS NULL OR trim(reason) = ''")
+@query("w09_no_reason", "SELECT id, rule FROM (SELECT c_custkey AS id, c_mktsegment AS rule, CASE WHEN c_custkey % 3 = 0 THEN ' ' WHEN c_custkey % 5 > 0 THEN c_name END AS reason FROM customer) WHERE reason IS NULL OR trim(reason) = ''")
 def _(spark, d):
-    return inline(spark, _OVERRIDES, "id long, rule string, value string, reason string").filter("reason IS NULL OR trim(reason) = ''").select("id", "rule")
+    key = F.col("c_custkey")
+    return L.without_reason(table(spark, d, "customer").select(key.alias("id"), F.col("c_mktsegment").alias("rule"), F.when(key % 3 == 0, " ").when(key % 5 > 0, F.col("c_name")).alias("reason")), "reason").select("id", "rule")
 
 
 @query("i01_remaining", "SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1")
