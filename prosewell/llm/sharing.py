@@ -18,6 +18,8 @@ from prosewell.llm.tokens import U64, slices, text_bytes
 
 #: Samples that each partition may offer.
 OFFERED = 32
+#: Classes of how often a hash is had.
+CLASSES = 7
 #: Stands for a null doc_id: after all others.
 NO_ID = (1 << 63) - 1
 
@@ -152,18 +154,23 @@ def unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out.view("<u8").ravel().astype(U64), np.unpackbits(np.frombuffer(data, np.uint8, offset=7 * n), count=n).astype(bool)
 
 
-def several(sent: DataFrame) -> DataFrame:
-    """The hashes (top 56 bits) of each partition that several documents have, and what it offered."""
+def several(sent: DataFrame, classed: bool = False) -> DataFrame:
+    """The hashes (top 56 bits) of each partition that several documents have, and what it offered.
+
+    classed: the bits above tell how often, as the logarithm (to CLASSES - 1 at most) of how many partitions have it, those twice where several of their documents do.
+    """
 
     def run(batches):
         def flush(rows):
             keys, flags = zip(*(unpacked(r["hashes"], r["n"]) for r in rows), strict=True)
             all_keys = np.concatenate(keys)
             distinct, which = np.unique(all_keys, return_inverse=True)
-            often = (np.bincount(which, minlength=len(distinct)) + np.bincount(which, np.concatenate(flags), len(distinct))) > 1
+            n = np.bincount(which, minlength=len(distinct)) + np.bincount(which, np.concatenate(flags), len(distinct)).astype(np.int64)
+            often, kind = n > 1, np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64) - 1, CLASSES - 1) if classed else np.zeros(len(n), np.int64)
             at = 0
             for r, k in zip(rows, keys, strict=True):
-                found = k[often[which[at : at + len(k)]]]
+                own = which[at : at + len(k)][often[which[at : at + len(k)]]]
+                found = distinct[own] | kind[own].astype(U64) << U64(56)
                 at += len(k)
                 if len(found) or r["offered"] or not r["bucket"]:
                     yield r["part"], found.astype("<u8").tobytes(), r["offered"]
