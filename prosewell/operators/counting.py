@@ -48,19 +48,33 @@ def rows_for(cells: Column, width: int, hang: bool = False) -> Column:
     return F.when(n == 0, 1).otherwise(F.aggregate(F.split(cells, ""), start, step)["rows"])
 
 
-def grid_pages(docs: DataFrame, width: int, height: int, pair_marks: bool = False) -> DataFrame:
-    """doc_id, rows, pages, last_rows: lines flowed into a grid; a pair of marks is one cell if asked for."""
+def grid_pages(docs: DataFrame, width: int, height: int, pair_marks: bool = False, hang: bool = False, indent: bool = False) -> DataFrame:
+    """doc_id, rows, pages, last_rows: lines flowed into a grid.
+
+    pair_marks: a pair of marks is one cell.  hang: a stop right after a full row stays on it.  indent: narration without an indentation
+    of its own is counted as if it had one.
+    """
     text = F.regexp_replace(T.normalized(F.col("text")), r"\n+$", "")
     rows = D.kinds(docs.select("doc_id", text.alias("text")).filter("text <> ''"))
     body = T.document_body(F.col("raw"))
     bare = F.when(F.col("kind").isin("blank", "docblank"), "").otherwise(T.plain(F.when(F.col("kind") == "heading", T.heading_title(body)).otherwise(body)))
     cells = F.regexp_replace(bare, "[!?！？]{2}", "!") if pair_marks else bare
-    flowed = rows.groupBy("doc_id").agg(F.sum(rows_for(cells, width)).cast("bigint").alias("rows"))
+    if indent:
+        cells = F.when((F.col("kind") == "narration") & ~body.rlike(r"^[\s\x{3000}]"), F.concat(F.lit("　"), cells)).otherwise(cells)
+    flowed = rows.groupBy("doc_id").agg(F.sum(rows_for(cells, width, hang)).cast("bigint").alias("rows"))
     all_ = docs.select("doc_id").join(flowed, "doc_id", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
     pages = F.ceil(F.col("rows") / height)
     return all_.select("doc_id", "rows", pages.alias("pages"), F.when(F.col("rows") == 0, 0).otherwise(F.col("rows") - (pages - 1) * height).alias("last_rows"))
 
 
+def parse_grid(spec: str) -> tuple[int, int] | None:
+    """Width and height of "20x10"; null if it can't be read or one of them is zero."""
+    import re
+
+    m = re.fullmatch(r"\s*([1-9][0-9]*)\s*[xX×]\s*([1-9][0-9]*)\s*", spec or "")
+    return (int(m[1]), int(m[2])) if m else None
+
+
 def bounds(counts: DataFrame, column: str, low: int | None, high: int | None) -> DataFrame:
     """doc_id, value, status (in, under, over), short_by."""
     v = F.col(column)
@@ -68,6 +82,12 @@ def bounds(counts: DataFrame, column: str, low: int | None, high: int | None) ->
     return counts.select("doc_id", v.alias("value"), status.alias("status"), F.when(v < low, low - v).when(v > high, v - high).otherwise(0).alias("off_by"))
 
 
+def bare_ruby(docs: DataFrame) -> DataFrame:
+    """doc_id, n: rubies without a bar, which no count takes for markup."""
+    left = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), T.EMPHASIS, ""), T.RUBY, "")
+    return docs.select("doc_id", F.regexp_count(left, F.lit(T.BARE_RUBY)).cast("bigint").alias("n"))
+
+
 def totals(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Sums by key and one over all, whose key is null."""
     return rows.rollup(key).agg(F.sum(value).alias("total"), F.count("*").alias("n"))

@@ -33,12 +33,19 @@ def _(spark, d):
     return C.count_modes(manuscripts(spark, d))
 
 
-_INVISIBLE = ((1, "a​b"), (2, "tab\there"), (3, "﻿x⁠"), (4, "zero\u0001"))
+_HIDDEN = "(SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN chr(8203) || 'a' WHEN 1 THEN chr(9) WHEN 2 THEN chr(65279) || 'x' || chr(8288) ELSE 'zero' || chr(1) END AS text FROM documents)"
 
 
-@query("invisible_chars", f"SELECT * FROM {values(((1, 1), (2, 0), (3, 2), (4, 1)), 'doc_id, invisible')}")
+@query("invisible_chars", f"SELECT doc_id, len(regexp_extract_all(text, {quoted(r'[\p{Cf}\x{00}-\x{08}\x{0B}-\x{1F}\x{7F}-\x{9F}]')})) AS invisible FROM {_HIDDEN}")
 def _(spark, d):
-    return C.count_modes(inline(spark, _INVISIBLE, "doc_id long, text string")).select("doc_id", "invisible")
+    key = F.col("doc_id") % 4
+    tail = F.when(key == 0, "​a").when(key == 1, "\t").when(key == 2, "﻿x⁠").otherwise("zero\x01")
+    return C.count_modes(documents(spark, d).select("doc_id", F.concat("text", tail).alias("text"))).select("doc_id", "invisible")
+
+
+@query("bare_ruby_ja", f"SELECT doc_id, len(regexp_extract_all({s_sub(s_sub('text', T.EMPHASIS), T.RUBY)}, {quoted(T.BARE_RUBY)}))::BIGINT AS n FROM {MANUSCRIPT_SQL}")
+def _(spark, d):
+    return C.bare_ruby(manuscripts(spark, d))
 
 
 def _pages(source: str, width: int, height: int) -> str:
@@ -58,17 +65,23 @@ def _(spark, d):
     return C.grid_pages(manuscripts(spark, d), 20, 5)
 
 
-_GRID = ((1, "あ" * 20, 1, 1), (2, "あ" * 21, 2, 2), (3, "", 1, 1), (4, "あ" * 20 + "。", 2, 1), (5, "あ" * 20 + "。い", 2, 2), (6, "あ" * 40 + "、", 3, 2))
-
-
-@query("grid_rows", f"SELECT id, plain_rows FROM {values([(i, a) for i, _, a, _ in _GRID], 'id, plain_rows')}")
-def _(spark, d):
-    return inline(spark, [r[:2] for r in _GRID], "id long, s string").select("id", C.rows_for(F.col("s"), 20).alias("plain_rows"))
+def _flow(width: int, height: int) -> str:
+    """Hanging stops, pairs of marks in one cell, and an assumed indentation."""
+    title = f"CASE WHEN kind = 'heading' THEN {_TITLE} ELSE {_RAW} END"
+    cell = f"CASE WHEN kind IN ('blank', 'docblank') THEN '' ELSE {s_sub(s_plain(title), '[!?！？]{2}', '!')} END"
+    own = f"CASE WHEN kind = 'narration' AND NOT {s_has(_RAW, '^' + T.SPACE)} THEN chr(12288) || c ELSE c END"
+    state = "{'rows': 0, 'used': 0, 'c': ''}"
+    step = f"CASE WHEN s.used = {width} AND x.c IN ('、', '。') AND s.rows > 0 THEN {{'rows': s.rows, 'used': {width + 1}, 'c': ''}} WHEN s.rows = 0 OR s.used >= {width} THEN {{'rows': s.rows + 1, 'used': 1, 'c': ''}} ELSE {{'rows': s.rows, 'used': s.used + 1, 'c': ''}} END"
+    rows = f"CASE WHEN length(c) = 0 THEN 1 ELSE list_reduce(list_prepend({state}, list_transform(string_split(c, ''), lambda y: {{'rows': 0, 'used': 0, 'c': y}})), lambda s, x: {step}).rows END"
+    source = f"(SELECT doc_id, {s_sub('text', chr(10) + '+$')} AS text FROM {MANUSCRIPT_SQL} WHERE {s_sub('text', chr(10) + '+$')} <> '')"
+    return f"""{base(source, JAPANESE)},
+f AS (SELECT doc_id, sum({rows})::BIGINT AS rows FROM (SELECT doc_id, {own} AS c FROM (SELECT doc_id, kind, raw, {cell} AS c FROM kind)) GROUP BY doc_id), a AS (SELECT d.doc_id, coalesce(f.rows, 0) AS rows FROM documents d LEFT JOIN f USING (doc_id))
+SELECT doc_id, rows, ceil(rows / {height})::BIGINT AS pages, CASE WHEN rows = 0 THEN 0 ELSE rows - (ceil(rows / {height})::BIGINT - 1) * {height} END AS last_rows FROM a"""
 
 
-@query("grid_hang", f"SELECT id, hang_rows FROM {values([(i, b) for i, _, _, b in _GRID], 'id, hang_rows')}")
+@query("grid_flow_ja", _flow(16, 9))
 def _(spark, d):
-    return inline(spark, [r[:2] for r in _GRID], "id long, s string").select("id", C.rows_for(F.col("s"), 20, True).alias("hang_rows"))
+    return C.grid_pages(manuscripts(spark, d), *C.parse_grid("16x9"), pair_marks=True, hang=True, indent=True)
 
 
 @query("bounds_check", f"SELECT doc_id, n AS value, CASE WHEN n < 500 THEN 'under' WHEN n > 3000 THEN 'over' ELSE 'in' END AS status, CASE WHEN n < 500 THEN 500 - n WHEN n > 3000 THEN n - 3000 ELSE 0 END AS off_by FROM (SELECT doc_id, {s_visible('text')} AS n FROM documents)")

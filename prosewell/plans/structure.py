@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prosewell.operators import counting as C
 from prosewell.operators import decompose as D
 from prosewell.operators import ledger as L
 from prosewell.operators import structure as S
@@ -104,14 +103,6 @@ def _(spark, d):
     return S.last_events(logs)
 
 
-_PAIRS = ((1, "えっ!?　本当！！\nうん。"),)
-
-
-@query("grid_pair_marks", f"SELECT * FROM {values(((1, 3, 1, 3),), 'doc_id, rows, pages, last_rows')}")
-def _(spark, d):
-    return C.grid_pages(inline(spark, _PAIRS, "doc_id long, text string"), 6, 5, pair_marks=True)
-
-
 _CAST = "(SELECT o_orderkey AS id, [o_custkey % 5, o_custkey % 3] AS chapter, [o_orderkey % 5, o_custkey % 7] AS scene FROM orders)"
 
 
