@@ -11,6 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+BATCH = "8m"
+_BATCH_BYTES, _DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 _FALLBACK: list[tempfile.TemporaryDirectory] = []
 
 
@@ -45,7 +47,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a session, so that their Python finds it wherever the driver was started."""
+    """Sends this package to the executors, once a session, so that their Python finds it wherever the driver was started.
+
+    Unless the session says otherwise, rows go to Python in batches of BATCH bytes: a batch is held several times, in the JVM and in Python.
+    """
+    if spark.conf.get(_BATCH_BYTES, _DEFAULT_BATCH) == _DEFAULT_BATCH:
+        spark.conf.set(_BATCH_BYTES, BATCH)
     context = spark.sparkContext
     if getattr(context, "_prosewell_shipped", False):
         return
