@@ -19,7 +19,7 @@ CORRECTED = rf"{_WORD}(?:は|という)?[^「」。]{{0,10}}?{NUMBER}(?:文字|
 BARE = rf"([ァ-ヺー]{{2,12}}|[一-龥々]{{2,8}})(?:は|も)({NUMBER})(文字|字)"
 #: What makes a claim somebody's guess, a condition, or something that is only being counted.
 UNSURE = "(?:かもしれない|だろう|らしい|そうだ|はずだ|と思|と聞|ではない|じゃない|[か？?]$)"
-SKIP = "(?:なら|たら|れば|もし|数え直|数えると|数えてみ)"
+SKIP = "(?:なら|たら|れば|(?:^|[、「　])もし|数え直|数えると|数えてみ)"
 TAKEN_BACK = "^[　\\s]*(?:いや|いいや|ちがう|違う|間違え)"
 #: Nouns of which a number of characters is said, not that they have it.
 GENERIC = ("言葉", "名前", "単語", "合言葉", "題名", "漢字", "文章", "手紙", "全部", "本文", "残り")
