@@ -215,7 +215,7 @@ def _(spark, d):
     from pyspark.sql import Window
 
     s = D.sentences(documents(spark, d)).withColumn("block", F.floor((F.row_number().over(Window.partitionBy("doc_id").orderBy("line", "idx")) - 1) / 20))
-    return s.groupBy("doc_id", "block").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("cls") == "past", 1.0).otherwise(0.0)), 3).alias("rate")).filter("n = 20").select("doc_id", "block", "rate")
+    return s.groupBy("doc_id", "block").agg(F.count("*").alias("n"), S.rounded(F.avg(F.when(F.col("cls") == "past", 1.0).otherwise(0.0))).alias("rate")).filter("n = 20").select("doc_id", "block", "rate")
 
 
 @query("mid_runs", f"{_LATIN}, m AS (SELECT doc_id, line, idx, chars BETWEEN 30 AND 45 AS mid FROM sent), t AS (SELECT *, sum(CASE WHEN lag_mid IS NOT DISTINCT FROM mid THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line, idx) AS run FROM (SELECT *, lag(mid) OVER (PARTITION BY doc_id ORDER BY line, idx) AS lag_mid FROM m)) SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, run, count(*) AS n FROM t WHERE mid GROUP BY doc_id, run) GROUP BY doc_id")
