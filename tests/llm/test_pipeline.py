@@ -71,3 +71,22 @@ def test_stages(spark, tmp_path):
         want.append((r["doc_id"], start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in after.collect()) == want
+
+
+def test_a_batch_of_texts_takes_little_memory_of_a_worker():
+    """The arrays over the bytes of a batch of 8 MB, as the first two stages make them."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from prosewell.llm import minhash, quality, tokens
+
+    texts = [" ".join(f"w{(i * 7919 + k) % 99991}" for k in range(600)) for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    for limit, most in ((tokens.SLICE, 40), (tokens.CHUNK, 400)):
+        tracemalloc.start()
+        sizes = [(quality.features(*tokens.text_bytes(p.column("text"))).shape[0], len(minhash.shingle_sets(*tokens.text_bytes(p.column("text"))))) for p in tokens.slices([batch], limit=limit)]
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert sum(a for a, _ in sizes) == sum(b for _, b in sizes) == len(texts)
+        assert peak < most
