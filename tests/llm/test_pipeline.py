@@ -90,3 +90,21 @@ def test_a_batch_of_texts_takes_little_memory_of_a_worker():
         tracemalloc.stop()
         assert sum(a for a, _ in sizes) == sum(b for _, b in sizes) == len(texts)
         assert peak < most
+
+
+def test_the_fit_needs_no_second_worker_beside_the_one_that_makes_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(200, 5)), rng.integers(0, 2, 200)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, __x array<double>")
+    labels = spark.createDataFrame([(i, int(k)) for i, k in enumerate(y)] + [(3, int(y[3])), (None, 1), (4, None)], "doc_id long, quality int")
+
+    def second(*_):
+        raise AssertionError("a Python function beside the one that makes the vectors")
+
+    monkeypatch.setattr(type(vectors), "mapInArrow", second)
+    got = quality.fit(vectors, labels)
+    known = [i for i in [*range(200), 3] if zlib.crc32(str(i).encode()) % quality.FOLDS]
+    x, y = x[known], y[known]
+    want = quality.fit_sums({k: (float((y == k).sum()), x[y == k].sum(0), x[y == k].T @ x[y == k]) for k in (0, 1)})
+    for name in ("mean", "half", "log_det", "log_prior", "center", "scale"):
+        assert np.allclose(getattr(got, name), getattr(want, name), rtol=1e-9, atol=1e-12), name
