@@ -6,7 +6,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from prosewell.llm import mixing, quality, token_output
+from prosewell.llm import minhash, mixing, quality, token_output
 
 DATA = "/root/testdata/sf0.001"
 NAMES = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -108,3 +108,23 @@ def test_the_fit_needs_no_second_worker_beside_the_one_that_makes_vectors(spark,
     want = quality.fit_sums({k: (float((y == k).sum()), x[y == k].sum(0), x[y == k].T @ x[y == k]) for k in (0, 1)})
     for name in ("mean", "half", "log_det", "log_prior", "center", "scale"):
         assert np.allclose(getattr(got, name), getattr(want, name), rtol=1e-9, atol=1e-12), name
+
+
+def test_texts_stay_where_they_are_when_near_duplicates_go(spark, monkeypatch):
+    """Few ids go to the texts, not the texts to the ids; many are joined by exchange, with the same rows."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text), (2, text + " x"), (3, "a text of its own words"), (3, "another text of id three"), (3, "a text of its own words"), (None, text), (None, text), (5, None), (5, None), (2, text), (2, "of id two that goes as a whole")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = minhash.deduplicate(docs)
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        got = few.collect()
+        monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+        many = minhash.deduplicate(docs).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    order = lambda rows: sorted(map(tuple, rows), key=repr)
+    want = [(1, text), (3, "a text of its own words"), (3, "another text of id three"), (None, text), (None, text), (5, None)]
+    assert order(got) == order(many) == order(want)
+    assert "SortMergeJoin" not in plan
